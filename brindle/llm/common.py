@@ -5,7 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import compress, islice, repeat
+from operator import is_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +54,48 @@ def fold(doc_id: Column, n: int) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+class PieceMemo:
+    """Token ids of text pieces, as bytes of 32-bit integers; pieces that aren't known are resolved in one call.
+
+    Holds ``size`` pieces at most. When it is full, all but the ``keep`` first pieces go: frequent ones come early.
+    """
+
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], size: int = 500_000, keep: int = 200_000):
+        self.resolve, self.size, self.keep, self.known = resolve, size, keep, {}
+
+    def values(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        fresh = list(compress(pieces, map(is_, found, repeat(None))))
+        if fresh:
+            new = dict(zip(fresh, self.resolve(fresh), strict=True))
+            found = [new[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+            if len(self.known) + len(new) > self.size:
+                self.known = dict(islice(self.known.items(), self.keep))
+            self.known.update(new)
+        return found
+
+    def lists(self, texts: list[str], separator: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin; pieces stand between separators."""
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=separator)
+        coded = pieces.values.dictionary_encode()
+        found = pa.array(self.values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(found) + 1] // 4
+        ids = np.frombuffer(data, np.int32)[: ends[-1]] if data and ends[-1] else np.empty(0, np.int32)
+        return ids, ends[pieces.offsets.to_numpy()]
+
+
+def text_slices(batch: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive slices of about ``size`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, end - at
+        at = end
+
+
+def id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
