@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, curriculum, sharding, simhash, token_files, vafile
+from brindle.llm import bpe, curriculum, licenses, lz_fingerprint, ngram_lm, sharding, simhash, token_files, toxicity, vafile
 from brindle.llm.common import table
 
 
+def op1_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -24,6 +28,10 @@ def op4_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix_counts(table(spark, sf_dir, "documents"))
 
@@ -43,11 +51,27 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_virtual_slots, op3_simhash_blocks, op4_vector_approximation, op6_curriculum_mix, op7_transducer_bpe, op9_token_files)}
+def op10_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lz_fingerprint.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+    text = lambda name: F.lower(F.hex(name)).alias(name)
+    return pairs.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxic_neighbours, op2_virtual_slots, op3_simhash_blocks, op4_vector_approximation, op5_license_join,
+        op6_curriculum_mix, op7_transducer_bpe, op8_deleted_interpolation, op9_token_files, op10_lempel_ziv,
+    )
+}
 
 OP4_SQL = """
 WITH v AS (

@@ -116,9 +116,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(ids, "root").select("fp", "component_id", "copies"), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, each once; rows without id stay."""
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, shingle=shingle)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
