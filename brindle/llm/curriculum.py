@@ -55,7 +55,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes
         .withColumn("__mix_all", F.sum("__mix_source_size").over(everything))
         .withColumn("__mix_level", (F.col("__mix_all") - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("__mix_weight").over(onward))
     )
-    settled = F.min(F.when(level <= F.col("__mix_ratio"), level)).over(everything)
+    settled = F.min(F.when(level <= F.col("__mix_ratio"), F.struct("__mix_ratio", "__mix_source", "__mix_level"))).over(everything)["__mix_level"]
     return ranked.withColumn("__mix_settled", settled).select(
         "__mix_source", "__mix_source_size", "__mix_slope", "__mix_all",
         F.least(cap.cast("double"), F.coalesce(F.col("__mix_settled") * F.col("__mix_weight"), cap.cast("double"))).alias("__mix_target"),

@@ -97,7 +97,7 @@ w AS (SELECT *, ([1, 2, 3])[1 + (row_number() OVER (ORDER BY src) - 1) % 3] AS w
 r AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM w),
 l AS (SELECT *, CAST(total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
               / CAST(sum(weight) OVER (ORDER BY ratio, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM r),
-g AS (SELECT *, least(CAST(3 * source_size AS DOUBLE), coalesce(min(CASE WHEN level <= ratio THEN level END) OVER () * weight, CAST(3 * source_size AS DOUBLE))) AS target FROM l),
+g AS (SELECT *, least(CAST(3 * source_size AS DOUBLE), coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, src LIMIT 1) * weight, CAST(3 * source_size AS DOUBLE))) AS target FROM l),
 o AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.slope, g.total,
              CAST(coalesce(sum(d.size) OVER (PARTITION BY d.src ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
       FROM d JOIN g USING (src)),
