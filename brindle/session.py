@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,9 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "brindle", **c
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "brindle-shared")
+    return f"{root.rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"
