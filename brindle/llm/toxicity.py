@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded, class-balanced sample of labelled documents is the index. Terms (words, and word starts marked ``*``) that
-tell the two labels apart span the space; a document is its TF-IDF vector over them, with document frequencies counted
+tell toxic documents from clean ones span the space; a document is its TF-IDF vector over them, with document frequencies counted
 over the whole corpus. The examples' vectors are stored as inverted lists, cut into blocks of examples; for each term
 and block the largest weight is kept. A query adds these maxima up to a bound per block, visits blocks in the order of
 their bounds, and stops when no bound reaches the k-th best cosine: the result is the exact top k. Neighbours vote by
@@ -149,7 +149,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, examples
 
 
 def select_terms(sample: DataFrame, sizes: tuple[int, int], limit: int = TERMS) -> dict[str, int]:
-    """Terms by how strongly their document frequencies differ between the labels (z value of the log odds ratio)."""
+    """Terms that stand more often in toxic documents, by the z value of the log odds ratio; so a long clean part hides nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,7 @@ def select_terms(sample: DataFrame, sizes: tuple[int, int], limit: int = TERMS)
     odds = F.log(a / (size_a - a)) - F.log(b / (size_b - b))
     counted = sample.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rated = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    kept = rated.where((F.abs("odds") >= LEAST_ODDS) & (F.abs("z") >= LEAST_Z)).orderBy(F.abs("z").desc(), "term").limit(limit).select("term").collect()
+    kept = rated.where((F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "term").limit(limit).select("term").collect()
     return {r.term: i for i, r in enumerate(kept)}
 
 
