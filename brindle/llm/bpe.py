@@ -34,12 +34,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from brindle.llm.common import PieceMemo, id_lists, text_slices
+from brindle.llm.common import PieceMemo, id_lists, text_slices, written
 
 #: Words in the lexicon: bounds the automaton, its compilation on the driver and what is broadcast.
-LEXICON_WORDS = 262_144
+LEXICON_WORDS = 131_072
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: A comma or full stop after a character that is neither letter nor digit.
@@ -235,6 +234,11 @@ class Encoder:
         return self.memo.lists(list(map(self.merger.marked, texts)), " ")
 
 
+@lru_cache(maxsize=1)
+def _merger(spec: str) -> Merger:
+    return Merger(spec)
+
+
 @lru_cache(maxsize=2)
 def _cached(_digest: str, load) -> Encoder:
     return Encoder(*load())
@@ -261,25 +265,32 @@ def count_words(docs: DataFrame, spec: str, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(shared.value)
+        merger = _merger(shared.value)
         for batch in batches:
-            words: Counter[str] = Counter()
             for at, n in text_slices(batch.column(0)):
                 marked = pa.array(map(merger.marked, batch.column(0).slice(at, n).to_pylist()), pa.large_string())
-                counts = pc.split_pattern(marked, pattern=" ").values.value_counts()
+                counts, words = pc.split_pattern(marked, pattern=" ").values.value_counts(), Counter()
                 for piece, k in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
-                    if piece[:1] != "S":
+                    if piece.isascii() and piece.isalpha() and piece.islower():
+                        words[piece] += k
+                    elif piece[:1] != "S":
                         for word in merger.split.findall(piece):
                             words[word] += k
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
+                if words:
+                    yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, spec: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the ``size`` most frequent words, ties in word order."""
-    frequent = count_words(docs, spec, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    """The compiled lexicon of the most frequent words: all that occur at least as often as lets ``size`` words in."""
+    counts = written(count_words(docs, spec, text_col), "bpe-words")
+    room, least = size, None
+    for n, words in sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):
+        if words > room:
+            break
+        room, least = room - words, n
+    frequent = counts.where(F.col("n") >= least).select("word").collect() if least else []
     merger = Merger(spec)
     return compile_lexicon({r.word: merger.merge(r.word) for r in frequent})
 
@@ -306,15 +317,6 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", text
     """``encoded`` with the text of its token ids in ``text_col``: the tokens joined by spaces, as a file without decoder asks for."""
     with open(vocabulary, encoding="utf-8") as file:
         model = json.load(file)
-    tokens = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            column = pa.array([" ".join(map(token, x.values.to_pylist() if x.is_valid else ())) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, text_col])
-
-    encoded = encoded.drop(text_col)
-    return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
+    names = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+    tokens = F.from_json(F.lit(json.dumps([names.get(i) for i in range(max(names) + 1)])), "array<string>")
+    return encoded.withColumn(text_col, F.array_join(F.transform(ids_col, lambda i: F.get(tokens, i)), " "))

@@ -62,7 +62,7 @@ class PieceMemo:
     Holds ``size`` pieces at most. When it is full, all but the ``keep`` first pieces go: frequent ones come early.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], size: int = 500_000, keep: int = 200_000):
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], size: int = 400_000, keep: int = 200_000):
         self.resolve, self.size, self.keep, self.known = resolve, size, keep, {}
 
     def values(self, pieces: list[str]) -> list[bytes]:
@@ -87,7 +87,7 @@ class PieceMemo:
         return ids, ends[pieces.offsets.to_numpy()]
 
 
-def text_slices(batch: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(batch: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """(first row, rows) of consecutive slices of about ``size`` bytes of text."""
     ends = np.cumsum(pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
