@@ -117,7 +117,8 @@ class Index:
 
 
 def unit_vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    vector = (1 + np.log(counts)) * idf[terms]
+    """Term frequencies that saturate, 2 tf / (tf + 1), so that a long text's common terms don't outweigh the others, times idf."""
+    vector = 2.0 * counts / (counts + 1.0) * idf[terms]
     return vector / np.sqrt((vector * vector).sum())
 
 
