@@ -1,0 +1,86 @@
+import re
+from collections import Counter
+
+import numpy as np
+
+from brindle.llm import licenses, toxicity
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(1)
+    idf = rng.random(40) + 0.5
+    rows = []
+    for i in range(500):
+        terms = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
+        rows.append((i, int(rng.integers(2)), terms, rng.integers(1, 5, len(terms))))
+    index = toxicity.Index.build(rows, idf, (1.0, 1.0))
+    dense = np.zeros((500, 40))
+    place = {d: n for n, d in enumerate(index.doc_ids.tolist())}
+    for d, _, terms, counts in rows:
+        dense[place[d], terms] = toxicity.unit_vector(terms, counts, idf)
+    for d, _, terms, counts in rows[:100]:
+        vector = toxicity.unit_vector(terms, counts, idf)
+        cosines = dense[:, terms] @ vector
+        cosines[place[d]] = -1
+        expected = [c for c in sorted(np.round(cosines, 9), reverse=True)[:15] if c > 0]
+        best, got = index.search(terms, vector, without=place[d])
+        assert np.allclose(got[: len(expected)], expected) and place[d] not in best
+
+
+def labelled(spark):
+    from tests.llm.conftest import prose
+
+    bad = ["vilexa", "grumbot", "snarlik"]
+    docs = [(i, prose(i, 60) + (" " + " ".join(bad[: 1 + i % 3]) if i % 4 == 0 else "") + f" w{i}", "en", "a", 0) for i in range(400)]
+    docs += [(1000, None, "en", "a", 0), (1001, "", "en", "a", 0), (None, "grumbot " * 5, "en", "a", 0), (1002, docs[4][1] + " " + prose(3, 20000), "en", "a", 0), docs[8]]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400)] + [(5, 1, None), (None, 1, 1), (9999, 0, 1)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxic_documents_are_found_and_clean_ones_left(spark, empty):
+    docs, table, labels = labelled(spark)
+    got = toxicity.toxicity(table, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d[0] for d in docs)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert held and all(r.predicted == int(r.doc_id % 4 == 0) for r in held)
+    scores = {r.doc_id: r.score for r in got}
+    assert scores[1000] == scores[1001] < 0.5 and scores[None] > 0.5 and scores[1002] > 0.5
+    kept = toxicity.keep_clean(table, labels)
+    assert kept.columns == table.columns and 4 not in {r.doc_id for r in kept.collect()}
+    assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_without_labels_scores_are_the_rate(spark, awkward):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.toxicity(awkward, none).collect()} == {0.0}
+
+
+TEXTS = {
+    1: None, 2: "", 3: "Licensed under CC-BY 4.0. All rights reserved.\nCC by, cc by", 4: "... released Under the MIT License, Version", 5: "words " * 5000 + "General Public License",
+    6: "nothing here", 7: "x " * 30 + "Licensed under the Apache License, Version 2.0 " + "y " * 40, 8: "licensed the apache under a version", 9: "cc byline; all rights not reserved", 10: "Ünï cc by cc by",
+}
+
+
+def brute(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    labels, best = {x for _, x in places}, 0.0
+    for start in range(0, max(1, len(words)), licenses.BLOCK // 2):
+        block = set(words[start : start + licenses.BLOCK])
+        for label, template in licenses.TEMPLATES:
+            own = set(template.split())
+            share = len(block & own) / len(own)
+            if share >= licenses.THRESHOLD - 1e-9:
+                labels, best = labels | {label}, max(best, share)
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), max(best, 1.0 if at else 0.0)
+
+
+def test_license_scan_matches_brute_force(spark, awkward, empty, plain):
+    table = spark.createDataFrame([(i, t, "clash") for i, t in TEXTS.items()] + [(3, TEXTS[3], "clash"), (None, TEXTS[4], "clash")], "doc_id long, text string, key string")
+    expected = Counter((i, *brute(t)) for i, t in [*TEXTS.items(), (3, TEXTS[3]), (None, TEXTS[4])])
+    assert Counter(map(tuple, licenses.license_scan(table).collect())) == expected
+    assert Counter(map(tuple, licenses.license_scan(awkward).collect())) == Counter((i, *brute(t)) for i, t, *_ in plain)
+    assert licenses.license_scan(empty).count() == 0
