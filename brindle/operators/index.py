@@ -45,3 +45,12 @@ def summary(chunks: DataFrame) -> DataFrame:
 def merge_registry(rows: DataFrame, name: str, flags: list[str]) -> DataFrame:
     """One row per name, flags joined by or."""
     return rows.groupBy(name).agg(F.count("*").alias("merged"), *[F.bool_or(f).alias(f) for f in flags])
+
+
+def build(docs: DataFrame, path: str) -> None:
+    """Write the index: postings (term, doc_id, tf, dl) in ranges of terms, so a query reads the row groups of its terms, and
+    the corpus' statistics. A new build goes to a new path; readers switch over when it is whole."""
+    lengths = doc_lengths(docs)
+    rows = postings(docs).join(lengths, "doc_id").select("term", "doc_id", "tf", "dl")
+    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/statistics")

@@ -11,13 +11,13 @@ def last_n(rows: DataFrame, by: str, order: list, n: int = 1000) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-def latency_percentiles(rows: DataFrame, by: str, value: str, tie: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+def latency_percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Upper nearest ranks, sorted[int(n * p)], exactly: equal values are counted first, so a group's window holds distinct values only."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__k"))
     w = Window.partitionBy(by)
-    placed = counts.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("n", F.sum("k").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.floor(F.col("n") * p) + 1, F.col(value))).alias(f"p{round(p * 100)}")
-    return placed.groupBy(by).agg(F.max("n").alias("n"), *[at(p) for p in shares])
+    placed = counts.withColumn("__upto", F.sum("__k").over(w.orderBy(value))).withColumn("__n", F.sum("__k").over(w))
+    at = lambda p: F.min(F.when(F.col("__upto") >= F.floor(F.col("__n") * p) + 1, F.col(value))).alias(f"p{round(p * 100)}")
+    return placed.groupBy(by).agg(F.max("__n").alias("n"), *[at(p) for p in shares])
 
 
 def counters(rows: DataFrame, name: str, amount: Column) -> DataFrame:

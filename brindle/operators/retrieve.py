@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import TOKEN_GAP, tokens
@@ -49,6 +49,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, min_score: float | No
     return best if min_score is None else best.where(F.col("score") >= min_score)
 
 
+def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, pushed: int = 1000) -> DataFrame:
+    """Top k from a stored index. The terms of few queries are pushed down to the scan; more only meet it in the join."""
+    terms = query_terms(queries)
+    hits = spark.read.parquet(f"{path}/postings")
+    few = terms.select("term").distinct().limit(pushed + 1).collect()
+    if len(few) <= pushed:
+        hits = hits.where(F.col("term").isin([r.term for r in few]))
+    hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    rated = hits.join(df, "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/statistics")))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scores = terms.join(rated.select("doc_id", "term", (idf * norm).alias("s")), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("s")), 6).alias("score"))
+    return top_k(scores, k)
+
+
 def sparse_search(vectors: DataFrame, queries: DataFrame, k: int = 20, idf: bool = False) -> DataFrame:
     """Inner products of (doc_id, idx, val) with (qid, idx, val); ``idf`` weighs entries by their document frequency."""
     if idf:
@@ -64,10 +80,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """Exact cosine neighbours of a few query vectors (qid, q): the queries are broadcast, every task keeps what it scores."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
-    return top_k(pairs, k, key="vec_id")
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, few: int = 1024) -> DataFrame:
+    """Exact cosine neighbours of query vectors (qid, q). Up to ``few`` queries are broadcast, which is checked first; more
+    are dealt into blocks that each meet all vectors, so no task holds more than a block of queries."""
+    count = queries.count()
+    if count <= few:
+        pairs = vectors.crossJoin(F.broadcast(queries))
+    else:
+        blocks = -(-count // few)
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        pairs = vectors.withColumn("__b", every).join(queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "__b")
+    return top_k(pairs.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 5).alias("score")), k, key="vec_id")
 
 
 @dataclass
@@ -132,4 +155,4 @@ def phrase_positions(docs: DataFrame, phrase: DataFrame) -> DataFrame:
     return runs.crossJoin(F.broadcast(size)).where("hits = size").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-__all__ = ["TOKEN_GAP", "bm25", "bm25_query", "bm25_scores", "cosine", "dense_search", "parse_query", "phrase_positions", "postings", "query_terms", "sparse_search", "top_k"]
+__all__ = ["TOKEN_GAP", "bm25", "bm25_indexed", "bm25_query", "bm25_scores", "cosine", "dense_search", "parse_query", "phrase_positions", "postings", "query_terms", "sparse_search", "top_k"]

@@ -319,6 +319,14 @@ def f1_bm25_batch(spark, d):
     return retrieve.bm25(t(spark, d, "documents"), items(spark, d))
 
 
+@query(SQL["f1_bm25_batch"])
+def f1_bm25_indexed(spark, d):
+    """The same from an index that is built first."""
+    path = shared_path(spark, "index")
+    index.build(t(spark, d, "documents"), path)
+    return retrieve.bm25_indexed(spark, path, items(spark, d))
+
+
 def _words(n: int) -> str:
     return f"w AS (SELECT list_distinct({TOK}) AS d, {TOK} AS a FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)), dd AS (SELECT a AS a, list_filter(a, lambda x, i: list_position(a, x) = i) AS u FROM w), ws AS (SELECT u[1:{n}] AS u, a FROM dd)"
 
@@ -670,7 +678,7 @@ def l1_last_n(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(CASE WHEN rn = CAST(floor(n * 0.5e0) AS BIGINT) + 1 THEN value END) AS p50, max(CASE WHEN rn = CAST(floor(n * 0.95e0) AS BIGINT) + 1 THEN value END) AS p95, max(CASE WHEN rn = CAST(floor(n * 0.99e0) AS BIGINT) + 1 THEN value END) AS p99 FROM r GROUP BY 1""")
 def l2_latency_percentiles(spark, d):
-    return metrics.latency_percentiles(t(spark, d, "events"), "event_type", "value", "event_id")
+    return metrics.latency_percentiles(t(spark, d, "events"), "event_type", "value")
 
 
 @query("SELECT event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
