@@ -10,6 +10,11 @@ if and only if some value lies within one bit of both; so each member of a crowd
 the bits outside the key, and links to the smallest fingerprint at the same variant. That is linear in the members,
 and its components are those of all pairs.
 
+``keep_one`` also links texts that are similar beyond that: fingerprints that agree in WIDE_KEPT of WIDE_BLOCKS
+blocks in any of WIDE_FAMILIES families of hashes, and lie within WIDE_DISTANCE bits, are candidates, and the Jaccard similarity of the shingle sets of both whole texts decides. In a
+crowded key a member is compared with its neighbours in fingerprint order and with the smallest member only. This finds
+all candidates within five bits, and the further apart two fingerprints are the fewer; the README has measured recall.
+
 Defined cases: null, empty and blank texts have no shingle and fingerprint zero, which links like any other. Texts with
 fewer words than a shingle have one shingle, the whole sequence. Repeated rows fall into one group; a null id takes no
 part in the smallest id of a group, and a group without ids has a null component. Very long texts are hashed in
@@ -25,13 +30,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import LOWER, UPPER, written
 from brindle.llm.components import connected_components
 
 BITS, BLOCKS, DISTANCE = 64, 4, 2
+#: For links by similarity: families of hashes, blocks, how many of them must agree, and differing bits at most.
+WIDE_FAMILIES, WIDE_BLOCKS, WIDE_KEPT, WIDE_DISTANCE = 3, 8, 3, 20
 #: Distinct fingerprints that may share a key before their links are found by one-bit variants.
 CROWD = 48
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -39,11 +46,20 @@ _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PIECE = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
+    """The hashes themselves for family 0, else other hashes of them."""
+    if family == 0:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * family + 1)) % (1 << 64))
+        return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, families: int = 1) -> list[int]:
+    """Unsigned 64-bit fingerprints of one text, one for each family of hashes."""
     words = _WORD.findall((text or "").encode().translate(_FOLD))
     if not words:
-        return 0
+        return [0] * families
     joined, ends, at = b" ".join(words), [], -1
     for word in words:
         at += len(word) + 1
@@ -53,32 +69,33 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         spans = [(0, len(joined))]
     else:
         spans = zip(starts, ends[shingle - 1 :])  # noqa: B905  the last starts have no full shingle
-    digest, total, ones = xxhash.xxh64_intdigest, 0, np.zeros(BITS, np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((families, BITS), np.int64)
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64)
     for i in range(0, len(hashes), _PIECE):
-        piece = hashes[i : i + _PIECE].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(piece, axis=1).sum(axis=0, dtype=np.int64)
-        total += len(piece)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+        for family in range(families):
+            piece = _mixed(hashes[i : i + _PIECE], family).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones[family] += np.unpackbits(piece, axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > len(hashes)).tobytes(), "big") for o in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every document, fp as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, families: int = 1) -> DataFrame:
+    """(doc_id, fp, more) of every document: the first family's fingerprint as a signed long, and all of them as an array."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<bigint>")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+            yield pd.Series([np.array(fingerprint(t, shingle, families=families), np.uint64).view(np.int64) for t in texts], dtype=object)
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    prints = docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("more"))
+    return prints.select("doc_id", F.col("more")[0].alias("fp"), "more")
 
 
-def block_keys(fp: Column) -> Column:
+def block_keys(fp: Column, blocks: int = BLOCKS, kept: int = BLOCKS - DISTANCE) -> Column:
     """Array of (choice, key): the key keeps the bits of the chosen blocks and zeroes the others."""
-    width = BITS // BLOCKS
+    width = BITS // blocks
     keys = []
-    for i, kept in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in kept)
+    for i, chosen in enumerate(combinations(range(blocks), kept)):
+        mask = sum(((1 << width) - 1) << (width * b) for b in chosen)
         keys.append(F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
     return F.array(*keys)
 
@@ -106,19 +123,61 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(stars).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Per document: doc_id, fp, component_id (the smallest id of its group) and copies (documents with its fingerprint)."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp")))
+def jaccard(a: str | None, b: str | None, shingle: int) -> float:
+    """Similarity of the shingle sets of two texts."""
+    sets = []
+    for text in (a, b):
+        words = _WORD.findall((text or "").encode().translate(_FOLD))
+        sets.append({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    union = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / union if union else 1.0
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """(u, v) between distinct fingerprints (fp, first_id) whose first documents' texts are at least ``similarity`` alike."""
+    of_family = [F.transform(block_keys(F.col("more")[i], WIDE_BLOCKS, WIDE_KEPT), lambda k, i=i: F.xxhash64(F.lit(i), k["choice"], k["key"])) for i in range(WIDE_FAMILIES)]
+    keyed = classes.select("fp", F.explode(F.concat(*of_family)).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keyed.join(sizes, "key"), "simhash-wide-keys")
+    few = shared.where(F.col("n") <= crowd).select("key", "fp")
+    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where("u > v").select("u", "v")
+    within = Window.partitionBy("key").orderBy("fp")
+    near = F.array(F.lag("fp").over(within), F.lag("fp", 2).over(within), F.min("fp").over(within))
+    crowded = shared.where(F.col("n") > crowd).select(F.col("fp").alias("u"), near.alias("near")).select("u", F.explode("near").alias("v")).where("u > v")
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    candidates = written(pairs.unionByName(crowded).where(apart <= WIDE_DISTANCE).distinct(), "simhash-candidates")
+    ends = candidates.select(F.col("u").alias("fp")).unionByName(candidates.select(F.col("v").alias("fp"))).distinct()
+    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(classes.join(ends, "fp", "left_semi").select("fp", "first_id"), "first_id").dropDuplicates(["fp"])
+    texts = written(texts.select("fp", "text"), "simhash-texts")
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    met = candidates.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+    return met.where(alike("a", "b") >= similarity).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """Per document: doc_id, fp, component_id (the smallest id of its group) and copies (documents with its fingerprint).
+
+    With ``similarity``, texts that are at least so alike are linked too.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, shingle, 1 if similarity is None else WIDE_FAMILIES), "simhash")
+    firsts = [F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min_by("more", "doc_id").alias("more")]
+    classes = written(prints.groupBy("fp").agg(*firsts), "simhash-classes")
+    edges = links(classes.select("fp"))
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(classes, docs, id_col, text_col, shingle, similarity))
+    roots = connected_components(edges)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.join(rooted.join(ids, "root").select("fp", "component_id", "copies"), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, each once; rows without id stay."""
-    groups = near_duplicates(docs, shingle=shingle)
+    groups = near_duplicates(docs, shingle=shingle, similarity=similarity)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))

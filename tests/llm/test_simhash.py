@@ -63,6 +63,24 @@ def test_chains_become_one_component(spark):
     assert {found[i] for i in range(301)} == {0} and found[1001] == 1000
 
 
+def test_similar_texts_are_linked_and_others_left(spark):
+    from tests.llm.conftest import prose
+
+    docs = []
+    for i in range(30):
+        words = prose(100 + i, 300).split()
+        docs.append((i, " ".join(words)))
+        words[20 + i] = "changed"
+        docs.append((100 + i, " ".join(words) + f" tail{i}"))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, shingle=5, similarity=0.8).collect()}
+    texts = dict(docs)
+    assert all(simhash.jaccard(texts[a], texts[b], 5) >= 0.8 for a, b in groups.items())
+    assert sum(groups[100 + i] == i for i in range(30)) >= 27
+    kept = {r.doc_id for r in simhash.keep_one(table).collect()}
+    assert set(range(30)) <= kept
+
+
 def test_one_of_each_group_stays(awkward, empty):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
