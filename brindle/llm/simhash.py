@@ -10,10 +10,11 @@ if and only if some value lies within one bit of both; so each member of a crowd
 the bits outside the key, and links to the smallest fingerprint at the same variant. That is linear in the members,
 and its components are those of all pairs.
 
-``keep_one`` also links texts that are similar beyond that: fingerprints that agree in WIDE_KEPT of WIDE_BLOCKS
-blocks in any of WIDE_FAMILIES families of hashes, and lie within WIDE_DISTANCE bits, are candidates, and the Jaccard similarity of the shingle sets of both whole texts decides. In a
-crowded key a member is compared with its neighbours in fingerprint order and with the smallest member only. This finds
-all candidates within five bits, and the further apart two fingerprints are the fewer; the README has measured recall.
+Texts that are 0.8 alike by five-word shingles lie up to 18 bits apart, where blocks of 64 bits no longer tell candidates from
+others. So ``keep_one`` finds links beyond the distance by minimum hashes of the same shingle hashes: texts that share one of
+MINIMA of them are candidates, unless their SIGNATURE of further minima agrees too little, and the Jaccard similarity of the
+shingle sets of both whole texts decides. Members of a crowded key are joined again on pairs of minima; where such a pair is
+crowded too, its members, which are then close copies, are compared with the smallest one and with their neighbours.
 
 Defined cases: null, empty and blank texts have no shingle and fingerprint zero, which links like any other. Texts with
 fewer words than a shingle have one shingle, the whole sequence. Repeated rows fall into one group; a null id takes no
@@ -37,8 +38,8 @@ from brindle.llm.common import LOWER, UPPER, written
 from brindle.llm.components import connected_components
 
 BITS, BLOCKS, DISTANCE = 64, 4, 2
-#: For links by similarity: families of hashes, blocks, how many of them must agree, and differing bits at most.
-WIDE_FAMILIES, WIDE_BLOCKS, WIDE_KEPT, WIDE_DISTANCE = 3, 8, 3, 20
+#: For links by similarity: minimum hashes that candidates share one of, and further ones that estimate their similarity.
+MINIMA, SIGNATURE = 6, 32
 #: Distinct fingerprints that may share a key before their links are found by one-bit variants.
 CROWD = 48
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -46,20 +47,11 @@ _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PIECE = 1 << 15
 
 
-def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
-    """The hashes themselves for family 0, else other hashes of them."""
-    if family == 0:
-        return hashes
-    with np.errstate(over="ignore"):
-        x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * family + 1)) % (1 << 64))
-        return x ^ (x >> np.uint64(29))
-
-
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, families: int = 1) -> list[int]:
-    """Unsigned 64-bit fingerprints of one text, one for each family of hashes."""
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, minima: int = 0) -> tuple[int, list[int]]:
+    """The unsigned 64-bit fingerprint of one text, and its minimum hashes in ``minima`` families."""
     words = _WORD.findall((text or "").encode().translate(_FOLD))
     if not words:
-        return [0] * families
+        return 0, [0] * minima
     joined, ends, at = b" ".join(words), [], -1
     for word in words:
         at += len(word) + 1
@@ -69,32 +61,37 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, families: in
         spans = [(0, len(joined))]
     else:
         spans = zip(starts, ends[shingle - 1 :])  # noqa: B905  the last starts have no full shingle
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((families, BITS), np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64)
     for i in range(0, len(hashes), _PIECE):
-        for family in range(families):
-            piece = _mixed(hashes[i : i + _PIECE], family).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones[family] += np.unpackbits(piece, axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * o > len(hashes)).tobytes(), "big") for o in ones]
+        piece = hashes[i : i + _PIECE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(piece, axis=1).sum(axis=0, dtype=np.int64)
+    least = []
+    with np.errstate(over="ignore"):
+        for family in range(1, minima + 1):
+            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * family + 1)) % (1 << 64))
+            least.append(int((x ^ (x >> np.uint64(29))).min()))
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"), least
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, families: int = 1) -> DataFrame:
-    """(doc_id, fp, more) of every document: the first family's fingerprint as a signed long, and all of them as an array."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, minima: int = 0) -> DataFrame:
+    """(doc_id, fp, minima) of every document, all as signed longs."""
 
     @F.pandas_udf("array<bigint>")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.array(fingerprint(t, shingle, families=families), np.uint64).view(np.int64) for t in texts], dtype=object)
+            found = (fingerprint(t, shingle, minima=minima) for t in texts)
+            yield pd.Series([np.array([fp, *least], np.uint64).view(np.int64) for fp, least in found], dtype=object)
 
-    prints = docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("more"))
-    return prints.select("doc_id", F.col("more")[0].alias("fp"), "more")
+    prints = docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("all"))
+    return prints.select("doc_id", F.col("all")[0].alias("fp"), F.slice("all", 2, minima).alias("minima") if minima else F.lit(None).cast("array<bigint>").alias("minima"))
 
 
-def block_keys(fp: Column, blocks: int = BLOCKS, kept: int = BLOCKS - DISTANCE) -> Column:
+def block_keys(fp: Column) -> Column:
     """Array of (choice, key): the key keeps the bits of the chosen blocks and zeroes the others."""
-    width = BITS // blocks
+    width = BITS // BLOCKS
     keys = []
-    for i, chosen in enumerate(combinations(range(blocks), kept)):
+    for i, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
         mask = sum(((1 << width) - 1) << (width * b) for b in chosen)
         keys.append(F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
     return F.array(*keys)
@@ -133,19 +130,35 @@ def jaccard(a: str | None, b: str | None, shingle: int) -> float:
     return len(sets[0] & sets[1]) / union if union else 1.0
 
 
+def _met(rows: DataFrame, agree: int) -> DataFrame:
+    """(u, v) of rows (key, fp, sig) that share a key and agree in ``agree`` places of their signatures."""
+    left, right = rows.select("key", F.col("fp").alias("u"), F.col("sig").alias("a")), rows.select("key", F.col("fp").alias("v"), F.col("sig").alias("b"))
+    same = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
+    return left.join(right, "key").where("u > v").where(same >= agree).select("u", "v")
+
+
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (key, fp, ...) of keys that more than one has, with the key's number n; written."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return written(rows.join(sizes, "key"), name)
+
+
 def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(u, v) between distinct fingerprints (fp, first_id) whose first documents' texts are at least ``similarity`` alike."""
-    of_family = [F.transform(block_keys(F.col("more")[i], WIDE_BLOCKS, WIDE_KEPT), lambda k, i=i: F.xxhash64(F.lit(i), k["choice"], k["key"])) for i in range(WIDE_FAMILIES)]
-    keyed = classes.select("fp", F.explode(F.concat(*of_family)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, "key"), "simhash-wide-keys")
-    few = shared.where(F.col("n") <= crowd).select("key", "fp")
-    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where("u > v").select("u", "v")
-    within = Window.partitionBy("key").orderBy("fp")
-    near = F.array(F.lag("fp").over(within), F.lag("fp", 2).over(within), F.min("fp").over(within))
-    crowded = shared.where(F.col("n") > crowd).select(F.col("fp").alias("u"), near.alias("near")).select("u", F.explode("near").alias("v")).where("u > v")
-    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    candidates = written(pairs.unionByName(crowded).where(apart <= WIDE_DISTANCE).distinct(), "simhash-candidates")
+    """(u, v) between distinct fingerprints (fp, first_id, minima) whose first documents' texts are at least ``similarity`` alike."""
+    sig = F.transform(F.slice("minima", MINIMA + 1, SIGNATURE), lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")).alias("sig")
+    agree = int((similarity - 0.25) * SIGNATURE)
+    named = classes.where("minima IS NOT NULL").select("fp", "minima", sig)
+    one = [F.xxhash64(F.lit(i), F.col("minima")[i]) for i in range(MINIMA)]
+    first = _sized(named.select("fp", "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
+    again = first.where(F.col("n") > crowd).select("fp").distinct()
+    two = [F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i in range(MINIMA) for j in range(i)]
+    second = _sized(named.join(again, "fp", "left_semi").select("fp", "sig", F.explode(F.array(*two)).alias("key")), "simhash-minima-pairs")
+    within = Window.partitionBy("key").orderBy("sig", "fp")
+    near = F.array(F.lag("fp").over(within), F.lag("fp", 2).over(within), F.first("fp").over(within))
+    crowded = second.where(F.col("n") > crowd).select("fp", near.alias("near")).select("fp", F.explode("near").alias("other")).where("fp <> other")
+    stars = crowded.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v"))
+    pairs = _met(first.where(F.col("n") <= crowd), agree).unionByName(_met(second.where(F.col("n") <= crowd), agree)).unionByName(stars)
+    candidates = written(pairs.distinct(), "simhash-candidates")
     ends = candidates.select(F.col("u").alias("fp")).unionByName(candidates.select(F.col("v").alias("fp"))).distinct()
     texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(classes.join(ends, "fp", "left_semi").select("fp", "first_id"), "first_id").dropDuplicates(["fp"])
     texts = written(texts.select("fp", "text"), "simhash-texts")
@@ -163,8 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With ``similarity``, texts that are at least so alike are linked too.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle, 1 if similarity is None else WIDE_FAMILIES), "simhash")
-    firsts = [F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min_by("more", "doc_id").alias("more")]
+    prints = written(fingerprints(docs, id_col, text_col, shingle, 0 if similarity is None else MINIMA + SIGNATURE), "simhash")
+    firsts = [F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min_by("minima", "doc_id").alias("minima")]
     classes = written(prints.groupBy("fp").agg(*firsts), "simhash-classes")
     edges = links(classes.select("fp"))
     if similarity is not None:
