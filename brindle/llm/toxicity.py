@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded, class-balanced sample of labelled documents is the index. Terms (words, and word starts marked ``*``) that
-tell toxic documents from clean ones span the space; a document is its TF-IDF vector over them, with document frequencies counted
+A bounded, class-balanced sample of labelled documents is the index. Terms (words, and word starts marked ``*``, each
+also for repeated occurrence) that tell toxic documents from clean ones span the space; a document is its TF-IDF vector over them, with document frequencies counted
 over the whole corpus. The examples' vectors are stored as inverted lists, cut into blocks of examples; for each term
 and block the largest weight is kept. A query adds these maxima up to a bound per block, visits blocks in the order of
 their bounds, and stops when no bound reaches the k-th best cosine: the result is the exact top k. Neighbours vote by
@@ -32,8 +32,8 @@ EXAMPLES, TERMS = 8192, 2048
 NEIGHBOURS, BLOCK, BINS = 15, 64, 64
 #: Least documents, z value and log odds ratio of a term.
 LEAST_DOCS, LEAST_Z, LEAST_ODDS = 8, 3.0, 1.5
-#: Lengths of the word starts that are terms beside the word.
-STARTS = (4, 5)
+#: Lengths of the word starts that are terms beside the word, and numbers of occurrences that make further terms.
+STARTS, REPEATS = (4, 5), (1, 2, 4)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,21 +42,41 @@ def terms_of(piece: str) -> list[str]:
     return words + [w[:n] + "*" for w in words for n in STARTS if len(w) > n]
 
 
+def repeated(counts: Counter[str]) -> set[str]:
+    """The terms of a text, and for those that occur often a further term for each of REPEATS that they reach."""
+    return {t + (chr(n) if n > 1 else "") for t, c in counts.items() for n in REPEATS if c >= n}
+
+
 class TermReader:
-    """Term numbers of texts, with repeats."""
+    """Term numbers of texts."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms = terms
+        self.bases: dict[str, int] = {}
+        marks = {chr(n): place for place, n in enumerate(REPEATS) if n > 1}
+        found = [(t[:-1], marks[t[-1]], i) if t[-1] in marks else (t, 0, i) for t, i in terms.items()]
+        self.levels = np.full((len(found) + 1, len(REPEATS)), -1)
+        for base, level, i in found:
+            self.levels[self.bases.setdefault(base, len(self.bases)), level] = i
         self.memo = PieceMemo(self._pieces)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        get = self.terms.get
+        get = self.bases.get
         return [np.array([i for t in terms_of(p) if (i := get(t)) is not None], np.int32).tobytes() for p in pieces]
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text its distinct term numbers and their counts."""
         ids, offsets = self.memo.lists([t.replace("\n", " ") for t in texts], " ")
-        return [np.unique(ids[a:b], return_counts=True) for a, b in zip(offsets, offsets[1:])]  # noqa: B905
+        return [self._numbers(ids[a:b]) for a, b in zip(offsets, offsets[1:])]  # noqa: B905
+
+    def _numbers(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(ids):
+            return ids, ids
+        bases, counts = np.unique(ids, return_counts=True)
+        reached = np.where(counts[:, None] >= np.array(REPEATS), self.levels[bases], -1)
+        rows, _ = np.nonzero(reached >= 0)
+        numbers = reached[reached >= 0]
+        order = np.argsort(numbers)
+        return numbers[order], counts[rows][order]
 
 
 @dataclass
@@ -156,7 +176,11 @@ def select_terms(sample: DataFrame, sizes: tuple[int, int], limit: int = TERMS)
         for batch in batches:
             found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[toxic].update({t for p in set((text or "").split()) for t in terms_of(p)})
+                terms: Counter[str] = Counter()
+                for piece, n in Counter((text or "").split()).items():
+                    for term in terms_of(piece):
+                        terms[term] += n
+                found[toxic].update(repeated(terms))
             names = list(found[0] | found[1])
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[y][t] for t in names], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
