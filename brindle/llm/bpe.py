@@ -15,7 +15,6 @@ the name of an added one is replaced.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import mmap
@@ -26,7 +25,6 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +32,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import PieceMemo, id_lists, text_slices, written
 
@@ -234,38 +233,12 @@ class Encoder:
         return self.memo.lists(list(map(self.merger.marked, texts)), " ")
 
 
-@lru_cache(maxsize=1)
-def _merger(spec: str) -> Merger:
-    return Merger(spec)
-
-
-@lru_cache(maxsize=2)
-def _cached(_digest: str, load) -> Encoder:
-    return Encoder(*load())
-
-
-class _Load:
-    """Reads broadcast values only on a miss; equal for the cache whatever it holds."""
-
-    def __init__(self, *values):
-        self.values = values
-
-    def __call__(self):
-        return [v.value for v in self.values]
-
-    def __hash__(self):
-        return 0
-
-    def __eq__(self, other):
-        return isinstance(other, _Load)
-
-
 def count_words(docs: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
     """(word, n): how often each word of the split pattern occurs in all texts; counted per task before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _merger(shared.value)
+        merger = Merger(shared.value)
         for batch in batches:
             for at, n in text_slices(batch.column(0)):
                 marked = pa.array(map(merger.marked, batch.column(0).slice(at, n).to_pylist()), pa.large_string())
@@ -295,22 +268,28 @@ def build_lexicon(docs: DataFrame, spec: str, text_col: str = "text", size: int
     return compile_lexicon({r.word: merger.merge(r.word) for r in frequent})
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "token_ids", lexicon: bytes | None = None) -> DataFrame:
-    """``docs`` with the token ids of every text in ``ids_col``. ``vocabulary``: path of the tokenizer file on the driver."""
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "token_ids", lexicon: bytes | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (default: all) and the token ids of every text in ``ids_col``.
+
+    ``vocabulary``: path of the tokenizer file on the driver. Tasks hand on the ids of a few megabytes of text at a time.
+    """
     with open(vocabulary, encoding="utf-8") as file:
         spec = file.read()
     compiled = build_lexicon(docs, spec, text_col) if lexicon is None else lexicon
-    context, digest = docs.sparkSession.sparkContext, hashlib.sha256(spec.encode() + compiled).hexdigest()
-    load = _Load(context.broadcast(spec), context.broadcast(compiled))
-
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _cached(digest, load)
-        for texts in batches:
-            parts = [id_lists(*encoder.encode_all([t or "" for t in texts.slice(at, n).to_pylist()])) for at, n in text_slices(texts)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-
-    return docs.withColumn(ids_col, ids(F.col(text_col)))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(spec), context.broadcast(compiled)
+    names = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*(b.value for b in shared))  # goes with the task, so that idle workers stay small
+        for whole in batches:
+            for at, n in text_slices(whole.column(0)):
+                batch = whole.slice(at, n)
+                coded = id_lists(*encoder.encode_all([t or "" for t in batch.column(0).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], coded], [*names, ids_col])
+
+    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(ids, T.StructType([*rows.schema.fields[1:], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

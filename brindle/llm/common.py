@@ -62,7 +62,7 @@ class PieceMemo:
     Holds ``size`` pieces at most. When it is full, all but the ``keep`` first pieces go: frequent ones come early.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], size: int = 400_000, keep: int = 200_000):
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], size: int = 250_000, keep: int = 120_000):
         self.resolve, self.size, self.keep, self.known = resolve, size, keep, {}
 
     def values(self, pieces: list[str]) -> list[bytes]:

@@ -38,7 +38,7 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "token_ids")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
     return bpe_digest(bpe.decode(coded, vocabulary))
 
 

@@ -252,19 +252,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     held = context.broadcast(model)
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value.index
+        index, reader = held.value.index, TermReader(held.value.terms)
         places = {d: i for i, d in enumerate(index.doc_ids.tolist())}
         found = np.zeros((BINS + 1, 2))
-        for batch in batches:
-            for doc_id, toxic, numbers, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if numbers:
-                    best, cosine = index.search(np.array(numbers), unit_vector(np.array(numbers), np.array(counts), index.idf), without=places[doc_id])
-                    if len(best):
-                        found[round(BINS * index.vote(best, cosine)), toxic] += weights[toxic]
+        for whole in batches:
+            for at, n in text_slices(whole.column(1)):
+                ids, texts, labels = (c.to_pylist() for c in whole.slice(at, n).columns)
+                for doc_id, toxic, (numbers, counts) in zip(ids, labels, reader.read([t or "" for t in texts]), strict=True):
+                    if len(numbers):
+                        best, cosine = index.search(numbers, unit_vector(numbers, counts, index.idf), without=places[doc_id])
+                        if len(best):
+                            found[round(BINS * index.vote(best, cosine)), toxic] += weights[toxic]
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS + 1), pa.int32()), pa.array(found[:, 0]), pa.array(found[:, 1])], ["bin", "clean", "toxic"])
 
-    schema = "doc_id long, toxic int, terms array<int>, counts array<int>"
-    again = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(vectors, schema)
+    again = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     bins = {r.bin: r for r in again.mapInArrow(leave_out, "bin int, clean double, toxic double").groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}
     used = [b for b in sorted(bins) if bins[b].clean + bins[b].toxic > 0]
     if used:
