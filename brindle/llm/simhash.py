@@ -13,8 +13,9 @@ and its components are those of all pairs.
 Texts that are 0.8 alike by five-word shingles lie up to 18 bits apart, where blocks of 64 bits no longer tell candidates from
 others. So ``keep_one`` finds links beyond the distance by minimum hashes of the same shingle hashes: texts that share one of
 MINIMA of them are candidates, unless their SIGNATURE of further minima agrees too little, and the Jaccard similarity of the
-shingle sets of both whole texts decides. Members of a crowded key are joined again on pairs of minima; where such a pair is
-crowded too, its members, which are then close copies, are compared with the smallest one and with their neighbours.
+shingle sets of both whole texts decides. All pairs of a key are candidates. In a crowded key the members first meet its hub, the
+member that agrees best with the key's most frequent minima; then only pairs that no link has joined yet are left. These are
+met under the key and one more minimum (as many places as two signatures that agree enough can't all differ in), block by block.
 
 Defined cases: null, empty and blank texts have no shingle and fingerprint zero, which links like any other. Texts with
 fewer words than a shingle have one shingle, the whole sequence. Repeated rows fall into one group; a null id takes no
@@ -31,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import LOWER, UPPER, written
@@ -40,11 +41,15 @@ from brindle.llm.components import connected_components
 BITS, BLOCKS, DISTANCE = 64, 4, 2
 #: For links by similarity: minimum hashes that candidates share one of, and further ones that estimate their similarity.
 MINIMA, SIGNATURE = 6, 32
-#: Distinct fingerprints that may share a key before their links are found by one-bit variants.
+#: Distinct fingerprints that may share a key before their links are found by one-bit variants, or first by a hub.
 CROWD = 48
+#: Members of a key that one task pairs with as many others.
+BLOCK = 512
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PIECE = 1 << 15
+#: A multiplier for each family of minimum hashes; multiples of one number would give families whose minima change together.
+_FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(MINIMA + SIGNATURE)]
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, minima: int = 0) -> tuple[int, list[int]]:
@@ -69,7 +74,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, minima: int
     least = []
     with np.errstate(over="ignore"):
         for family in range(1, minima + 1):
-            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * family + 1)) % (1 << 64))
+            x = (hashes ^ (hashes >> np.uint64(31))) * _FACTORS[family - 1]
             least.append(int((x ^ (x >> np.uint64(29))).min()))
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"), least
 
@@ -130,45 +135,75 @@ def jaccard(a: str | None, b: str | None, shingle: int) -> float:
     return len(sets[0] & sets[1]) / union if union else 1.0
 
 
-def _met(rows: DataFrame, agree: int) -> DataFrame:
-    """(u, v) of rows (key, fp, sig) that share a key and agree in ``agree`` places of their signatures."""
-    left, right = rows.select("key", F.col("fp").alias("u"), F.col("sig").alias("a")), rows.select("key", F.col("fp").alias("v"), F.col("sig").alias("b"))
-    same = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
-    return left.join(right, "key").where("u > v").where(same >= agree).select("u", "v")
+def _agreeing(a: str, b: str) -> Column:
+    """In how many places two signatures agree."""
+    return sum(((F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(SIGNATURE)), F.lit(0))
+
+
+def _met(rows: DataFrame, agree: int, block: int = BLOCK) -> DataFrame:
+    """(u, v) of rows (key, n, fp, root, sig) that share a key, have different roots and agree in ``agree`` places of their signatures.
+
+    The n members of a key are dealt into blocks, and each pair of blocks is joined by itself, so all pairs meet.
+    """
+    many = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.withColumn("many", many).withColumn("at", F.pmod(F.xxhash64("fp"), F.col("many")).cast("int"))
+    left = dealt.select("key", F.col("at").alias("low"), F.explode(F.sequence(F.col("at"), F.col("many") - 1)).alias("high"), F.col("fp").alias("u"), F.col("root").alias("c"), F.col("sig").alias("a"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("low"), F.col("at").alias("high"), F.col("fp").alias("v"), F.col("root").alias("d"), F.col("sig").alias("b"))
+    met = left.join(right, ["key", "low", "high"]).where("c <> d AND (low < high OR u > v)").where(_agreeing("a", "b") >= agree)
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _sized(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (key, fp, ...) of keys that more than one has, with the key's number n; written."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return written(rows.join(sizes, "key"), name)
+    """Rows (key, fp, root, ...) of keys that more than one root has, with the key's number n; written."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return written(rows.join(sizes.select("key", "n"), "key"), name)
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(u, v) between distinct fingerprints (fp, first_id, minima) whose first documents' texts are at least ``similarity`` alike."""
+def _to_hubs(rows: DataFrame, agree: int) -> DataFrame:
+    """(u, v) of each row (key, fp, sig) and its key's hub: the member that agrees best with the most frequent value of each place."""
+    values = rows.select("key", F.posexplode("sig").alias("place", "value")).groupBy("key", "place", "value").agg(F.count("*").alias("n"))
+    modes = values.groupBy("key", "place").agg(F.max(F.struct("n", "value")).alias("m")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.col("m.value").alias("value")))).alias("m"))
+    scored = rows.join(modes.select("key", F.col("m.value").alias("b")), "key").select("key", F.struct(_agreeing("sig", "b").alias("same"), "fp", "sig").alias("member"))
+    hubs = scored.groupBy("key").agg(F.max("member").alias("hub")).select("key", F.col("hub.fp").alias("hub"), F.col("hub.sig").alias("b"))
+    met = rows.join(hubs, "key").where("fp <> hub").where(_agreeing("sig", "b") >= agree)
+    return met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v"))
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """(u, v) between distinct fingerprints (fp, first_id, minima) whose first documents' texts are at least ``similarity`` alike.
+
+    Of crowded keys, pairs that these links and the ``known`` ones already join are left out; the components are those of all pairs.
+    """
     sig = F.transform(F.slice("minima", MINIMA + 1, SIGNATURE), lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")).alias("sig")
     agree = int((similarity - 0.25) * SIGNATURE)
-    named = classes.where("minima IS NOT NULL").select("fp", "minima", sig)
+    named = classes.where("minima IS NOT NULL").select("fp", F.col("fp").alias("root"), "minima", sig)
     one = [F.xxhash64(F.lit(i), F.col("minima")[i]) for i in range(MINIMA)]
-    first = _sized(named.select("fp", "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
-    again = first.where(F.col("n") > crowd).select("fp").distinct()
-    two = [F.xxhash64(F.lit(i), F.lit(j), F.col("minima")[i], F.col("minima")[j]) for i in range(MINIMA) for j in range(i)]
-    second = _sized(named.join(again, "fp", "left_semi").select("fp", "sig", F.explode(F.array(*two)).alias("key")), "simhash-minima-pairs")
-    within = Window.partitionBy("key").orderBy("sig", "fp")
-    near = F.array(F.lag("fp").over(within), F.lag("fp", 2).over(within), F.first("fp").over(within))
-    crowded = second.where(F.col("n") > crowd).select("fp", near.alias("near")).select("fp", F.explode("near").alias("other")).where("fp <> other")
-    stars = crowded.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v"))
-    pairs = _met(first.where(F.col("n") <= crowd), agree).unionByName(_met(second.where(F.col("n") <= crowd), agree)).unionByName(stars)
-    candidates = written(pairs.distinct(), "simhash-candidates")
-    ends = candidates.select(F.col("u").alias("fp")).unionByName(candidates.select(F.col("v").alias("fp"))).distinct()
-    texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(classes.join(ends, "fp", "left_semi").select("fp", "first_id"), "first_id").dropDuplicates(["fp"])
-    texts = written(texts.select("fp", "text"), "simhash-texts")
+    first = _sized(named.select("fp", "root", "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
+    crowded = first.where(F.col("n") > crowd)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    met = candidates.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-    return met.where(alike("a", "b") >= similarity).select("u", "v")
+    def verified(pairs: DataFrame) -> DataFrame:
+        candidates = written(pairs.distinct(), "simhash-candidates")
+        ends = candidates.select(F.col("u").alias("fp")).unionByName(candidates.select(F.col("v").alias("fp"))).distinct()
+        texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(classes.join(ends, "fp", "left_semi").select("fp", "first_id"), "first_id").dropDuplicates(["fp"])
+        texts = written(texts.select("fp", "text"), "simhash-texts")
+        met = candidates.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+        return written(met.where(alike("a", "b") >= similarity).select("u", "v"), "simhash-links")
+
+    found = verified(_met(first.where(F.col("n") <= crowd), agree).unionByName(_to_hubs(crowded, agree)))
+    if crowded.isEmpty():
+        return found
+    roots = connected_components(known.unionByName(found)).withColumnRenamed("node", "fp")
+    rooted = crowded.select("key", "fp", "sig").join(roots, "fp", "left").select("key", "fp", "sig", F.coalesce("root", "fp").alias("root"))
+    apart = _sized(rooted, "simhash-apart")
+    if apart.isEmpty():
+        return found
+    two = [F.xxhash64(F.col("key"), F.lit(i), F.col("sig")[i]) for i in range(SIGNATURE - agree + 1)]
+    second = _sized(apart.select("fp", "root", "sig", F.explode(F.array(*two)).alias("key")), "simhash-minima-pairs")
+    return found.unionByName(verified(_met(second, agree)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -181,7 +216,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(prints.groupBy("fp").agg(*firsts), "simhash-classes")
     edges = links(classes.select("fp"))
     if similarity is not None:
-        edges = edges.unionByName(similar_links(classes, docs, id_col, text_col, shingle, similarity))
+        edges = written(edges, "simhash-edges")
+        edges = edges.unionByName(similar_links(classes, docs, edges, id_col, text_col, shingle, similarity))
     roots = connected_components(edges)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -81,6 +81,64 @@ def test_similar_texts_are_linked_and_others_left(spark):
     assert set(range(30)) <= kept
 
 
+def slow_similar_groups(docs, n=5, similarity=0.8):
+    sets = {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for i, t in docs for w in [t.split()]}
+    prints = {i: simhash.fingerprint(t, n)[0] for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and find(i) != find(j):
+                both = len(sets[i] & sets[j])
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both) or (prints[i] ^ prints[j]).bit_count() <= 2:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def crowds():
+    """Edits of one original that are 0.84 alike to it and 0.7 to one another, and pairs of texts in one boilerplate."""
+    rng, docs = random.Random(5), []
+    original = [f"o{i}" for i in range(400)]
+    for i in range(300):
+        words = list(original)
+        for at in rng.sample(range(5, 390, 11), 7):
+            words[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(words)))
+    docs.append((-1, " ".join(original)))
+    shared = [f"s{i}" for i in range(300)]
+    for i in range(1000, 1150):
+        words = shared + [f"p{i}x{k}" for k in range(150)]
+        docs.append((i, " ".join(words)))
+        for at in rng.sample(range(10, 440), 3):
+            words[at] = f"c{i}x{at}"
+        docs.append((i + 1000, " ".join(words)))
+    return docs
+
+
+def test_crowded_minima_keep_all_components(spark):
+    docs = crowds()
+    expected = slow_similar_groups(docs)
+    assert len(set(expected.values())) == 151
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, shingle=5, similarity=0.8).collect()}
+    assert got == expected
+
+
+def test_every_pair_of_a_key_meets_in_blocks(spark):
+    sig = [1] * simhash.SIGNATURE
+    rows = [(9, 40, i, i % 7, sig) for i in range(40)]
+    table = spark.createDataFrame(rows, "key long, n long, fp long, root long, sig array<short>")
+    for block in (6, 40):
+        met = [(r.u, r.v) for r in simhash._met(table, 17, block).collect()]
+        assert Counter(met) == Counter((u, v) for u in range(40) for v in range(u) if u % 7 != v % 7)
+
+
 def test_one_of_each_group_stays(awkward, empty):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
