@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import hash_uuid, stable_bucket, tokens
@@ -425,7 +425,7 @@ def f9_org_filter(spark, d):
 
 
 def three_lists(spark, d) -> DataFrame:
-    """BM25, keyword and weighted-term lists of twice ten documents for every item, tagged."""
+    """BM25, keyword and weighted-term lists of twice ten documents for every item, tagged; the third is without dense search."""
     docs = t(spark, d, "documents")
     lexical = retrieve.bm25(docs, items(spark, d), k=20)
     keyword = retrieve.sparse_search(encoders.keyword_vector(docs), _keyword_queries(spark, d), k=20)
@@ -442,17 +442,46 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC,
 
 @query(f"WITH {LISTS}, {FUSED}, h AS (SELECT fr.*, source || '/' || lang AS folder FROM fr JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE place <= 10), p AS (SELECT *, row_number() OVER (PARTITION BY qid, folder ORDER BY fused_score DESC, first_seen, id) AS n FROM h) SELECT qid, id, fused_score, first_seen, sources, folder FROM p WHERE n = 1")
 def f10_multi_retrieve(spark, d):
-    """The whole search: three retrievers, fusion to ten, details, and the best of each file (source and language here)."""
-    fused = fusion.rrf(three_lists(spark, d), limit=10, by=("qid",))
+    """Three retrievers without dense search, fusion to ten, details, and the best of each file (source and language here)."""
+    return best_of_files(spark, d, fusion.rrf(three_lists(spark, d), limit=10, by=("qid",)))
+
+
+def best_of_files(spark, d, fused: DataFrame) -> DataFrame:
     folder = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("/", "source", "lang").alias("folder"))
     keyed = fused.join(folder, "id").withColumn("file", F.concat_ws("|", F.col("qid").cast("string"), "folder"))
     best = fusion.per_file(keyed, ["file"], [F.desc("fused_score"), F.asc("first_seen"), F.asc("id")])
     return best.select("qid", "id", "fused_score", "first_seen", "sources", "folder")
 
 
+def lists_with_dense(spark, d) -> DataFrame:
+    """The three lists, the third being the hybrid: dense and weighted-term lists fused with constant 2 over places from 0."""
+    lists = three_lists(spark, d)
+    some = F.exists("embedding", lambda x: x != 0)
+    vectors = t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), encoders.dense(F.col("text")).alias("embedding")).where(some)
+    asked = items(spark, d).select("qid", encoders.dense(F.col("text")).alias("embedding")).where(some).withColumnRenamed("embedding", "q")
+    dense = retrieve.dense_search(vectors, asked, k=20).select("qid", F.lit("dense").alias("retriever"), F.lit(0).alias("ord"), "rank", F.col("vec_id").cast("string").alias("id"), "score")
+    both = dense.unionByName(lists.where("retriever = 'bm42'").withColumn("ord", F.lit(1)))
+    hybrid = fusion.rrf(both, k=1, limit=20, by=("qid",))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("fused_score"), "first_seen", "id")).cast("long")
+    third = hybrid.select("qid", F.lit("bm42").alias("retriever"), F.lit(2).alias("ord"), place.alias("rank"), "id", F.col("fused_score").alias("score"))
+    return lists.where("retriever <> 'bm42'").unionByName(third)
+
+
+@query()
+def f10_whole_search(spark, d):
+    """The whole search: BM25, keywords and the hybrid of dense and weighted terms, fusion to ten, and the best of each file."""
+    return best_of_files(spark, d, fusion.rrf(lists_with_dense(spark, d), limit=10, by=("qid",)))
+
+
 # ---- fusion
 
 
+@query()
+def g1_rrf_fusion_dense(spark, d):
+    """Fusion of the lists with dense search."""
+    return fusion.rrf(lists_with_dense(spark, d), limit=10, by=("qid",))
+
+
 @query(f"WITH {LISTS}, {FUSED} SELECT qid, id, fused_score, first_seen, sources FROM fr WHERE place <= 10")
 def g1_rrf_fusion(spark, d):
     return fusion.rrf(three_lists(spark, d), limit=10, by=("qid",))
@@ -486,7 +515,16 @@ def g4_dedupe_path(spark, d):
 @query(f"WITH {LISTS}, {FUSED}, h AS (SELECT fr.*, source || '/' || lang AS folder FROM fr JOIN documents ON CAST(doc_id AS VARCHAR) = id), p AS (SELECT *, row_number() OVER (PARTITION BY qid, folder ORDER BY fused_score DESC, first_seen, id) AS n FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, first_seen, id) AS m FROM p WHERE n = 1) SELECT qid, id, fused_score, folder FROM k WHERE m <= 10")
 def g6_fill_after_dedupe(spark, d):
     """Files first, then the limit."""
-    fused = fusion.rrf(three_lists(spark, d), limit=None, by=("qid",))
+    return filled(spark, d, fusion.rrf(three_lists(spark, d), limit=None, by=("qid",)))
+
+
+@query()
+def g6_fill_after_dedupe_dense(spark, d):
+    """The same with dense search."""
+    return filled(spark, d, fusion.rrf(lists_with_dense(spark, d), limit=None, by=("qid",)))
+
+
+def filled(spark, d, fused: DataFrame) -> DataFrame:
     folder = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("/", "source", "lang").alias("folder"))
     order = [F.desc("fused_score"), F.asc("first_seen"), F.asc("id")]
     keyed = fused.join(folder, "id").withColumn("file", F.concat_ws("|", F.col("qid").cast("string"), "folder"))

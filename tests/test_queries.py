@@ -3,8 +3,10 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from brindle.operators import encoders
 from brindle.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -33,6 +35,46 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_whole_search_has_dense_lists(spark):
+    """The third list, the fusion and the best of each file by brute force."""
+    encode = encoders.hashing_encoder()
+    docs = {r.doc_id: r for r in registry.t(spark, SF, "documents").collect()}
+    vectors = encode([r.text or "" for r in docs.values()]).astype(float)
+    lists: dict[int, dict[str, list[str]]] = {}
+    for r in registry.three_lists(spark, SF).orderBy("rank").collect():
+        lists.setdefault(r.qid, {}).setdefault(r.retriever, []).append(r.id)
+
+    def fuse(k, limit, *ranked):
+        scores, seen = {}, {}
+        for o, ids in enumerate(ranked):
+            for rank, i in enumerate(ids, 1):
+                scores[i] = scores.get(i, 0.0) + 1 / (k + rank)
+                seen[i] = min(seen.get(i, 1 << 40), o * 1_000_000 + rank)
+        return sorted(((i, round(x, 6)) for i, x in scores.items()), key=lambda e: (-e[1], seen[e[0]], e[0]))[:limit]
+
+    only_dense, expected, best, full = 0, set(), set(), set()
+    for r in registry.items(spark, SF).collect():
+        q, own = encode([r.text])[0].astype(float), lists.get(r.qid, {})
+        norms = np.sqrt((vectors * vectors).sum(axis=1) * (q * q).sum())
+        near = sorted((-round(float(v @ q / n), 5), i) for v, n, i in zip(vectors, norms, docs, strict=True) if n)[:20]
+        third = [i for i, _ in fuse(1, 20, [str(i) for _, i in near], own.get("bm42", []))]
+        only_dense += len(set(third) - set(own.get("bm42", [])))
+        every = fuse(60, None, own.get("bm25", []), own.get("splade", []), third)
+        ten = every[:10]
+        expected |= {(r.qid, *e) for e in ten}
+        folder = lambda i: f"{docs[int(i)].source}/{docs[int(i)].lang}"
+        for found, limit, out in ((ten, 10, best), (every, 10, full)):
+            files = {}
+            for i, score in found:
+                files.setdefault(folder(i), (r.qid, i, score, folder(i)))
+            out |= set(list(files.values())[:limit])
+    assert only_dense
+    assert {(r.qid, r.id, r.fused_score) for r in registry.QUERIES["g1_rrf_fusion_dense"](spark, SF).collect()} == expected
+    assert {(r.qid, r.id, r.fused_score, r.folder) for r in registry.QUERIES["f10_whole_search"](spark, SF).collect()} == best
+    assert {(r.qid, r.id, r.fused_score, r.folder) for r in registry.QUERIES["g6_fill_after_dedupe_dense"](spark, SF).collect()} == full
+
+
 def test_entry(spark):
     import __spark_entry__
 
