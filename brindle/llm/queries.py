@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, curriculum, licenses, lz_fingerprint, ngram_lm, sharding, simhash, token_files, toxicity, vafile
-from brindle.llm.common import table
+from brindle.llm.common import LOWER, UPPER, table
 
 
 def op1_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +108,38 @@ SELECT doc_id, size, source_size, target, CAST(size * passes AS BIGINT) AS taken
 FROM p
 """
 
-SQL: dict[str, str] = {"op4_vector_approximation": OP4_SQL, "op6_curriculum_mix": OP6_SQL}
+
+
+def op5_sql() -> str:
+    """Phrases at every word, and template bodies in every block, one by one."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    starts = lambda words: f"CASE WHEN list_has_all(words, {quoted(words)}) THEN list_filter(range(1, greatest(len(words) - {len(words) - 2}, 1)), lambda i: words[i:i + {len(words) - 1}] = {quoted(words)}) ELSE [] END"
+    worded = [(label, licenses.word_list(text)) for label, text in licenses.TEMPLATES]
+    notices = [(label, words) for label, words in worded if len(words) < licenses.SHORT]
+    bodies = [(label, words) for label, words in worded if len(words) >= licenses.SHORT]
+    base = [(label, phrase.split()) for phrase, label in licenses.PHRASES.items()]
+    found = ", ".join(f"{starts(words)} AS p{n}" for n, (_, words) in enumerate(base + notices))
+    named = lambda some: "list_filter([" + ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (label, _) in some) + "], lambda x: x IS NOT NULL)"
+    listed = list(enumerate(base + notices))
+    templates = ", ".join(f"('{label}', {quoted(sorted(set(words)))}, {licenses.step_of(len(words))})" for label, words in bodies)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
+  FROM documents),
+p AS (SELECT *, {found} FROM d),
+t(label, own, step) AS (VALUES {templates}),
+b AS (SELECT row, label, own, words[start + 1:start + 2 * step] AS block
+      FROM (SELECT row, words, label, own, step, unnest(range(0, greatest(1, len(words)), step)) AS start FROM d, t)),
+s AS (SELECT row, label, len(list_intersect(own, block)) / CAST(len(own) AS DOUBLE) AS share FROM b),
+m AS (SELECT row, list(DISTINCT label) AS hits, max(share) AS containment FROM s WHERE share >= {licenses.THRESHOLD} - 1e-9 GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST({" + ".join(f"len(p{n})" for n, _ in listed[: len(base)])} AS BIGINT) AS n_base,
+       CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+       array_to_string(list_sort(list_distinct({named(listed[: len(base)])})), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat({named(listed)}, coalesce(hits, [])))), ',') AS labels,
+       greatest(1 - pow(0.5e0, {" + ".join(f"len(p{n})" for n, _ in listed)}), coalesce(containment, 0e0)) AS score
+FROM (SELECT *, {" || ".join(f"p{n}" for n, _ in listed[: len(base)])} AS places FROM p) LEFT JOIN m USING (row)
+"""
+
+
+SQL: dict[str, str] = {"op4_vector_approximation": OP4_SQL, "op5_license_join": op5_sql(), "op6_curriculum_mix": OP6_SQL}

@@ -1,9 +1,8 @@
-import re
 from collections import Counter
 
 import numpy as np
 
-from brindle.llm import licenses, toxicity
+from brindle.llm import toxicity
 
 
 def test_block_max_search_is_exact():
@@ -54,33 +53,3 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark, empty):
 def test_without_labels_scores_are_the_rate(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity(awkward, none).collect()} == {0.0}
-
-
-TEXTS = {
-    1: None, 2: "", 3: "Licensed under CC-BY 4.0. All rights reserved.\nCC by, cc by", 4: "... released Under the MIT License, Version", 5: "words " * 5000 + "General Public License",
-    6: "nothing here", 7: "x " * 30 + "Licensed under the Apache License, Version 2.0 " + "y " * 40, 8: "licensed the apache under a version", 9: "cc byline; all rights not reserved", 10: "Ünï cc by cc by",
-}
-
-
-def brute(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-    places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    labels, best = {x for _, x in places}, 0.0
-    for start in range(0, max(1, len(words)), licenses.BLOCK // 2):
-        block = set(words[start : start + licenses.BLOCK])
-        for label, template in licenses.TEMPLATES:
-            own = set(template.split())
-            share = len(block & own) / len(own)
-            if share >= licenses.THRESHOLD - 1e-9:
-                labels, best = labels | {label}, max(best, share)
-    at = [i for i, _ in places]
-    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), max(best, 1.0 if at else 0.0)
-
-
-def test_license_scan_matches_brute_force(spark, awkward, empty, plain):
-    table = spark.createDataFrame([(i, t, "clash") for i, t in TEXTS.items()] + [(3, TEXTS[3], "clash"), (None, TEXTS[4], "clash")], "doc_id long, text string, key string")
-    expected = Counter((i, *brute(t)) for i, t in [*TEXTS.items(), (3, TEXTS[3]), (None, TEXTS[4])])
-    assert Counter(map(tuple, licenses.license_scan(table).collect())) == expected
-    assert Counter(map(tuple, licenses.license_scan(awkward).collect())) == Counter((i, *brute(t)) for i, t, *_ in plain)
-    assert licenses.license_scan(empty).count() == 0
