@@ -97,5 +97,11 @@ def text_slices(batch: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int
         at = end
 
 
+def pick_lists(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` from ``starts`` on, one after the other, and where each begins, and the end."""
+    ends = np.append(0, np.cumsum(sizes))
+    return values[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 def id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))

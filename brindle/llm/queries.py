@@ -43,12 +43,8 @@ def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digest(decoded: DataFrame) -> DataFrame:
-    ids = F.col("token_ids")
-    return decoded.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha(bpe.decimals(decoded, 50_000)).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 import hashlib
 import zlib
-from array import array
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,9 +29,9 @@ def byte_library():
 
 @pytest.fixture(scope="module")
 def encoder():
-    spec = open(WORD, encoding="utf-8").read()  # noqa: SIM115
-    merger = bpe.Merger(spec)
-    return bpe.Encoder(spec, bpe.compile_lexicon({w: merger.merge(w) for w in ("the", "then", "stone", "stones", "é", "漢字")}))
+    tokenizer, words = bpe.read_tokenizer(open(WORD, encoding="utf-8").read()), ["the", "then", "stone", "stones", "é", "漢字"]  # noqa: SIM115
+    ids, starts, sizes = bpe.Merger(tokenizer).merge(pa.array(words, pa.large_string()))
+    return bpe.Encoder(tokenizer, bpe.compile_lexicon({w: ids[a : a + n].tolist() for w, a, n in zip(words, starts, sizes, strict=True)}))
 
 
 @settings(max_examples=300, deadline=None)
@@ -51,9 +51,10 @@ PIECES = token_files.PieceEncoder(open(BYTE, encoding="utf-8").read())  # noqa:
 def test_lexicon_finds_its_words_only_and_is_minimal(words, others):
     entries = {w: [len(w), i] for i, w in enumerate(sorted(words))}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
-    for w in [*words, *others]:
-        expected = array("I", entries[w]).tobytes() if w in entries else None
-        assert lexicon.find(w) == expected
+    asked = [*words, *others]
+    for w, found in zip(asked, lexicon.find(pa.array(asked, pa.large_string())).tolist(), strict=True):
+        got = lexicon.ids[lexicon.offsets[found] : lexicon.offsets[found + 1]].tolist() if found >= 0 else None
+        assert got == (entries[w] if w else None) if w in entries else got is None
     rights = {frozenset(w.encode()[i:] for w in words if w.encode().startswith(p)) for p in {w.encode()[:i] for w in words for i in range(len(w.encode()) + 1)} for i in [len(p)]} or {frozenset()}
     assert lexicon.root + 1 == len(rights)
 
