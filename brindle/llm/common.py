@@ -6,8 +6,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import compress, islice, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -57,34 +55,43 @@ def word_count(text: Column) -> Column:
 
 
 class PieceMemo:
-    """Token ids of text pieces, as bytes of 32-bit integers; pieces that aren't known are resolved in one call.
-
-    Holds ``size`` pieces at most. When it is full, all but the ``keep`` first pieces go: frequent ones come early.
+    """Numbers of text pieces (token ids, say); pieces that aren't known are resolved in one call, which gives all their numbers, one
+    piece after the other, and how many each has. Of more than ``size`` pieces the half that was met last stays.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], size: int = 250_000, keep: int = 120_000):
-        self.resolve, self.size, self.keep, self.known = resolve, size, keep, {}
-
-    def values(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, pieces))
-        fresh = list(compress(pieces, map(is_, found, repeat(None))))
-        if fresh:
-            new = dict(zip(fresh, self.resolve(fresh), strict=True))
-            found = [new[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-            if len(self.known) + len(new) > self.size:
-                self.known = dict(islice(self.known.items(), self.keep))
-            self.known.update(new)
+    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], size: int = 600_000):
+        self.resolve, self.size, self.clock = resolve, size, 0
+        self.known, self.ids = pa.array([], pa.large_string()), np.empty(0, np.int32)
+        self.starts, self.sizes, self.met = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _values(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of distinct pieces: all numbers, where each piece's begin, and how many it has."""
+        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = pieces.take(pa.array(fresh))
+            ids, sizes = self.resolve(new.to_pylist())
+            place[fresh] = len(self.known) + np.arange(len(fresh))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.known, self.ids, self.sizes = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.met = np.append(self.met, np.zeros(len(fresh), np.int64))
+        self.clock += 1
+        self.met[place] = self.clock
+        found = self.ids, self.starts[place], self.sizes[place]
+        if len(self.known) > self.size:
+            kept = np.sort(np.argsort(-self.met, kind="stable")[: self.size // 2])
+            self.ids, ends = pick_lists(self.ids, self.starts[kept], self.sizes[kept])
+            self.known, self.starts, self.sizes, self.met = self.known.take(pa.array(kept)), ends[:-1], self.sizes[kept], self.met[kept]
         return found
 
     def lists(self, texts: list[str], separator: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin; pieces stand between separators."""
+        """Numbers of all texts one after the other, and where each text's begin; pieces stand between separators."""
         pieces = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=separator)
         coded = pieces.values.dictionary_encode()
-        found = pa.array(self.values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-        _, ends, data = found.buffers()
-        ends = np.frombuffer(ends, np.int64)[: len(found) + 1] // 4
-        ids = np.frombuffer(data, np.int32)[: ends[-1]] if data and ends[-1] else np.empty(0, np.int32)
-        return ids, ends[pieces.offsets.to_numpy()]
+        ids, starts, sizes = self._values(coded.dictionary)
+        at = coded.indices.to_numpy()
+        out, ends = pick_lists(ids, starts[at], sizes[at])
+        return out, ends[pieces.offsets.to_numpy()]
 
 
 def text_slices(batch: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:

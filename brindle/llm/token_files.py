@@ -3,11 +3,11 @@
 Documents are range-partitioned and sorted by id, encoded, closed with an end id and written as Parquet: a list
 column of 32-bit ids (dictionary pages, or delta pages where ``encoding`` is "delta"), row groups of a set size, and
 page indexes, which Parquet's writer puts into every file. A reader takes token columns or only metadata columns, and
-skips row groups and pages by doc_id. Each row also carries the number of its partition, so global offsets follow from
-a sum per partition and a running sum within it; no task sees all rows.
+skips row groups and pages by doc_id. Each row also carries the number of its partition and its place in it, so global
+offsets follow from a sum per partition and a running sum within it; no task sees all rows.
 
 Defined cases: a null text counts as empty and holds the end id only; a null id sorts before all others; rows that share
-an id are ordered by their text's hash; texts of any length are cut where the pre-tokenizer cuts; an empty table
+an id are ordered by their text's hash, and ``place`` tells the order in a file; texts of any length are cut where the pre-tokenizer cuts; an empty table
 gives no rows. Columns other than id and text are ignored.
 """
 
@@ -16,27 +16,30 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import PieceMemo, id_lists, shared_path, text_slices
+from brindle.llm.common import PieceMemo, id_lists, pick_lists, shared_path, text_slices
 
 END_ID = 0
 #: Bytes of a row group and rows of a page.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 512
-SCHEMA = "part int, doc_id long, n_tokens long, token_ids array<int>"
+#: Bytes of text that a task encodes at a time.
+SLICE = 12 << 20
+SCHEMA = "part int, place long, doc_id long, n_tokens long, token_ids array<int>"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _GLUE = {"\0": "\n", "\1": "", "": " "}
-#: A comma or full stop after a character that is neither letter nor digit.
-_CLUSTER = re.compile(r"[.,](?:(?<![\w \n][.,])|(?<=_[.,]))")
+#: A comma or full stop after a character that is neither letter nor digit, blank nor line feed.
+_CLUSTER = r"(?:^|[^\p{L}\p{Nd} \n])[.,]"
 #: White space other than blank and line feed.
-_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 
 
 class PieceEncoder:
@@ -59,28 +62,33 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, keys: list[str]) -> list[bytes]:
+    def _pieces(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces. Those with a blank are encoded one after the other, and told apart by the tokens that start with it."""
-        plain = [k for k in keys if k[:1] not in _GLUE and "<" not in k and " " not in k and "\n" not in k]
-        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain[i : i + 256])], add_special_tokens=False)[0].ids, np.int32) for i in range(0, len(plain), 256)] or [np.empty(0, np.int32)])
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(plain):
-            plain, starts = [], starts[:0]
-        raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-        known = {k: raw[a:b] for k, a, b in zip(plain, (4 * starts).tolist(), ends)}  # noqa: B905
-        others = [k for k in keys if k not in known]
-        known.update(zip(others, self._library([_GLUE.get(k[:1], " " + k[:1]) + k[1:] for k in others]), strict=True))
-        return [known[k] for k in keys]
+        plain = [i for i, k in enumerate(keys) if k[:1] not in _GLUE and "<" not in k and " " not in k and "\n" not in k]
+        ids = np.concatenate([np.empty(0, np.int32), *(self._library([" " + " ".join([keys[i] for i in plain[at : at + 256]])])[0] for at in range(0, len(plain), 256))])
+        begins = np.flatnonzero(self.opens[ids])
+        if len(begins) != len(plain):
+            plain, ids, begins = [], ids[:0], begins[:0]
+        starts, sizes = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        starts[plain], sizes[plain] = begins, np.diff(begins, append=len(ids))
+        others = np.flatnonzero(starts < 0)
+        found = self._library([_GLUE.get(k[:1], " " + k[:1]) + k[1:] for k in (keys[i] for i in others.tolist())])
+        sizes[others] = list(map(len, found))
+        starts[others] = len(ids) + np.cumsum(sizes[others]) - sizes[others]
+        return pick_lists(np.concatenate([ids, *found]), starts, sizes)[0], sizes
+
+    def marked(self, texts: list[str]) -> list[str]:
+        """Each text's pieces, but for their blank or with a mark instead, between separators."""
+        clusters = pc.match_substring_regex(pa.array(texts, pa.large_string()), _CLUSTER).to_pylist()
+        return [self._marked(t if c else t.replace(",", "\2\1,").replace(".", "\2\1."), t) for t, c in zip(texts, clusters, strict=True)]
 
     @staticmethod
-    def marked(text: str) -> str:
-        """The text's pieces, each but for its blank or with a mark instead, between separators."""
-        marked = text if _CLUSTER.search(text) else text.replace(",", "\2\1,").replace(".", "\2\1.")
+    def _marked(marked: str, text: str) -> str:
         marked = "\2" + marked.replace("\n", "\2\0").replace(" ", "\2") + "\2"
-        if "\2\2" in marked or "\2\0\2" in marked or "\2\1" == marked[:2] or any(c in text for c in _ODD):  # white space stands beside a cut
+        if "\2\2" in marked or "\2\0\2" in marked or "\2\1" == marked[:2] or _ODD.search(text):  # white space stands beside a cut
             head, *rest = _CUT.split(text)
             return "\2".join(["\1" + head, *(p[1:] if p[0] == " " else "\0" + p[1:] for p in rest)])
         return "\1" + marked[1:-1]
@@ -88,9 +96,9 @@ class PieceEncoder:
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin."""
         odd = {i: self._library([t])[0] for i, t in enumerate(texts) if "\0" in t or "\1" in t or "\2" in t}  # holds the marks themselves
-        ids, offsets = self.memo.lists(["\1" if i in odd else self.marked(t) for i, t in enumerate(texts)], "\2")
+        ids, offsets = self.memo.lists(self.marked(["" if i in odd else t for i, t in enumerate(texts)] if odd else texts), "\2")
         if odd:
-            each = [np.frombuffer(odd[i], np.int32) if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]  # noqa: B905
+            each = [odd[i] if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]  # noqa: B905
             ids, offsets = np.concatenate(each), np.cumsum([0, *map(len, each)])
         return ids, offsets
 
@@ -101,19 +109,20 @@ def _encoder(spec: str) -> PieceEncoder:
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, encoding: str = "dictionary", row_group: int = ROW_GROUP, page_rows: int = PAGE_ROWS) -> None:
-    """Encode every text and write (part, doc_id, n_tokens, token_ids) to ``path``, each file in ascending doc_id order."""
+    """Encode every text and write (part, place, doc_id, n_tokens, token_ids) to ``path``, each file in ascending doc_id order, place by place."""
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
+        encoder, place = _encoder(spec.value), 0
         for whole in batches:
-            for at, n in text_slices(whole.column(2)):
+            for at, n in text_slices(whole.column(2), SLICE):
                 batch = whole.slice(at, n)
                 ids, starts = encoder.encode_all([t or "" for t in batch.column(2).to_pylist()])
                 lists = id_lists(np.insert(ids, starts[1:], end_id), starts + np.arange(n + 1))
                 lengths = pa.array(np.diff(starts) + 1, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lengths, lists], ["part", "doc_id", "n_tokens", "token_ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(place, place + n), pa.int64()), batch.column(1), lengths, lists], ["part", "place", "doc_id", "n_tokens", "token_ids"])
+                place += n
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -127,27 +136,27 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def offsets(files: DataFrame) -> DataFrame:
-    """part, doc_id, n_tokens, token_ids and start, the number of ids in all documents before.
+    """The columns of ``files``, and start: the number of ids in all documents before.
 
     Parts are few and summed first; only metadata columns are read for it.
     """
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = parts.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "token_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return files.join(before, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).drop("base")
 
 
 def checksums(files: DataFrame) -> DataFrame:
-    """part, doc_id, n_tokens and token_crc32: the unsigned crc32 of the ids as little-endian 32-bit integers."""
+    """part, place, doc_id, n_tokens and token_crc32: the unsigned crc32 of the ids as little-endian 32-bit integers."""
 
     @F.arrow_udf("long")
     def crc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            values, ends = np.asarray(lists.flatten()).astype("<u4"), np.cumsum([0, *(len(x) for x in lists)])
+            values, ends = np.asarray(lists.flatten()).astype("<u4"), np.append(0, np.cumsum(pc.list_value_length(lists))).tolist()
             raw = memoryview(values.tobytes())
             yield pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])], pa.int64())  # noqa: B905
 
-    return files.select("part", "doc_id", "n_tokens", crc("token_ids").alias("token_crc32"))
+    return files.select("part", "place", "doc_id", "n_tokens", crc("token_ids").alias("token_crc32"))
 
 
 def token_file_digest(docs: DataFrame, vocabulary: str, path: str | None = None, **options) -> DataFrame:

@@ -59,9 +59,10 @@ class TermReader:
             self.levels[self.bases.setdefault(base, len(self.bases)), level] = i
         self.memo = PieceMemo(self._pieces)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get = self.bases.get
-        return [np.array([i for t in terms_of(p) if (i := get(t)) is not None], np.int32).tobytes() for p in pieces]
+        found = [[i for t in terms_of(p) if (i := get(t)) is not None] for p in pieces]
+        return np.array([i for each in found for i in each], np.int32), np.array(list(map(len, found)), np.int64)
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text its distinct term numbers and their counts."""

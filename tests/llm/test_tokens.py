@@ -5,12 +5,14 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe, token_files
+from brindle.llm.common import PieceMemo
 from brindle.llm.queries import bpe_digest
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -84,9 +86,28 @@ def test_token_files(spark, awkward, plain, byte_library, tmp_path, encoding):
         at += r.n_tokens
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), crc(x)) for i, xs in ids.items() for x in xs)
+    in_files = [row for file in sorted((tmp_path / "tokens").glob("*.parquet")) for row in pq.read_table(file).to_pylist()]
+    assert [(r["doc_id"], crc(r["token_ids"])) for r in in_files] == [(r.doc_id, r.ids_crc32) for r in got]  # also for rows that share an id
     stored = {tuple(r.token_ids) for r in token_files.read_tokens(spark, path).where("doc_id = 9").collect()}
     assert stored == {tuple(x) for x in ids[9]}
 
 
+def test_rows_that_share_an_id_start_where_their_file_says(spark, tmp_path):
+    table = spark.createDataFrame([(7, f"text {i} " * (i + 1)) for i in range(40)] + [(i, "x") for i in range(5, 9)], "doc_id long, text string")
+    got = sorted(token_files.token_file_digest(table, BYTE, str(tmp_path / "ties")).collect(), key=lambda r: r.start)
+    in_files = [row for file in sorted((tmp_path / "ties").glob("*.parquet")) for row in pq.read_table(file).to_pylist()]
+    at = 0
+    for r, row in zip(got, in_files, strict=True):
+        assert (r.start, r.doc_id, r.ids_crc32) == (at, row["doc_id"], zlib.crc32(np.array(row["token_ids"], "<u4").tobytes()))
+        at += r.n_tokens
+
+
+def test_pieces_are_forgotten_and_resolved_again():
+    memo = PieceMemo(lambda pieces: (np.array([int(p) for p in pieces], np.int32), np.ones(len(pieces), np.int64)), size=10)
+    for at in range(0, 60, 3):
+        ids, ends = memo.lists([" ".join(map(str, range(at, at + 6))), "1 2 1"], " ")
+        assert ids.tolist() == [*range(at, at + 6), 1, 2, 1] and ends.tolist() == [0, 6, 9] and len(memo.known) <= 10
+
+
 def test_no_documents_give_empty_files(empty, tmp_path):
     assert token_files.token_file_digest(empty, BYTE, str(tmp_path / "none")).count() == 0
