@@ -42,7 +42,7 @@ LEXICON_WORDS = 131_072
 #: Words of more bytes than this are merged with a heap, others in groups of about one length.
 LONG, WIDTHS = 48, (4, 8, 12, 16, 24, 32, 48)
 #: Bytes of text that a task encodes at a time, and token ids that it spells at a time.
-SLICE, SPELL = 8 << 20, 4 << 20
+SLICE, SPELL = 4 << 20, 1 << 20
 _NONE = np.int32(2**31 - 1)
 #: A comma or full stop after a character that is neither letter nor digit.
 _CLUSTER = re.compile(r"[.,](?:(?<![\w \n][.,])|(?<=_[.,]))")
@@ -366,59 +366,64 @@ def build_lexicon(docs: DataFrame, tokenizer: dict, text_col: str = "text", size
     return compile_lexicon({w: ids[a : a + n].tolist() for w, a, n in zip(frequent, starts, sizes, strict=True)})
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "token_ids", lexicon: bytes | None = None, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "token_ids", lexicon: bytes | None = None, keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
     """The columns in ``keep`` (default: all) and the token ids of every text in ``ids_col``.
 
-    ``vocabulary``: path of the tokenizer file on the driver. Tasks hand on the ids of a few megabytes of text at a time.
+    ``vocabulary``: path of the tokenizer file on the driver. Tasks hand on the ids of a few megabytes of text at a time. With
+    ``decoded_col`` the same tasks decode the ids that they hand on, so that no second worker holds them.
     """
     with open(vocabulary, encoding="utf-8") as file:
         tokenizer = read_tokenizer(file.read())
     compiled = build_lexicon(docs, tokenizer, text_col) if lexicon is None else lexicon
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(tokenizer), context.broadcast(compiled)
-    names = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
+    tokens = context.broadcast(token_names(vocabulary) if decoded_col else [])
+    names = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, decoded_col)]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*(b.value for b in shared))  # goes with the task, so that idle workers stay small
+        table = pa.array(tokens.value, pa.string())
         for whole in batches:
             for at, n in text_slices(whole.column(0), SLICE):
                 batch = whole.slice(at, n)
                 coded = id_lists(*encoder.encode_all([t or "" for t in batch.column(0).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], coded], [*names, ids_col])
+                columns = [*batch.columns[1:], coded]
+                yield pa.RecordBatch.from_arrays([*columns, spell(coded, table)] if decoded_col else columns, [*names, ids_col, *([decoded_col] if decoded_col else [])])
 
     rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in names])
-    return rows.mapInArrow(ids, T.StructType([*rows.schema.fields[1:], T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    return rows.mapInArrow(ids, T.StructType([*rows.schema.fields[1:], *added]))
 
 
-def spelled(docs: DataFrame, ids_col: str, names: list[str]) -> Column:
-    """The names of the ids in a list column, joined by spaces."""
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+def token_names(vocabulary: str) -> list[str]:
+    """The tokens of a tokenizer file by their ids."""
+    with open(vocabulary, encoding="utf-8") as file:
+        model = json.load(file)
+    names = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+    return [names.get(i, "") for i in range(max(names) + 1)]
 
-    @F.arrow_udf("string")
-    def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = pa.array(shared.value, pa.string())
-        for lists in batches:
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            ends, values, parts, at = np.append(0, np.cumsum(sizes)), lists.flatten(), [], 0
-            while at < len(lists):
-                end = max(at + 1, int(np.searchsorted(ends, ends[at] + SPELL, "right")) - 1)
-                words = table.take(values.slice(ends[at], ends[end] - ends[at]))
-                parts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends[at : end + 1] - ends[at], pa.int32()), words), " "))
-                at = end
-            joined = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
-            yield joined if not lists.null_count else pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
 
-    return spell(F.col(f"`{ids_col}`"))
+def spell(lists: pa.ListArray, table: pa.StringArray) -> pa.StringArray:
+    """The tokens of each list of ids, joined by spaces, as a file without decoder asks for; some ids at a time."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, values, parts, at = np.append(0, np.cumsum(sizes)), lists.flatten(), [], 0
+    while at < len(lists):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + SPELL, "right")) - 1)
+        tokens = table.take(values.slice(ends[at], ends[end] - ends[at]))
+        parts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends[at : end + 1] - ends[at], pa.int32()), tokens), " "))
+        at = end
+    joined = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    return joined if not lists.null_count else pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its token ids in ``text_col``: the tokens joined by spaces, as a file without decoder asks for."""
-    with open(vocabulary, encoding="utf-8") as file:
-        model = json.load(file)
-    names = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
-    return encoded.withColumn(text_col, spelled(encoded, ids_col, [names.get(i, "") for i in range(max(names) + 1)]))
+    """``encoded`` with the text of its token ids in ``text_col``."""
+    shared = encoded.sparkSession.sparkContext.broadcast(token_names(vocabulary))
 
+    @F.arrow_udf("string")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pa.array(shared.value, pa.string())
+        for lists in batches:
+            yield spell(lists, table)
 
-def decimals(encoded: DataFrame, size: int, ids_col: str = "token_ids") -> Column:
-    """The ids below ``size`` of a list column as decimal numbers, joined by spaces."""
-    return spelled(encoded, ids_col, list(map(str, range(size))))
+    return encoded.withColumn(text_col, texts(F.col(f"`{ids_col}`")))

@@ -59,7 +59,7 @@ class PieceMemo:
     piece after the other, and how many each has. Of more than ``size`` pieces the half that was met last stays.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], size: int = 600_000):
+    def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], size: int = 300_000):
         self.resolve, self.size, self.clock = resolve, size, 0
         self.known, self.ids = pa.array([], pa.large_string()), np.empty(0, np.int32)
         self.starts, self.sizes, self.met = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)

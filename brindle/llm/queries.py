@@ -37,14 +37,13 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
-    return bpe_digest(bpe.decode(coded, vocabulary))
+    return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], decoded_col="decoded"))
 
 
 def bpe_digest(decoded: DataFrame) -> DataFrame:
     sha = lambda text: F.sha2(text.cast("binary"), 256)
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha(bpe.decimals(decoded, 50_000)).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

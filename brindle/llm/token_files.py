@@ -31,7 +31,7 @@ END_ID = 0
 #: Bytes of a row group and rows of a page.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 512
 #: Bytes of text that a task encodes at a time.
-SLICE = 12 << 20
+SLICE = 4 << 20
 SCHEMA = "part int, place long, doc_id long, n_tokens long, token_ids array<int>"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _GLUE = {"\0": "\n", "\1": "", "": " "}

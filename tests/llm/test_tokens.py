@@ -63,6 +63,7 @@ def test_lexicon_finds_its_words_only_and_is_minimal(words, others):
 
 def test_bpe_digests(awkward, empty, plain, word_library):
     got = bpe_digest(bpe.decode(bpe.encode(awkward, WORD), WORD)).collect()
+    assert Counter(bpe_digest(bpe.encode(awkward, WORD, decoded_col="decoded")).collect()) == Counter(got)
     expected = Counter()
     for i, t, *_ in plain:
         ids = word_library.encode(t or "", add_special_tokens=False).ids
