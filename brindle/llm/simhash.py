@@ -13,14 +13,18 @@ and its components are those of all pairs.
 Texts that are 0.8 alike by five-word shingles lie up to 18 bits apart, where blocks of 64 bits no longer tell candidates from
 others. So ``keep_one`` finds links beyond the distance by minimum hashes of the same shingle hashes: texts that share one of
 MINIMA of them are candidates, unless their SIGNATURE of further minima agrees too little, and the Jaccard similarity of the
-shingle sets of both whole texts decides. All pairs of a key are candidates. In a crowded key the members first meet its hub, the
-member that agrees best with the key's most frequent minima; then only pairs that no link has joined yet are left. These are
-met under the key and one more minimum (as many places as two signatures that agree enough can't all differ in), block by block.
+shingle sets of both whole texts decides. All pairs of a key are candidates where it has few members. In a crowded key the members
+first meet its hub, the member that agrees best with the key's most frequent minima. What no link has joined by then meets in an
+exact join of the shingle sets: each set is ordered by frequency, rarest shingle first, two sets that are alike enough share one
+of their first shingles (prefix filter), have about one size (length filter) and enough shingles left from there on (position
+filter). A line or passage that many texts share thus joins nobody, and no pair is left out. Nodes are distinct texts, told by
+fingerprint and shingle set, not fingerprints.
 
 Defined cases: null, empty and blank texts have no shingle and fingerprint zero, which links like any other. Texts with
-fewer words than a shingle have one shingle, the whole sequence. Repeated rows fall into one group; a null id takes no
-part in the smallest id of a group, and a group without ids has a null component. Very long texts are hashed in
-pieces. An empty table gives no rows.
+fewer words than a shingle have one shingle, the whole sequence. Repeated rows fall into one group; a null id counts as larger
+than any other, and a group without ids has a null component. ``keep_one`` keeps one row of each group: of the smallest id and,
+where texts share that id, of the smallest hash of the text; which of the rows that share both is open. Very long texts are
+hashed in pieces. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,22 +45,21 @@ from brindle.llm.components import connected_components
 BITS, BLOCKS, DISTANCE = 64, 4, 2
 #: For links by similarity: minimum hashes that candidates share one of, and further ones that estimate their similarity.
 MINIMA, SIGNATURE = 6, 32
-#: Distinct fingerprints that may share a key before their links are found by one-bit variants, or first by a hub.
+#: Distinct fingerprints or texts that may share a key before their links are found by one-bit variants, or first by a hub.
 CROWD = 48
-#: Members of a key that one task pairs with as many others.
-BLOCK = 512
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PIECE = 1 << 15
 #: A multiplier for each family of minimum hashes; multiples of one number would give families whose minima change together.
-_FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(MINIMA + SIGNATURE)]
+_FACTORS = [np.uint64(xxhash.xxh64_intdigest(b"family %d" % i) | 1) for i in range(MINIMA)]
+_EDGES = np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(64 - SIGNATURE.bit_length() + 1)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, minima: int = 0) -> tuple[int, list[int]]:
-    """The unsigned 64-bit fingerprint of one text, and its minimum hashes in ``minima`` families."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """The unsigned hashes of the shingles of one text, repeats included."""
     words = _WORD.findall((text or "").encode().translate(_FOLD))
     if not words:
-        return 0, [0] * minima
+        return np.empty(0, np.uint64)
     joined, ends, at = b" ".join(words), [], -1
     for word in words:
         at += len(word) + 1
@@ -66,30 +69,52 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, minima: int
         spans = [(0, len(joined))]
     else:
         spans = zip(starts, ends[shingle - 1 :])  # noqa: B905  the last starts have no full shingle
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of a text's shingle hashes."""
+    ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _PIECE):
         piece = hashes[i : i + _PIECE].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(piece, axis=1).sum(axis=0, dtype=np.int64)
-    least = []
-    with np.errstate(over="ignore"):
-        for family in range(1, minima + 1):
-            x = (hashes ^ (hashes >> np.uint64(31))) * _FACTORS[family - 1]
-            least.append(int((x ^ (x >> np.uint64(29))).min()))
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"), least
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """A hash of the shingle set, its MINIMA and its SIGNATURE: the first hash of each of as many equal ranges, 0 where there is none."""
+    distinct = np.unique(hashes)
+    least = [0] * MINIMA
+    if len(distinct):
+        with np.errstate(over="ignore"):
+            mixed = distinct ^ (distinct >> np.uint64(31))
+            least = [int(((x := mixed * factor) ^ (x >> np.uint64(29))).min()) for factor in _FACTORS]
+    at = np.searchsorted(distinct, _EDGES)
+    filled = at < np.append(at[1:], len(distinct))
+    signature = np.zeros(SIGNATURE, np.uint64)
+    signature[filled] = (distinct[at[filled]] & np.uint64(0x7FFF)) | np.uint64(1)
+    return [xxhash.xxh64_intdigest(distinct.tobytes()), *least, *signature.tolist()]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, minima: int = 0) -> DataFrame:
-    """(doc_id, fp, minima) of every document, all as signed longs."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
+    """(doc_id, text_hash, fp, node) of every document and, with ``sketched``, set, minima and sig of its shingle set; all but the id are numbers.
+
+    A node stands for all equal fingerprints, or for all texts of one fingerprint and shingle set.
+    """
 
     @F.pandas_udf("array<bigint>")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = (fingerprint(t, shingle, minima=minima) for t in texts)
-            yield pd.Series([np.array([fp, *least], np.uint64).view(np.int64) for fp, least in found], dtype=object)
+            found = (shingle_hashes(t, shingle) for t in texts)
+            yield pd.Series([np.array([fingerprint(h), *(sketch(h) if sketched else ())], np.uint64).view(np.int64) for h in found], dtype=object)
 
-    prints = docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("all"))
-    return prints.select("doc_id", F.col("all")[0].alias("fp"), F.slice("all", 2, minima).alias("minima") if minima else F.lit(None).cast("array<bigint>").alias("minima"))
+    all_of = F.col("all")
+    prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), simhash(F.col(text_col)).alias("all"))
+    if not sketched:
+        return prints.select("doc_id", "text_hash", all_of[0].alias("fp"), all_of[0].alias("node"))
+    sig = F.slice("all", 3 + MINIMA, SIGNATURE).cast("array<short>")
+    return prints.select("doc_id", "text_hash", all_of[0].alias("fp"), F.xxhash64(all_of[0], all_of[1]).alias("node"), all_of[1].alias("set"), F.slice("all", 3, MINIMA).alias("minima"), sig.alias("sig"))
 
 
 def block_keys(fp: Column) -> Column:
@@ -140,93 +165,123 @@ def _agreeing(a: str, b: str) -> Column:
     return sum(((F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(SIGNATURE)), F.lit(0))
 
 
-def _met(rows: DataFrame, agree: int, block: int = BLOCK) -> DataFrame:
-    """(u, v) of rows (key, n, fp, root, sig) that share a key, have different roots and agree in ``agree`` places of their signatures.
-
-    The n members of a key are dealt into blocks, and each pair of blocks is joined by itself, so all pairs meet.
-    """
-    many = F.ceil(F.col("n") / block).cast("int")
-    dealt = rows.withColumn("many", many).withColumn("at", F.pmod(F.xxhash64("fp"), F.col("many")).cast("int"))
-    left = dealt.select("key", F.col("at").alias("low"), F.explode(F.sequence(F.col("at"), F.col("many") - 1)).alias("high"), F.col("fp").alias("u"), F.col("root").alias("c"), F.col("sig").alias("a"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("low"), F.col("at").alias("high"), F.col("fp").alias("v"), F.col("root").alias("d"), F.col("sig").alias("b"))
-    met = left.join(right, ["key", "low", "high"]).where("c <> d AND (low < high OR u > v)").where(_agreeing("a", "b") >= agree)
-    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-
-
-def _sized(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (key, fp, root, ...) of keys that more than one root has, with the key's number n; written."""
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (key, root, ...) of keys that more than one root has, with the key's number n; written."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     return written(rows.join(sizes.select("key", "n"), "key"), name)
 
 
+def _met(rows: DataFrame, agree: int) -> DataFrame:
+    """(u, v) of rows (key, node, sig) that share a key and agree in ``agree`` places of their signatures."""
+    left, right = rows.select("key", F.col("node").alias("u"), F.col("sig").alias("a")), rows.select("key", F.col("node").alias("v"), F.col("sig").alias("b"))
+    return left.join(right, "key").where("u > v").where(_agreeing("a", "b") >= agree).select("u", "v")
+
+
 def _to_hubs(rows: DataFrame, agree: int) -> DataFrame:
-    """(u, v) of each row (key, fp, sig) and its key's hub: the member that agrees best with the most frequent value of each place."""
+    """(u, v) of each row (key, node, sig) and its key's hub v: the member that agrees best with the most frequent value of each place."""
     values = rows.select("key", F.posexplode("sig").alias("place", "value")).groupBy("key", "place", "value").agg(F.count("*").alias("n"))
     modes = values.groupBy("key", "place").agg(F.max(F.struct("n", "value")).alias("m")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.col("m.value").alias("value")))).alias("m"))
-    scored = rows.join(modes.select("key", F.col("m.value").alias("b")), "key").select("key", F.struct(_agreeing("sig", "b").alias("same"), "fp", "sig").alias("member"))
-    hubs = scored.groupBy("key").agg(F.max("member").alias("hub")).select("key", F.col("hub.fp").alias("hub"), F.col("hub.sig").alias("b"))
-    met = rows.join(hubs, "key").where("fp <> hub").where(_agreeing("sig", "b") >= agree)
-    return met.select(F.greatest("fp", "hub").alias("u"), F.least("fp", "hub").alias("v"))
+    scored = rows.join(modes.select("key", F.col("m.value").alias("b")), "key").select("key", F.struct(_agreeing("sig", "b").alias("same"), "node", "sig").alias("member"))
+    hubs = scored.groupBy("key").agg(F.max("member").alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.sig").alias("b"))
+    met = rows.join(hubs, "key").where("node <> hub").where(_agreeing("sig", "b") >= agree)
+    return met.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+
 
+def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of sets (node, root, hashes) with different roots that may be ``similarity`` alike; loses no pair that is.
 
-def similar_links(classes: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(u, v) between distinct fingerprints (fp, first_id, minima) whose first documents' texts are at least ``similarity`` alike.
+    Of a key's sets, those of its largest root only meet the others, which are few where links have joined most of them.
+    """
+    shingles = sets.select("node", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    frequency = shingles.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = shingles.join(frequency, "h").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    first = F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
+    keys = ordered.select("node", "root", "size", F.posexplode(first).alias("at", "s")).where("s.df > 1").select("node", "root", "size", "at", F.col("s.h").alias("key"))
+    keys = _shared(keys, "simhash-prefixes")
+    largest = keys.groupBy("key", "root").agg(F.count("*").alias("of_root")).groupBy("key").agg(F.max(F.struct("of_root", "root")).alias("most")).select("key", F.col("most.root").alias("main"))
+    keys = keys.join(largest, "key")
+    left = keys.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("c"), F.col("size").alias("m"), F.col("at").alias("i"))
+    right = keys.select("key", F.col("node").alias("v"), F.col("root").alias("d"), "size", F.col("at").alias("j"), (F.col("root") == F.col("main")).alias("in_main"))
+    need = F.ceil((F.col("m") + F.col("size")) * (similarity / (1 + similarity)) - 1e-9)
+    near = (F.least("m", "size") >= similarity * F.greatest("m", "size") - 1e-9) & (1 + F.least(F.col("m") - F.col("i"), F.col("size") - F.col("j")) - 1 >= need)
+    return left.join(right, "key").where("c <> d AND (in_main OR u > v)").where(near).select("u", "v").distinct()
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """(u, v) between nodes (node, first, minima, sig), one to a shingle set, whose texts are at least ``similarity`` alike.
 
     Of crowded keys, pairs that these links and the ``known`` ones already join are left out; the components are those of all pairs.
     """
-    sig = F.transform(F.slice("minima", MINIMA + 1, SIGNATURE), lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short")).alias("sig")
     agree = int((similarity - 0.25) * SIGNATURE)
-    named = classes.where("minima IS NOT NULL").select("fp", F.col("fp").alias("root"), "minima", sig)
     one = [F.xxhash64(F.lit(i), F.col("minima")[i]) for i in range(MINIMA)]
-    first = _sized(named.select("fp", "root", "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
+    first = _shared(nodes.select("node", F.col("node").alias("root"), "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
     crowded = first.where(F.col("n") > crowd)
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, text) of the wanted nodes; written."""
+        asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("a"), F.col("first.text_hash").alias("b"))
+        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+        return written(rows.join(asked, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b"))).groupBy("node").agg(F.first("text").alias("text")), name)
+
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    @F.pandas_udf("array<bigint>")
+    def hash_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)
+
     def verified(pairs: DataFrame) -> DataFrame:
         candidates = written(pairs.distinct(), "simhash-candidates")
-        ends = candidates.select(F.col("u").alias("fp")).unionByName(candidates.select(F.col("v").alias("fp"))).distinct()
-        texts = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(classes.join(ends, "fp", "left_semi").select("fp", "first_id"), "first_id").dropDuplicates(["fp"])
-        texts = written(texts.select("fp", "text"), "simhash-texts")
-        met = candidates.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+        texts = texts_of(candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct(), "simhash-texts")
+        # the hub first, while rows are small
+        met = candidates.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return written(met.where(alike("a", "b") >= similarity).select("u", "v"), "simhash-links")
 
     found = verified(_met(first.where(F.col("n") <= crowd), agree).unionByName(_to_hubs(crowded, agree)))
     if crowded.isEmpty():
         return found
-    roots = connected_components(known.unionByName(found)).withColumnRenamed("node", "fp")
-    rooted = crowded.select("key", "fp", "sig").join(roots, "fp", "left").select("key", "fp", "sig", F.coalesce("root", "fp").alias("root"))
-    apart = _sized(rooted, "simhash-apart")
-    if apart.isEmpty():
-        return found
-    two = [F.xxhash64(F.col("key"), F.lit(i), F.col("sig")[i]) for i in range(SIGNATURE - agree + 1)]
-    second = _sized(apart.select("fp", "root", "sig", F.explode(F.array(*two)).alias("key")), "simhash-minima-pairs")
-    return found.unionByName(verified(_met(second, agree)))
+    roots = connected_components(known.unionByName(found))
+    rooted = crowded.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = written(_shared(rooted, "simhash-apart").select("node", "root").distinct(), "simhash-apart-nodes")
+    sets = texts_of(apart.select("node"), "simhash-apart-texts").select("node", hash_set("text").alias("hashes"))
+    return found.unionByName(verified(_prefix_pairs(apart.join(sets, "node"), similarity)))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents' prints, and (node, fp, first, copies, keeper) of every node; ``first`` and ``keeper`` are the least (no_id, doc_id, text_hash) of the node and of its group."""
+    sketched = similarity is not None
+    prints = written(fingerprints(docs, id_col, text_col, shingle, sketched), "simhash")
+    same = [F.min(c).alias(c) for c in ("fp", *(("set", "minima", "sig") if sketched else ()))]
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = written(prints.groupBy("node").agg(*same, F.min(place).alias("first"), F.count("*").alias("copies")), "simhash-nodes")
+    edges = links(nodes.select("fp").distinct())
+    if sketched:
+        of_print, of_set = (nodes.groupBy(c).agg(F.min("node").alias("v")) for c in ("fp", "set"))
+        ends = edges.join(of_print.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(of_print.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        stars = [nodes.join(of, c).where("node <> v").select(F.col("node").alias("u"), "v") for c, of in (("fp", of_print), ("set", of_set))]
+        edges = written(ends.unionByName(stars[0]).unionByName(stars[1]), "simhash-edges")
+        edges = edges.unionByName(similar_links(nodes.join(of_set.select(F.col("v").alias("node")), "node", "left_semi"), docs, edges, id_col, text_col, shingle, similarity))
+    roots = connected_components(edges)
+    rooted = nodes.join(roots, "node", "left").select("node", "fp", "first", "copies", F.coalesce("root", "node").alias("root"))
+    keepers = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
+    return prints, rooted.join(keepers, "root").select("node", "first", "copies", "keeper")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
-    """Per document: doc_id, fp, component_id (the smallest id of its group) and copies (documents with its fingerprint).
+    """Per document: doc_id, fp, component_id (the smallest id of its group) and copies (documents with its fingerprint, or text).
 
     With ``similarity``, texts that are at least so alike are linked too.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle, 0 if similarity is None else MINIMA + SIGNATURE), "simhash")
-    firsts = [F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min_by("minima", "doc_id").alias("minima")]
-    classes = written(prints.groupBy("fp").agg(*firsts), "simhash-classes")
-    edges = links(classes.select("fp"))
-    if similarity is not None:
-        edges = written(edges, "simhash-edges")
-        edges = edges.unionByName(similar_links(classes, docs, edges, id_col, text_col, shingle, similarity))
-    roots = connected_components(edges)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id", "copies"), "fp").select("doc_id", "fp", "component_id", "copies")
+    prints, nodes = grouped(docs, id_col, text_col, shingle, similarity)
+    return prints.select("doc_id", "fp", "node").join(nodes.select("node", F.col("keeper.doc_id").alias("component_id"), "copies"), "node").select("doc_id", "fp", "component_id", "copies")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, each once; rows without id stay."""
-    groups = near_duplicates(docs, shingle=shingle, similarity=similarity)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
+    """One row of ``docs`` of each near-duplicate group, all columns."""
+    _, nodes = grouped(docs, shingle=shingle, similarity=similarity)
+    kept = nodes.where(F.col("first") == F.col("keeper")).select(F.col("keeper.doc_id").alias("a"), F.col("keeper.text_hash").alias("b")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    named = rows.join(kept, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b")), "left_semi")
+    return named.dropDuplicates(["id", "hash"]).select("row.*")
