@@ -40,10 +40,10 @@ def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], decoded_col="decoded"))
 
 
-def bpe_digest(decoded: DataFrame) -> DataFrame:
+def bpe_digest(decoded: DataFrame, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
     sha = lambda text: F.sha2(text.cast("binary"), 256)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    return decoded.select(*keep, F.size("token_ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded, class-balanced sample of labelled documents is the index. Terms (words, and word starts marked ``*``, each
-also for repeated occurrence) that tell toxic documents from clean ones span the space; a document is its TF-IDF vector over them, with document frequencies counted
-over the whole corpus. The examples' vectors are stored as inverted lists, cut into blocks of examples; for each term
+also for repeated occurrence) that tell toxic documents from clean ones span the space; a document is its TF-IDF vector over
+them, with document frequencies counted over the whole corpus. Vectors over all terms are not used, as a few toxic words weigh
+little beside a text's own rare ones: see the README for figures. The examples' vectors are stored as inverted lists, cut into blocks of examples; for each term
 and block the largest weight is kept. A query adds these maxima up to a bound per block, visits blocks in the order of
 their bounds, and stops when no bound reaches the k-th best cosine: the result is the exact top k. Neighbours vote by
 distance, and an isotonic map from votes to label rates, fitted on the examples with themselves left out, calibrates.
 
 Defined cases: null and empty texts, and texts without any of the terms, get the label rate of the examples without
 terms. Equal texts get equal scores; ties among neighbours go to the example that stands first in the index. Rows of
-``labels`` with a null label or id are ignored; of repeated ids the largest label counts. Without toxic or without clean
+``labels`` with a null label or id are ignored; of repeated ids the largest label and the least text count. Without toxic or without clean
 examples every score is the label rate. Very long texts are read whole. An empty table gives no rows.
 """
 
@@ -42,6 +43,14 @@ def terms_of(piece: str) -> list[str]:
     return words + [w[:n] + "*" for w in words for n in STARTS if len(w) > n]
 
 
+def count_terms(text: str | None) -> Counter[str]:
+    terms: Counter[str] = Counter()
+    for piece, n in Counter((text or "").split()).items():
+        for term in terms_of(piece):
+            terms[term] += n
+    return terms
+
+
 def repeated(counts: Counter[str]) -> set[str]:
     """The terms of a text, and for those that occur often a further term for each of REPEATS that they reach."""
     return {t + (chr(n) if n > 1 else "") for t, c in counts.items() for n in REPEATS if c >= n}
@@ -166,7 +175,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, examples
     train = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
     counts = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     picks = [train.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return written(sample, "toxic-sample"), (counts.get(0, 0), counts.get(1, 0))
 
 
@@ -176,12 +185,9 @@ def select_terms(sample: DataFrame, sizes: tuple[int, int], limit: int = TERMS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms: Counter[str] = Counter()
-                for piece, n in Counter((text or "").split()).items():
-                    for term in terms_of(piece):
-                        terms[term] += n
-                found[toxic].update(repeated(terms))
+            for at, n in text_slices(batch.column(0)):
+                for text, toxic in zip(*(c.to_pylist() for c in batch.slice(at, n).columns), strict=True):
+                    found[toxic].update(repeated(count_terms(text)))
             names = list(found[0] | found[1])
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[y][t] for t in names], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
@@ -298,6 +304,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score stays under ``limit``, all columns."""
-    name = "__toxicity"
-    scored = docs.withColumn(name, score_column(docs, fit(docs, labels)))
-    return scored.where(F.col(f"{name}.score") < limit).drop(name)
+    scored = docs.select(F.struct("*").alias("row"), score_column(docs, fit(docs, labels)).alias("s"))
+    return scored.where(F.col("s.score") < limit).select("row.*")

@@ -50,6 +50,38 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_scores_and_evidence_match_brute_force(spark):
+    """Every document against every example, with vectors made term by term."""
+    docs, table, labels = labelled(spark)
+    model = toxicity.fit(table, labels)
+    index, idf = model.index, model.index.idf
+
+    def vector(text):
+        counts, out = toxicity.count_terms(text), np.zeros(len(idf))
+        for term, i in model.terms.items():
+            level = {chr(n): n for n in toxicity.REPEATS if n > 1}.get(term[-1], 1)
+            tf = counts[term[:-1] if level > 1 else term]
+            out[i] = 2 * tf / (tf + 1) * idf[i] if tf >= level else 0
+        return out / (np.sqrt((out * out).sum()) or 1)
+
+    texts = {}
+    for i, t, *_ in docs:
+        texts[i] = min(t, texts.get(i, t)) if t is not None else texts.get(i)
+    examples = np.array([vector(texts[i]) for i in index.doc_ids.tolist()])
+    got = {(r.doc_id, round(r.score, 9), tuple(r.evidence)) for r in toxicity.toxicity(table, labels).collect()}
+    for i, t, *_ in docs:
+        own = vector(t)
+        cosine = np.round(examples @ own, 9)
+        best = [k for k in np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEIGHBOURS] if cosine[k] > 0]
+        if not best:
+            expected = model.bare
+        else:
+            near = index.weights[best] / (1.05 - np.minimum(cosine[best], 1))
+            expected = np.interp((near * index.labels[best]).sum() / near.sum(), model.bins, model.rates)
+        scores = [s for d, s, e in got if d == i and (e == tuple(index.doc_ids[best[:3]].tolist()))]
+        assert scores and abs(scores[0] - expected) < 1e-6
+
+
 def test_without_labels_scores_are_the_rate(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity(awkward, none).collect()} == {0.0}
