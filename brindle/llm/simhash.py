@@ -14,8 +14,8 @@ Texts that are 0.8 alike by five-word shingles lie up to 18 bits apart, where bl
 others. So ``keep_one`` finds links beyond the distance by minimum hashes of the same shingle hashes: texts that share one of
 MINIMA of them are candidates, unless their SIGNATURE of further minima agrees too little, and the Jaccard similarity of the
 shingle sets of both whole texts decides. All pairs of a key are candidates where it has few members. In a crowded key the members
-first meet its hub, the member that agrees best with the key's most frequent minima. What no link has joined by then meets in an
-exact join of the shingle sets: each set is ordered by frequency, rarest shingle first, two sets that are alike enough share one
+first meet its hub, the member that agrees best with the key's most frequent minima, and those that the largest group doesn't hold
+then meet more such members, one from each of HUBS parts of the key. What no link has joined by then meets in an exact join of the shingle sets: each set is ordered by frequency, rarest shingle first, two sets that are alike enough share one
 of their first shingles (prefix filter), have about one size (length filter) and enough shingles left from there on (position
 filter). A line or passage that many texts share thus joins nobody, and no pair is left out. Nodes are distinct texts, told by
 fingerprint and shingle set, not fingerprints.
@@ -47,6 +47,8 @@ BITS, BLOCKS, DISTANCE = 64, 4, 2
 MINIMA, SIGNATURE = 6, 32
 #: Distinct fingerprints or texts that may share a key before their links are found by one-bit variants, or first by a hub.
 CROWD = 48
+#: Hubs of a crowded key.
+HUBS = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _PIECE = 1 << 15
@@ -177,16 +179,25 @@ def _met(rows: DataFrame, agree: int) -> DataFrame:
     return left.join(right, "key").where("u > v").where(_agreeing("a", "b") >= agree).select("u", "v")
 
 
-def _to_hubs(rows: DataFrame, agree: int) -> DataFrame:
-    """(u, v) of each row (key, node, sig) and its key's hub v: the member that agrees best with the most frequent value of each place."""
-    values = rows.select("key", F.posexplode("sig").alias("place", "value")).groupBy("key", "place", "value").agg(F.count("*").alias("n"))
-    modes = values.groupBy("key", "place").agg(F.max(F.struct("n", "value")).alias("m")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.col("m.value").alias("value")))).alias("m"))
-    scored = rows.join(modes.select("key", F.col("m.value").alias("b")), "key").select("key", F.struct(_agreeing("sig", "b").alias("same"), "node", "sig").alias("member"))
-    hubs = scored.groupBy("key").agg(F.max("member").alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.sig").alias("b"))
-    met = rows.join(hubs, "key").where("node <> hub").where(_agreeing("sig", "b") >= agree)
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(key, part, member): of each of HUBS parts of a key's rows (key, node, sig) the member that agrees best with the key's most frequent values."""
+    modes = rows.groupBy("key").agg(F.array(*[F.mode(F.col("sig")[i]) for i in range(SIGNATURE)]).alias("b"))  # a place has 16384 values at most
+    scored = rows.join(modes, "key").select("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("part"), F.struct(_agreeing("sig", "b").alias("same"), "node", "sig").alias("member"))
+    return scored.groupBy("key", "part").agg(F.max("member").alias("member"))
+
+
+def _to_hubs(rows: DataFrame, hubs: DataFrame, agree: int) -> DataFrame:
+    """(u, v) of each row (key, node, sig) and the hubs v of its key."""
+    met = rows.join(hubs.select("key", F.col("member.node").alias("hub"), F.col("member.sig").alias("b")), "key").where("node <> hub").where(_agreeing("sig", "b") >= agree)
     return met.select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
+def _of_largest(rows: DataFrame) -> DataFrame:
+    """Rows (key, root, ...) with main: the root that most of the key's rows have."""
+    largest = rows.groupBy("key", "root").agg(F.count("*").alias("of_root")).groupBy("key").agg(F.max(F.struct("of_root", "root")).alias("most"))
+    return rows.join(largest.select("key", F.col("most.root").alias("main")), "key")
+
+
 def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of sets (node, root, hashes) with different roots that may be ``similarity`` alike; loses no pair that is.
 
@@ -198,8 +209,7 @@ def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     first = F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
     keys = ordered.select("node", "root", "size", F.posexplode(first).alias("at", "s")).where("s.df > 1").select("node", "root", "size", "at", F.col("s.h").alias("key"))
     keys = _shared(keys, "simhash-prefixes")
-    largest = keys.groupBy("key", "root").agg(F.count("*").alias("of_root")).groupBy("key").agg(F.max(F.struct("of_root", "root")).alias("most")).select("key", F.col("most.root").alias("main"))
-    keys = keys.join(largest, "key")
+    keys = _of_largest(keys)
     left = keys.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("c"), F.col("size").alias("m"), F.col("at").alias("i"))
     right = keys.select("key", F.col("node").alias("v"), F.col("root").alias("d"), "size", F.col("at").alias("j"), (F.col("root") == F.col("main")).alias("in_main"))
     need = F.ceil((F.col("m") + F.col("size")) * (similarity / (1 + similarity)) - 1e-9)
@@ -239,12 +249,18 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
         met = candidates.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return written(met.where(alike("a", "b") >= similarity).select("u", "v"), "simhash-links")
 
-    found = verified(_met(first.where(F.col("n") <= crowd), agree).unionByName(_to_hubs(crowded, agree)))
+    hubs = written(_hubs(crowded), "simhash-hubs")
+    found = verified(_met(first.where(F.col("n") <= crowd), agree).unionByName(_to_hubs(crowded, hubs.groupBy("key").agg(F.max("member").alias("member")), agree)))
     if crowded.isEmpty():
         return found
-    roots = connected_components(known.unionByName(found))
-    rooted = crowded.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = written(_shared(rooted, "simhash-apart").select("node", "root").distinct(), "simhash-apart-nodes")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        roots = connected_components(known.unionByName(found))
+        return rows.select("key", "node", "sig").join(roots, "node", "left").select("key", "node", "sig", F.coalesce("root", "node").alias("root"))
+
+    apart = _shared(rooted(crowded), "simhash-apart")
+    found = written(found.unionByName(verified(_to_hubs(_of_largest(apart).where("root <> main"), hubs, agree))), "simhash-found")
+    apart = written(_shared(rooted(apart), "simhash-apart").select("node", "root").distinct(), "simhash-apart-nodes")
     sets = texts_of(apart.select("node"), "simhash-apart-texts").select("node", hash_set("text").alias("hashes"))
     return found.unionByName(verified(_prefix_pairs(apart.join(sets, "node"), similarity)))
 
