@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import hash_uuid, stable_bucket, tokens
 from brindle.operators import admin, catalog, chunking, encoders, fusion, index, metrics, rag, rerank, retrieve, understanding
-from brindle.session import shared_path
+from brindle.session import shared_path, spread
 from brindle.sources import files
 from brindle.streaming import watch
 
@@ -30,7 +30,8 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 # ---- SQL pieces
@@ -126,7 +127,10 @@ def _map_case(ending: str, table: dict[str, str], default: str) -> str:
     return f"CASE {ending} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
 
 
-@query(f"WITH p AS (SELECT doc_id, {ENDED} AS path FROM documents) SELECT doc_id, {_map_case(chr(108) + 'ower(regexp_extract(path, ' + chr(39) + '([.][^./]+)$' + chr(39) + ', 1))', files.LANGUAGES, 'NULL')} AS language FROM p")
+ENDING = "lower(regexp_extract(path, '([.][^./]+)$', 1))"
+
+
+@query(f"WITH p AS (SELECT doc_id, {ENDED} AS path FROM documents) SELECT doc_id, {_map_case(ENDING, files.LANGUAGES, 'NULL')} AS language FROM p")
 def a10_language_by_ext(spark, d):
     return t(spark, d, "documents").select("doc_id", files.language(_ended()).alias("language"))
 

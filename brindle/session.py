@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "12g", app: str = "brindle", **conf: str) -> SparkSession:
@@ -30,6 +30,15 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "brindle", **c
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "brindle-shared")
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or os.path.join(tempfile.gettempdir(), "brindle-shared")
     return f"{root.rstrip('/')}/brindle/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it comes from fewer files than that; tables of more files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
