@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,23 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import shared_path, spread
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else os.path.join(tempfile.gettempdir(), "brindle-shared")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -51,7 +40,7 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null counts as empty."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")  # the same class: \s is ASCII white space here
 
 
 class PieceMemo:

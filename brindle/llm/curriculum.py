@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import word_count
+from brindle.llm.common import word_count, written
 
 WEIGHTS = (1, 2, 3)
 #: Slopes of the weight schedules, by the place of a source's weight in WEIGHTS: light sources rise, heavy ones fall.
@@ -62,7 +62,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, slopes
     )
 
 
-def plan_mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
+def plan_mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = MAX_REPEATS, weights: tuple[int, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, stored: bool = False) -> DataFrame:
     """The columns in ``keep`` and, per document, __mix_size, __mix_source_size, __mix_target, __mix_before and __mix_passes."""
     keyed = docs.select(
         *[F.col(f"`{c}`") for c in keep],
@@ -70,6 +70,8 @@ def plan_mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t")).alias("__mix_source"),
         order_key(F.col(id_col), F.col(text_col)).alias("__mix_key"),
     ).withColumn("__mix_piece", F.floor(F.col("__mix_key") / F.lit((1 << 60) // PIECES)).cast("int"))
+    if stored:  # small rows: counted and hashed once
+        keyed = written(keyed, "mix-keys")
     pieces = keyed.groupBy("__mix_source", "__mix_piece").agg(F.sum("__mix_size").alias("__mix_piece_size"))
     targets = source_targets(pieces.groupBy("__mix_source").agg(F.sum("__mix_piece_size").alias("__mix_source_size")), weights, slopes, max_repeats)
     earlier = Window.partitionBy("__mix_source").orderBy("__mix_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,23 +97,27 @@ def position(number: Column) -> Column:
     return u * F.col("__mix_all")
 
 
+def in_training_order(plan: DataFrame) -> DataFrame:
+    """A row for each pass that the mix takes, with ``__mix_position``, range-partitioned and sorted by it."""
+    rows = plan.where(F.col("__mix_passes") > 0).withColumn("__mix_pass", F.explode(F.sequence(F.lit(0), F.col("__mix_passes") - 1)))
+    return rows.withColumn("__mix_position", position(F.col("__mix_pass"))).repartitionByRange("__mix_position").sortWithinPartitions("__mix_position")
+
+
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """All columns of ``docs``, a row for each pass that the mix takes, in training order, with ``__mix_position``."""
     names = docs.columns
-    taken = plan_mix(docs, keep=names, **options).where(F.col("__mix_passes") > 0)
-    rows = taken.withColumn("__mix_pass", F.explode(F.sequence(F.lit(0), F.col("__mix_passes") - 1)))
-    rows = rows.withColumn("__mix_position", position(F.col("__mix_pass")))
-    return rows.repartitionByRange("__mix_position").sortWithinPartitions("__mix_position").select(*[f"`{c}`" for c in names], "__mix_position")
+    return in_training_order(plan_mix(docs, keep=names, **options)).select(*[f"`{c}`" for c in names], "__mix_position")
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
-    """Per document, whatever of it the mix takes: the digest of ``training_order``."""
-    plan = plan_mix(docs, keep=["doc_id"], **options)
-    return plan.select(
+    """Per document, whatever of it the mix takes: counted from the rows in training order."""
+    plan = written(plan_mix(docs, keep=["doc_id"], stored=True, **options).withColumn("__mix_row", F.monotonically_increasing_id()), "mix-plan")
+    taken = in_training_order(plan).groupBy("__mix_row").agg(F.sum("__mix_size").alias("taken"), F.min("__mix_position").alias("first"))
+    return plan.join(taken, "__mix_row", "left").select(
         "doc_id",
         F.col("__mix_size").alias("size"),
         F.col("__mix_source_size").alias("source_size"),
         F.col("__mix_target").alias("target"),
-        (F.col("__mix_size") * F.col("__mix_passes")).cast("long").alias("taken"),
-        F.when(F.col("__mix_passes") > 0, F.round(position(F.lit(0)), 3)).alias("first_position"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.round("first", 3).alias("first_position"),
     )

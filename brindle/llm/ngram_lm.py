@@ -18,7 +18,6 @@ weights stay at their equal start; an empty table gives no rows. Two tokens with
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +54,15 @@ def slices(docs: DataFrame, trained, held, id_col: str = "doc_id", text_col: str
     kind = F.when(~trained, OTHER).when(held, HELD).otherwise(FIT)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # a task that runs again gives its slices the same numbers
         waiting: dict[int, list[pa.RecordBatch]] = {k: [] for k in (FIT, HELD, OTHER)}
         sizes = dict.fromkeys(waiting, 0)
 
         def flush(k: int) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
             table = pa.Table.from_batches(waiting[k]).combine_chunks().to_batches()[0]
-            row = [[int.from_bytes(os.urandom(7), "big")], [k], [sizes[k]], [_pack(table)]]
+            row = [[number], [k], [sizes[k]], [_pack(table)]]
             waiting[k], sizes[k] = [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["slice", "kind", "bytes", "blob"])
 
@@ -118,23 +121,23 @@ def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
 def _keys_out(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Differences of sorted keys and counts, byte by byte of equal weight, compressed."""
     steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(steps + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(steps + counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _keys_in(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // 12
+    n = len(raw) // 16
     steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(8, n).T).view("<u8").ravel()
 
 
 def _counts_out(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _counts_in(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
 def requests(packed: DataFrame, bits: int) -> DataFrame:
@@ -165,7 +168,7 @@ def answers(asked: DataFrame) -> DataFrame:
         sent = [_keys_in(b) for b in group.blob]
         sizes = [len(k) for k, _ in sent]
         distinct, place = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
-        weight = np.concatenate([c for _, c in sent]).astype(np.float64)
+        weight = np.concatenate([c for _, c in sent]).astype(np.float64)  # sums are exact up to 2 ** 53
         kind = np.repeat(group.kind.to_numpy(), sizes)
         sums = {k: np.bincount(place[kind == k], weight[kind == k], len(distinct)).astype(np.int64) for k in (FIT, HELD)}
         every, at = sums[FIT] + sums[HELD], 0

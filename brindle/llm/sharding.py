@@ -13,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +64,25 @@ class SlotMap:
         return SlotMap(shards, n, self.version + 1, [i for i, (a, b) in enumerate(zip(self.shards, shards, strict=True)) if a != b])
 
     def store(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the map's table (version, slot, shard)."""
-        rows = [(self.version, slot, shard) for slot, shard in enumerate(self.shards)]
-        spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Append this version to the map's table (version, slot, shard, n_shards); a version is written once."""
+        newest = SlotMap.load(spark, path)
+        if newest and newest.version >= self.version:
+            raise ValueError(f"{path} holds version {newest.version} already")
+        rows = [(self.version, slot, shard, self.n_shards) for slot, shard in enumerate(self.shards)]
+        spark.createDataFrame(rows, "version int, slot int, shard int, n_shards int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """A stored version, the newest unless one is named."""
-        stored = spark.read.schema("slot int, shard int, version int").parquet(path)
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """A stored version, the newest unless one is named; None where nothing is stored."""
+        try:
+            stored = spark.read.schema("slot int, shard int, n_shards int, version int").parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
         version = version or stored.agg(F.max("version")).first()[0]
-        rows = sorted((r.slot, r.shard) for r in stored.where(F.col("version") == version).collect())
-        return cls([s for _, s in rows], max(s for _, s in rows) + 1, version)
+        rows = sorted((r.slot, r.shard, r.n_shards) for r in stored.where(F.col("version") == version).collect())
+        return cls([s for _, s, _ in rows], rows[0][2], version)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
@@ -91,6 +100,9 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sl
 def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None, **cols: str) -> DataFrame:
     """Shard, place in the shard and map version of every record; shards get nearly equal bytes.
 
+    A map stored at ``map_path`` is loaded, its newest version rebalanced for these records and ``n_shards``, and what
+    changes appended as the next version; without a path a new map is stored.
+
     The driver holds the map and the slots' totals: ``n_slots`` rows, whatever the size of the table. The place in a
     shard is the place in the slot plus the rows of the shard's earlier slots, so no task sorts a whole shard.
     """
@@ -98,10 +110,17 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, ma
     rows = written(digest(docs, n_slots=n_slots, **cols), "slots")
     totals = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     path = map_path or shared_path(spark, "slot-map")
-    first = SlotMap.uniform(n_slots, n_shards)
-    first.store(spark, path)
-    latest = first.rebalance({r.virtual_slot: r.bytes for r in totals})
-    latest.store(spark, path)
+    held = SlotMap.load(spark, path)
+    if held is None:
+        held = SlotMap.uniform(n_slots, n_shards)
+        held.store(spark, path)
+    if len(held.shards) != n_slots:
+        raise ValueError(f"{path} maps {len(held.shards)} slots, not {n_slots}")
+    latest = held.rebalance({r.virtual_slot: r.bytes for r in totals}, n_shards)
+    if latest.moved or n_shards != held.n_shards:
+        latest.store(spark, path)
+    else:
+        latest = held
     counts, starts, placed = {r.virtual_slot: r.n for r in totals}, [0] * n_shards, []
     for slot, shard in enumerate(latest.shards):
         placed.append((slot, shard, starts[shard], latest.version))

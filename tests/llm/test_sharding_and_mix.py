@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,6 +45,22 @@ def test_map_versions_are_stored(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path, 1).shards == first.shards
 
 
+def test_a_stored_map_is_loaded_edited_and_grown(spark, awkward, tmp_path):
+    path = str(tmp_path / "kept")
+    first = {(r.virtual_slot, r.shard) for r in sharding.assign_shards(awkward, 3, 64, path).collect()}
+    again = sharding.assign_shards(awkward, 3, 64, path).collect()
+    assert {(r.virtual_slot, r.shard) for r in again} == first  # nothing to mend, nothing moves
+    kept = sharding.SlotMap.load(spark, path)
+    assert len(kept.shards) == 64 and {r.map_version for r in again} == {kept.version}
+    grown = sharding.assign_shards(awkward, 4, 64, path).collect()
+    newest = sharding.SlotMap.load(spark, path)
+    assert newest.version == kept.version + 1 and newest.n_shards == 4 and {r.map_version for r in grown} == {newest.version}
+    with pytest.raises(ValueError, match="version"):
+        kept.store(spark, path)
+    with pytest.raises(ValueError, match="slots"):
+        sharding.assign_shards(awkward, 4, 32, path)
+
+
 def water_level(sizes: dict, weights: dict, repeats: int = 3) -> dict:
     total, capped, free = sum(sizes.values()), {}, set(sizes)
     while free:
