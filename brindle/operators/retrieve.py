@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import TOKEN_GAP, tokens
-from brindle.operators.index import doc_lengths, postings
+from brindle.operators.index import postings
+from brindle.session import shared_path
 
 K1, B = 1.2, 0.75
+#: Query terms or entries that may be part of a filter or be broadcast.
+FEW_TERMS = 20_000
 
 
 def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
@@ -19,22 +24,36 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> Dat
     return queries.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def term_hits(docs: DataFrame, terms: DataFrame, few: int = FEW_TERMS) -> DataFrame:
+    """(row, doc_id, dl, hits): of every row its length and, as (term, tf), the query terms in it; one scan, written.
+
+    Up to ``few`` query terms are part of the filter; of more all words are kept.
+    """
+    listed = [r.term for r in terms.select("term").distinct().limit(few + 1).collect()]
+    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    found = F.filter("words", lambda w: w.isin(listed)) if len(listed) <= few else F.col("words")
+    rows = words.select("doc_id", F.size("words").cast("long").alias("dl"), found.alias("found"))
+    tf = F.transform(F.array_distinct("found"), lambda w: F.struct(w.alias("term"), F.size(F.filter("found", lambda x: x == w)).cast("long").alias("tf")))
+    path = shared_path(docs.sparkSession, "bm25-hits")
+    rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "dl", tf.alias("hits")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def bm25_scores(docs: DataFrame, terms: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score, matched) of documents that hold a query term; terms: (qid, term, weight).
 
-    Only postings of query terms are counted and shuffled. Statistics come from ``statistics`` (the whole corpus, where
-    ``docs`` is filtered to a tenant) or from ``docs``.
+    One scan keeps of every row its length and its query terms, and all counts come from what it wrote; only scores are
+    shuffled. Rows that share an id count each for itself. Statistics come from ``statistics`` (the whole corpus, where ``docs``
+    is filtered to a tenant) or from ``docs``.
     """
-    base = docs if statistics is None else statistics
-    wanted = terms.select("term").distinct()
-    found = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    all_found = found if statistics is None else base.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").select("doc_id", "term").distinct()
-    df = all_found.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = doc_lengths(base).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    found = term_hits(docs, terms)
+    base = found if statistics is None else term_hits(statistics, terms)
+    df = base.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    corpus = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    asked = terms.join(df, "term").crossJoin(corpus).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("qid", "term", "weight", "idf", "avgdl")
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rated = found.join(df, "term").join(doc_lengths(docs), "doc_id").crossJoin(F.broadcast(corpus)).select("doc_id", "term", (idf * norm).alias("s"))
-    return terms.join(rated, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("s")), 6).alias("score"), F.count("*").alias("matched"))
+    rated = found.select("row", "doc_id", "dl", F.inline("hits")).join(asked, "term")
+    return rated.groupBy("qid", "row", "doc_id").agg(F.round(F.sum(F.col("weight") * (F.col("idf") * norm)), 6).alias("score"), F.count("*").alias("matched")).drop("row")
 
 
 def top_k(scores: DataFrame, k: int, key: str = "doc_id", query: str = "qid", score: str = "score") -> DataFrame:
@@ -65,86 +84,121 @@ def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame, k: int = 20
     return top_k(scores, k)
 
 
-def sparse_search(vectors: DataFrame, queries: DataFrame, k: int = 20, idf: bool = False) -> DataFrame:
-    """Inner products of (doc_id, idx, val) with (qid, idx, val); ``idf`` weighs entries by their document frequency."""
+def sparse_search(vectors: DataFrame, queries: DataFrame, k: int = 20, idf: bool = False, few: int = FEW_TERMS) -> DataFrame:
+    """Inner products of (doc_id, idx, val) with (qid, idx, val); ``idf`` weighs entries by their document frequency.
+
+    Up to ``few`` entries of queries filter the vectors, before they are counted where they come from a count.
+    """
     if idf:
         n = vectors.select("doc_id").distinct().agg(F.count("*").alias("n"))
         df = vectors.groupBy("idx").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(n))
         queries = queries.join(df, "idx").withColumn("val", F.col("val") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hits = vectors.join(queries.select("qid", "idx", F.col("val").alias("q")), "idx")
-    return top_k(hits.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("val") * F.col("q")), 6).alias("score")), k)
+    asked = queries.select("qid", "idx", F.col("val").alias("q")).limit(few + 1).collect()
+    entries = queries.select("qid", "idx", F.col("val").alias("q"))
+    if len(asked) <= few:
+        entries = F.broadcast(_table(asked, entries))
+        vectors = vectors.where(F.col("idx").isin(sorted({r.idx for r in asked})))
+    return top_k(vectors.join(entries, "idx").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("val") * F.col("q")), 6).alias("score")), k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def _table(rows: list, like: DataFrame) -> DataFrame:
+    """Collected rows as a table of the same schema."""
+    return like.sparkSession.createDataFrame(rows, like.schema)
+
+
+def product(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, few: int = 1024) -> DataFrame:
     """Exact cosine neighbours of query vectors (qid, q). Up to ``few`` queries are broadcast, which is checked first; more
     are dealt into blocks that each meet all vectors, so no task holds more than a block of queries."""
     count = queries.count()
+    vectors = vectors.select("vec_id", "embedding", product(F.col("embedding"), F.col("embedding")).alias("__v"))
+    queries = queries.select("qid", "q", product(F.col("q"), F.col("q")).alias("__q"))
     if count <= few:
         pairs = vectors.crossJoin(F.broadcast(queries))
     else:
         blocks = -(-count // few)
         every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         pairs = vectors.withColumn("__b", every).join(queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "__b")
-    return top_k(pairs.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 5).alias("score")), k, key="vec_id")
+    cosine = product(F.col("embedding"), F.col("q")) / F.sqrt(F.col("__v") * F.col("__q"))
+    return top_k(pairs.select("qid", "vec_id", F.round(cosine, 5).alias("score")), k, key="vec_id")
 
 
 @dataclass
 class Query:
-    """A parsed query: terms with their boosts, phrases, and which must or must not occur."""
+    """A parsed query: terms with their boosts, phrases with theirs, and the terms and phrases (lists of words) that must or must not occur."""
 
     should: dict[str, float] = field(default_factory=dict)
-    must: list[str] = field(default_factory=list)
-    must_not: list[str] = field(default_factory=list)
-    phrases: list[list[str]] = field(default_factory=list)
+    phrases: list[tuple[list[str], float]] = field(default_factory=list)
+    must: list[list[str]] = field(default_factory=list)
+    must_not: list[list[str]] = field(default_factory=list)
 
 
 def parse_query(text: str) -> Query:
-    """Words, "phrases", + and - (or AND and NOT before a word), and ^boosts; what is anything else counts as words."""
-    query, sign = Query(), ""
+    """Words, "phrases", + and -, NOT before a clause, AND between two clauses that must occur, OR, and ^boosts.
+
+    A phrase is a clause like a word: it counts where it stands, and only + or AND makes it a condition. Parentheses, slop,
+    ranges and field names aren't known and count as words or gaps.
+    """
+    clauses, sign, both = [], "", False
     for m in re.finditer(r'([+-]?)(?:"([^"]*)"|([^\s"^]+))(?:\^([0-9.]+))?', text):
         mark, phrase, word, boost = m.groups()
         if word in ("AND", "OR", "NOT") and not mark:
-            sign = {"AND": "+", "NOT": "-", "OR": ""}[word]
+            both = word == "AND" or both and word == "NOT"
+            sign = "-" if word == "NOT" else ""
+            if word == "AND" and clauses and not clauses[-1][0]:
+                clauses[-1][0] = "+"
             continue
-        mark, sign = mark or sign, ""
-        words = [t for t in re.split(r"[\W_]+", (phrase if phrase is not None else word).lower()) if t]
+        mark = mark or sign or ("+" if both else "")
+        sign, both = "", False
+        words = [t for t in regex.split(TOKEN_GAP, (phrase if phrase is not None else word).lower()) if t]
+        if words:
+            clauses.append([mark, words, phrase is not None and len(words) > 1, float(boost or 1)])
+    query = Query()
+    for mark, words, together, boost in clauses:
+        each = [words] if together else [[w] for w in words]
         if mark == "-":
-            query.must_not += words
+            query.must_not += each
             continue
-        for w in words:
-            query.should[w] = query.should.get(w, 0.0) + float(boost or 1)
-        if mark == "+":
-            query.must += words
-        if phrase is not None and len(words) > 1:
-            query.phrases.append(words)
+        query.must += each if mark == "+" else []
+        if together:
+            query.phrases.append((words, boost))
+        else:
+            for w in words:
+                query.should[w] = query.should.get(w, 0.0) + boost
     return query
 
 
-def matching(docs: DataFrame, must: list[str] = (), must_not: list[str] = (), phrases: list[list[str]] = ()) -> DataFrame:
-    """Documents that hold all, none and the phrases: a filter on each row, so nothing is shuffled."""
-    words = tokens(F.col("text"))
-    held = F.lit(True)
-    for term in must:
-        held = held & F.array_contains(words, term)
-    for term in must_not:
-        held = held & ~F.array_contains(words, term)
-    for phrase in phrases:
-        held = held & F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(phrase) + " "))
-    return docs.where(held)
+def holds(words: list[str]) -> Column:
+    """Whether a text holds a term or a phrase."""
+    own = tokens(F.col("text"))
+    if len(words) == 1:
+        return F.array_contains(own, words[0])
+    return F.contains(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(" " + " ".join(words) + " "))
+
+
+def matching(docs: DataFrame, must: list[list[str]] = (), must_not: list[list[str]] = ()) -> DataFrame:
+    """Documents that hold all of the first terms and phrases and none of the others: a filter on each row, so nothing is shuffled."""
+    for words in must:
+        docs = docs.where(holds(words))
+    for words in must_not:
+        docs = docs.where(~holds(words))
+    return docs
 
 
 def bm25_query(docs: DataFrame, text: str, k: int = 20) -> DataFrame:
-    """BM25 by the query language; statistics stay those of all documents."""
-    query = parse_query(text)
-    rows = [(0, t, w) for t, w in query.should.items()]
-    terms = docs.sparkSession.createDataFrame(rows, "qid int, term string, weight double")
-    allowed = matching(docs, query.must, query.must_not, query.phrases)
-    return top_k(bm25_scores(allowed, terms, statistics=docs), k).drop("matched")
+    """BM25 by the query language; statistics stay those of all documents. A phrase adds its words' scores where it stands."""
+    query, spark = parse_query(text), docs.sparkSession
+    allowed = matching(docs, query.must, query.must_not)
+    parts = [(allowed, query.should)] if query.should or not query.phrases else []
+    parts += [(matching(allowed, [words]), {w: boost * words.count(w) for w in words}) for words, boost in query.phrases]
+    scored = [bm25_scores(some, spark.createDataFrame([(0, t, w) for t, w in weights.items()], "qid int, term string, weight double"), statistics=docs) for some, weights in parts]
+    scores = reduce(DataFrame.unionByName, scored)
+    if len(scored) > 1:
+        scores = scores.groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.sum("matched").alias("matched"))
+    return top_k(scores, k).drop("matched")
 
 
 def phrase_positions(docs: DataFrame, phrase: DataFrame) -> DataFrame:
@@ -155,4 +209,4 @@ def phrase_positions(docs: DataFrame, phrase: DataFrame) -> DataFrame:
     return runs.crossJoin(F.broadcast(size)).where("hits = size").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-__all__ = ["TOKEN_GAP", "bm25", "bm25_indexed", "bm25_query", "bm25_scores", "cosine", "dense_search", "parse_query", "phrase_positions", "postings", "query_terms", "sparse_search", "top_k"]
+__all__ = ["TOKEN_GAP", "bm25", "bm25_indexed", "bm25_query", "bm25_scores", "dense_search", "parse_query", "phrase_positions", "postings", "query_terms", "sparse_search", "top_k"]

@@ -93,6 +93,13 @@ def a3_ignore_filter(spark, d):
     return paths.withColumn("ignored", files.ignored(F.col("path"), RULES))
 
 
+@query("SELECT doc_id, try(decode(CASE WHEN doc_id % 3 = 0 THEN unhex(md5(text)) ELSE encode(text) END)) IS NOT NULL AS is_text FROM documents")
+def a4_text_sniff(spark, d):
+    """Every third document is replaced by the bytes of its MD5, which are rarely text."""
+    content = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.col("text").cast("binary"))
+    return t(spark, d, "documents").select("doc_id", files.is_text(content).alias("is_text"))
+
+
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def a5_content_hash(spark, d):
     return t(spark, d, "documents").select("doc_id", files.content_hash(F.col("text")).alias("hash"))
@@ -345,16 +352,30 @@ def _first_words(spark, d, n: int = 4) -> list[str]:
     return words.w if words else []
 
 
+def _asked(spark, d, wanted: int, form: str) -> DataFrame:
+    """Search with the first item's words in a query; no documents where it has fewer."""
+    words, docs = _first_words(spark, d, wanted), t(spark, d, "documents")
+    return retrieve.bm25_query(docs, form.format(*words) if len(words) == wanted else "")
+
+
 @query(_boolean(f"list_contains({TOK}, u[1]) AND list_contains({TOK}, u[3])", "u[1:3]"))
 def f1c_bm25_must(spark, d):
-    a, b, c, _ = _first_words(spark, d)
-    return retrieve.bm25_query(t(spark, d, "documents"), f"+{a} {b} +{c}")
+    return _asked(spark, d, 3, "+{0} {1} +{2}")
+
+
+@query(_boolean(f"list_contains({TOK}, u[1]) AND list_contains({TOK}, u[2])", "u[1:2]"))
+def f1c_bm25_and(spark, d):
+    return _asked(spark, d, 2, "{0} AND {1}")
 
 
 @query(_boolean(f"NOT list_contains({TOK}, u[4])", "u[1:2]"))
 def f1c_bm25_not(spark, d):
-    a, b, _, x = _first_words(spark, d)
-    return retrieve.bm25_query(t(spark, d, "documents"), f"{a} {b} NOT {x}")
+    return _asked(spark, d, 4, "{0} {1} NOT {3}")
+
+
+@query(_boolean(f"NOT contains(' ' || array_to_string({TOK}, ' ') || ' ', ' ' || u[1] || ' ' || u[2] || ' ')", "u[3:4]"))
+def f1c_bm25_not_phrase(spark, d):
+    return _asked(spark, d, 4, '{2} {3} -"{0} {1}"')
 
 
 @query(f"""WITH w AS (SELECT {TOK}[1:2] AS a FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),

@@ -112,9 +112,11 @@ def content_hash(content: Column) -> Column:
 
 
 def is_text(content: Column) -> Column:
-    """Whether the first 1024 bytes, but for a character cut at their end, are UTF-8."""
-    head = F.substring(content, 1, 1024)
-    return F.is_valid_utf8(F.decode(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[\xC2-\xF4][\x80-\xBF]{0,3}$", ""), "ISO-8859-1")) | F.try_validate_utf8(head.cast("string")).isNotNull()
+    """Whether the first 1024 bytes are UTF-8, but for up to three at their end where a character may be cut; null content isn't."""
+    data = content.cast("binary")
+    valid = lambda n: F.is_valid_utf8(F.substring(data, 1, n).cast("string"))
+    cut = (F.octet_length(data) > 1024) & (valid(1023) | valid(1022) | valid(1021))
+    return F.coalesce(valid(1024) | cut, F.lit(False))
 
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:

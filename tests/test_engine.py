@@ -30,10 +30,27 @@ def test_query_language(spark):
     assert ids("+alpha beta") == {"a", "b"}
     assert ids("beta NOT alpha") == ids("beta -alpha") == {"c"}
     assert ids('"alpha beta"') == {"a"}
-    assert retrieve.parse_query("x^2 y AND z").should == {"x": 2.0, "y": 1.0, "z": 1.0} and retrieve.parse_query("y AND z").must == ["z"]
+    assert ids('"alpha beta" delta') == {"a", "c"}  # a phrase is an optional clause
+    assert ids('+"alpha beta" delta') == {"a"} and ids('beta -"alpha beta"') == {"b", "c"}
+    assert ids("alpha AND delta") == set() and ids("beta AND alpha") == {"a", "b"} and ids("delta OR gamma") == {"a", "b", "c"}
+    assert ids('gamma AND NOT "gamma beta"') == {"a"} and ids("-alpha") == set()
+    assert retrieve.parse_query("x^2 y AND z").should == {"x": 2.0, "y": 1.0, "z": 1.0} and retrieve.parse_query("y AND z").must == [["y"], ["z"]]
+    assert retrieve.parse_query("e\u0301t\u0301 x").should == {"e": 1.0, "t": 1.0, "x": 1.0}  # marks part words, as in texts
     assert ids("src/beta.py: (alpha") >= {"a", "b", "c"}
 
 
+def test_rows_that_share_an_id_count_each_for_itself(spark):
+    corpus = spark.createDataFrame([("a", "red red"), ("a", "red blue"), ("b", "green")], "doc_id string, text string")
+    got = [r.score for r in retrieve.bm25(corpus, spark.createDataFrame([(0, "red")], "qid int, text string")).collect()]
+    assert len(got) == 2 and max(got) < 2.2 * 0.5
+
+
+def test_text_is_told_from_binary(spark):
+    cases = {b"plain": True, "ümläut".encode(): True, b"\xff\xfe\x00\x81": False, b"\x89PNG\r\n\x1a\n": False, b"": True, b"a" * 1023 + "é".encode() + b"b": True, b"a" * 1000 + b"\xff" + b"a" * 500: False, None: False}
+    table = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in enumerate(cases)], "i int, content binary")
+    assert [r.t for r in table.select("i", files.is_text(F.col("content")).alias("t")).orderBy("i").collect()] == list(cases.values())
+
+
 def ranked(spark, **lists):
     rows = [(name, o, i + 1, d, s) for o, (name, items) in enumerate(lists.items()) for i, (d, s) in enumerate(items)]
     return spark.createDataFrame(rows, "retriever string, ord int, rank int, id string, score double")
