@@ -1,15 +1,17 @@
 """Exact top-k search by a vector-approximation file.
 
-Every dimension is cut into 2**bits equal cells between its smallest and largest value over the whole table. A vector's
-approximation is one byte per dimension, its cell. For a query, the cells bound the inner product from both sides; the
-scan ranks a block's vectors by upper bound, and exact vectors are read in that order until no upper bound reaches
-the k-th best exact score. Blocks of vectors and blocks of queries meet by key, so a task holds one of each, whatever
-the size of the table; the best k of each block merge by rank.
+Every dimension is cut into 2**bits equal cells between its smallest and largest value over the whole table. The file holds, for
+each vector, one byte per dimension: its cell. It is written once; the scan reads the cells alone. For a query they bound the
+inner product from both sides, as the cells' lower edges times the query plus two sums that only depend on the query. Blocks of
+cells and blocks of queries meet by key, so a task holds one of each, whatever the size of the table, and hands on the vectors
+whose upper bound reaches the k-th best lower bound of the block; of all blocks' candidates those stay that reach the k-th best
+of all. Exact vectors are then read in the order of the bounds: first the k of the largest upper bound, whose k-th exact score
+is a threshold, then those whose upper bound reaches it. Nothing else can be among the k best.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part. Vectors are only compared with
 vectors of the same length. Ties go to the smaller id. Rows that share an id are candidates each for themselves,
-never for a query of that id; of queries that share an id the smallest vector counts. A null id takes no part. An
-empty table gives no rows.
+never for a query of that id; of queries that share an id the smallest vector counts. A null id takes no part. Scores or
+components beyond 64 bits raise Spark's overflow error. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,23 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import written
 
-K, CELL_BITS = 20, 6
-#: Vectors and queries per block.
+K, CELL_BITS = 20, 8
+#: Vectors and queries per block, and queries that a task bounds at a time.
 BLOCK, QUERY_BLOCK = 16384, 4096
 _SCAN = 256
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(id, dims, v): components times ``scale``, rounded down, as doubles; only whole, finite vectors."""
+    """(row, id, dims, v): components times ``scale``, rounded down, as doubles; only whole, finite vectors."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     whole = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", finite)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * scale).alias("v")).where(whole)
-    return rows.select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x).cast("double")).alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x).cast("double")).alias("v"))
 
 
 def ranges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -47,78 +50,85 @@ def ranges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-class Approximation:
-    """Cells of a block of vectors and the bounds they give."""
-
-    def __init__(self, vectors: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int = CELL_BITS):
-        self.lo, self.step = lo, np.maximum((hi - lo) / (1 << bits), 1e-9)
-        self.cells = np.clip((vectors - lo) // self.step, 0, (1 << bits) - 1).astype(np.uint8)
-        floor = self.lo + self.cells * self.step
-        ceil = floor + self.step
-        self.sides = np.hstack([np.minimum(floor, vectors), np.maximum(ceil, vectors)]).T  # exact even where rounding moves a cell's edge
-        self.slack = 1e-9 * (1 + np.abs(self.sides).sum(axis=0))
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all inner products, queries by vectors."""
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        slack = self.slack * (1 + np.abs(queries).max(axis=1, initial=0))[:, None]
-        return np.hstack([plus, minus]) @ self.sides - slack, np.hstack([minus, plus]) @ self.sides + slack
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int = K) -> Iterator[pd.DataFrame]:
-    """The k best of a block for each query, ties to the smaller id; ``ids`` ascend."""
-    file, exact = Approximation(vectors, lo, hi), vectors.astype(np.int64)
-    for at in range(0, len(queries), _SCAN):
-        block = queries[at : at + _SCAN]
-        lower, upper = file.bounds(block)
-        out = []
-        for q, query_id, low, up in zip(block.astype(np.int64), query_ids[at : at + _SCAN], lower, upper, strict=True):
-            own = ids == query_id
-            if own.any():
-                low, up = np.where(own, -np.inf, low), np.where(own, -np.inf, up)
-            left = len(ids) - int(own.sum())
-            if not left:
-                continue
-            certain = np.partition(low, len(low) - min(k, left))[len(low) - min(k, left)]
-            near = np.flatnonzero((up >= certain) & ~own)
-            near = near[np.lexsort((near, -up[near]))]
-            best_score, best = np.empty(0, np.int64), np.empty(0, np.int64)
-            for i in range(0, len(near), 4 * k):
-                step = near[i : i + 4 * k]
-                if len(best) == k and up[step[0]] < best_score[-1]:
-                    break
-                best_score, best = np.concatenate([best_score, exact[step] @ q]), np.concatenate([best, step])
-                order = np.lexsort((best, -best_score))[:k]
-                best_score, best = best_score[order], best[order]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": best_score}))
-        if out:
-            yield pd.concat(out)
+def steps(lo: np.ndarray, hi: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
+    """The width of each dimension's cells."""
+    return np.maximum((hi - lo) / (1 << bits), 1e-9)
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products of every query (a condition on the id, column id)."""
-    vectors = written(integer_vectors(table, id_col, vector_col, scale), "va-vectors")
-    span = vectors.sparkSession.sparkContext.broadcast(ranges(vectors))
-    queries = vectors.where(is_query).groupBy("id").agg(F.min(F.struct("dims", "v")).alias("q")).select("id", "q.dims", "q.v")
-    counts = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    n_blocks, n_query_blocks = max(1, -(-counts[0] // BLOCK)), max(1, -(-counts[1] // QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+def cells_of(vectors: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
+    return np.clip((vectors - lo) // steps(lo, hi, bits), 0, (1 << bits) - 1).astype(np.uint8)
+
+
+def bounds(cells: np.ndarray, queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all inner products, queries by vectors, from cells alone; a little wider than need be, for rounding."""
+    spans = queries * steps(lo, hi, bits)
+    base = spans @ cells.T.astype(np.float64) + (queries @ lo)[:, None]
+    slack = 1e-9 * (1 + np.abs(queries) @ (np.abs(lo) + np.abs(hi)))[:, None]
+    return base + np.minimum(spans, 0).sum(axis=1)[:, None] - slack, base + np.maximum(spans, 0).sum(axis=1)[:, None] + slack
+
+
+def cell_file(vectors: DataFrame, span: Broadcast) -> DataFrame:
+    """(row, id, dims, cells): the approximation file, written; a byte per dimension."""
+
+    @F.pandas_udf("binary")
+    def approximate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield some.map(lambda v: cells_of(np.asarray(v), *span.value[len(v)]).tobytes() if len(v) else b"")
+
+    return written(vectors.select("row", "id", "dims", approximate("v").alias("cells")), "va-cells")
+
+
+def candidates(cells: DataFrame, queries: DataFrame, n_cells: int, n_queries: int, span: Broadcast, k: int) -> DataFrame:
+    """(query_id, row, low, up) of the vectors whose upper bound reaches the k-th best lower bound of their query."""
+    n_blocks, n_query_blocks = max(1, -(-n_cells // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = vectors.withColumn("b", block(n_blocks)).withColumn("qb", every(n_query_blocks))
-    left = queries.withColumn("qb", block(n_query_blocks)).withColumn("b", every(n_blocks))
+    right = cells.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")).withColumn("qb", every(n_query_blocks))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int")).withColumn("b", every(n_blocks))
 
-    def search(q: pd.DataFrame, v: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(q) and len(v):
-            dims = int(q.dims.iloc[0])
+    def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "row": np.empty(0, np.int64), "low": np.empty(0), "up": np.empty(0)})]
+        if len(q) and len(c):
+            dims, ids, rows = int(q.dims.iloc[0]), c.id.to_numpy(), c.row.to_numpy()
             lo, hi = span.value.get(dims, (np.zeros(0), np.zeros(0)))
-            v = v.sort_values("id")
-            stack = lambda s: np.stack(s.to_list()) if dims else np.zeros((len(s), 0))
-            yield from search_block(v.id.to_numpy(), stack(v.v), q.id.to_numpy(), stack(q.v), lo, hi, k)
-
-    def joined(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)}), *search(q, v)])
+            table = np.frombuffer(b"".join(c.cells), np.uint8).reshape(len(c), dims)
+            for at in range(0, len(q), _SCAN):
+                some = q.iloc[at : at + _SCAN]
+                exact = np.stack(some.v.to_list()) if dims else np.zeros((len(some), 0))
+                for query_id, low, up in zip(some.id, *bounds(table, exact, lo, hi), strict=True):
+                    other = ids != query_id
+                    low, up, own = low[other], up[other], rows[other]
+                    if len(low):
+                        certain = np.partition(low, len(low) - min(k, len(low)))[len(low) - min(k, len(low))]
+                        near = up >= certain
+                        out.append(pd.DataFrame({"query_id": query_id, "row": own[near], "low": low[near], "up": up[near]}))
+        return pd.concat(out)
 
     keys = ["dims", "qb", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(joined, "query_id long, vec_id long, score long")
+    found = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, row long, low double, up double"), "va-scan")
+    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
+    certain = found.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("low").alias("certain"))
+    return found.join(certain, "query_id").where((F.col("n") < k) | (F.col("up") >= F.col("certain"))).select("query_id", "row", "up")
+
+
+def exact_scores(some: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of candidates (query_id, row), from the exact vectors."""
+    products = F.zip_with("v", "q", lambda x, y: x.cast("long") * y.cast("long"))
+    met = some.join(vectors.select("row", F.col("id").alias("vec_id"), "v"), "row").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return met.select("query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda total, x: total + x).alias("score"))
+
+
+def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest inner products of every query (a condition on the id, column id)."""
+    vectors = written(integer_vectors(table, id_col, vector_col, scale), "va-vectors")
+    span = vectors.sparkSession.sparkContext.broadcast(ranges(vectors))
+    queries = vectors.where(is_query).groupBy("id").agg(F.min(F.struct("dims", "v")).alias("q")).select("id", "q.dims", "q.v")
+    n_vectors, n_queries = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    near = candidates(cell_file(vectors, span), queries, n_vectors, n_queries, span, k)
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("up"), "row")
+    near = written(near.withColumn("place", F.row_number().over(by_bound)), "va-candidates")
+    first = written(exact_scores(near.where(F.col("place") <= k), vectors, queries), "va-first")
+    threshold = first.groupBy("query_id").agg(F.min("score").alias("least"))
+    rest = near.where(F.col("place") > k).join(threshold, "query_id").where(F.col("up") >= F.col("least"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = first.unionByName(exact_scores(rest, vectors, queries))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.llm import vafile
@@ -34,6 +35,17 @@ def test_matches_brute_force_with_ties_and_bad_rows(spark, monkeypatch):
         assert got == brute(rows, k)
 
 
+def test_bounds_hold_every_product():
+    rng = np.random.default_rng(4)
+    vectors, queries = np.floor(rng.normal(0, 90, (500, 7))), np.floor(rng.normal(0, 90, (20, 7)))
+    lo, hi = vectors.min(axis=0), vectors.max(axis=0)
+    cells = vafile.cells_of(vectors, lo, hi)
+    assert cells.dtype == np.uint8 and cells.nbytes == vectors.size  # a byte per dimension
+    low, up = vafile.bounds(cells, queries, lo, hi)
+    exact = queries @ vectors.T
+    assert (low <= exact).all() and (exact <= up).all() and (up - low).mean() < 0.05 * (exact.max() - exact.min())
+
+
 def test_no_vectors(spark):
     assert vafile.top_k(spark.createDataFrame([], SCHEMA), F.col("id") % 20 == 0).count() == 0
     assert vafile.top_k(spark.createDataFrame([(20, [1.0], 0, 0, 0)], SCHEMA), F.col("id") % 20 == 0).count() == 0
