@@ -25,17 +25,15 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> Dat
 
 
 def term_hits(docs: DataFrame, terms: DataFrame, few: int = FEW_TERMS) -> DataFrame:
-    """(row, doc_id, dl, hits): of every row its length and, as (term, tf), the query terms in it; one scan, written.
+    """(row, doc_id, dl, found): of every row its length and the query terms in it, repeats included; one scan, written.
 
     Up to ``few`` query terms are part of the filter; of more all words are kept.
     """
     listed = [r.term for r in terms.select("term").distinct().limit(few + 1).collect()]
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     found = F.filter("words", lambda w: w.isin(listed)) if len(listed) <= few else F.col("words")
-    rows = words.select("doc_id", F.size("words").cast("long").alias("dl"), found.alias("found"))
-    tf = F.transform(F.array_distinct("found"), lambda w: F.struct(w.alias("term"), F.size(F.filter("found", lambda x: x == w)).cast("long").alias("tf")))
     path = shared_path(docs.sparkSession, "bm25-hits")
-    rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "dl", tf.alias("hits")).write.parquet(path)
+    words.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("dl"), found.alias("found")).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -48,11 +46,12 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, statistics: DataFrame | None
     """
     found = term_hits(docs, terms)
     base = found if statistics is None else term_hits(statistics, terms)
-    df = base.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = base.select(F.explode(F.array_distinct("found")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     corpus = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = terms.join(df, "term").crossJoin(corpus).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("qid", "term", "weight", "idf", "avgdl")
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rated = found.select("row", "doc_id", "dl", F.inline("hits")).join(asked, "term")
+    counted = found.select("row", "doc_id", "dl", F.explode("found").alias("term")).groupBy("row", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    rated = counted.join(asked, "term")
     return rated.groupBy("qid", "row", "doc_id").agg(F.round(F.sum(F.col("weight") * (F.col("idf") * norm)), 6).alias("score"), F.count("*").alias("matched")).drop("row")
 
 
