@@ -8,8 +8,10 @@ all training documents count.
 How it runs. Documents are packed into slices of a few megabytes, which are written once. A slice lists its distinct
 unigrams and bigrams as sorted 64-bit hashes and sends them, cut by hash range, to the buckets; a bucket adds the counts
 of all slices up and answers each slice in the order of its request, so answers are plain counts. Slices and answers
-meet again, and each slice scores its documents. A hot word or bigram is one entry per slice. No count table, and no
-dictionary, is ever held in one place; what is exchanged grows with the corpus.
+meet again, and each slice scores its documents. Beyond FAN slices they first meet in parts of about FAN: a part adds its
+slices' requests up by wide hash ranges, asks the buckets in their stead and hands the answers on. So a hot word or bigram is
+one entry per slice of a part, then one per part, and a slice sends a bounded number of blobs, however large the corpus is.
+No count table, and no dictionary, is ever held in one place; what is exchanged grows with the corpus.
 
 Defined cases: a null or empty text is its end token alone; the context of a first word is the end token; repeated rows
 count and score each for itself; texts of any length stand in one slice; with no held-out tokens (a tiny table) the
@@ -34,6 +36,8 @@ from brindle.llm.common import fold, text_slices, written
 
 #: Bytes of text in a slice and per bucket.
 SLICE, BUCKET = 8 << 20, 6 << 20
+#: Slices that meet in one step, and about as many as a part has where there are more.
+FAN = 512
 #: Context-frequency buckets: by powers of two, the first for unseen contexts.
 CONTEXTS = 16
 FIT, HELD, OTHER = 0, 1, 2
@@ -185,6 +189,63 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket", "gram").applyInPandas(answer, schema)
 
 
+def part_requests(asked: DataFrame, wide: int, bits: int) -> DataFrame:
+    """Requests of whole parts: per part, kind and gram the distinct keys and summed counts of its slices, cut into the buckets of
+    ``bits``. Rows are like ``asked``'s, with the part in place of the slice."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        part, near, gram, out = int(group.part.iloc[0]), int(group.bucket.iloc[0]), int(group.gram.iloc[0]), []
+        for kind, own in group.groupby("kind"):
+            keys, sums = _summed(own.blob)
+            at = _cut(keys, bits)
+            for b in range(near << (bits - wide), (near + 1) << (bits - wide)):
+                if at[b + 1] > at[b]:
+                    out.append((b, part, int(kind), gram, _keys_out(keys[at[b] : at[b + 1]], sums[at[b] : at[b + 1]])))
+        return pd.DataFrame(out, columns=["bucket", "slice", "kind", "gram", "blob"])
+
+    return asked.groupBy("part", "bucket", "gram").applyInPandas(merge, "bucket int, slice long, kind int, gram int, blob binary")
+
+
+def _summed(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of requests in order, and their counts added up."""
+    sent = [_keys_in(b) for b in blobs]
+    keys, place = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([c for _, c in sent]).astype(np.float64), len(keys)).astype(np.int64)
+
+
+def slice_answers(asked: DataFrame, back: DataFrame, wide: int, bits: int) -> DataFrame:
+    """The answers to parts, ``back``, handed on to each slice in the order of its own request; rows of slice -1 stay."""
+
+    def hand_on(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, own in left.groupby("kind"):
+            keys, _ = _summed(own.blob)
+            came = right[right.kind == kind].sort_values("bucket")
+            every = np.concatenate([_counts_in(b) for b in came.counts])
+            fitted = np.concatenate([_counts_in(b) for b in came.fitted]) if kind == HELD else None
+            for number, near, gram, blob in zip(own.slice, own.bucket, own.gram, own.blob, strict=True):
+                at = np.searchsorted(keys, _keys_in(blob)[0])
+                out.append((number, kind, gram, near, _counts_out(every[at]), None if fitted is None else _counts_out(fitted[at])))
+        return pd.DataFrame(out, columns=["slice", "kind", "gram", "bucket", "counts", "fitted"])
+
+    came = back.where("slice <> -1").select(F.col("slice").alias("part"), F.shiftright("bucket", bits - wide).alias("near"), "gram", "kind", "bucket", "counts", "fitted")
+    met = asked.groupBy("part", "bucket", "gram").cogroup(came.groupBy("part", "near", "gram"))
+    handed = met.applyInPandas(hand_on, "slice long, kind int, gram int, bucket int, counts binary, fitted binary")
+    return handed.unionByName(back.where("slice = -1"), allowMissingColumns=True)
+
+
+def exchanged(packed: DataFrame) -> DataFrame:
+    """The answers to all slices, written: in one step up to FAN slices, by way of parts beyond."""
+    total, count = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    bits = (total // BUCKET).bit_length()
+    if count <= FAN:
+        return written(answers(requests(packed, bits)), "lm-answers")
+    wide, parts = min(bits, (FAN * SLICE // BUCKET).bit_length()), -(-count // FAN)
+    asked = written(requests(packed, wide).withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts))), "lm-requests")
+    back = written(answers(part_requests(asked, wide, bits)), "lm-part-answers")
+    return written(slice_answers(asked, back, wide, bits), "lm-answers")
+
+
 def context_bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.minimum(CONTEXTS - 1, 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)), 0)
 
@@ -238,8 +299,7 @@ def learn_weights(packed: DataFrame, back: DataFrame, tokens: int, types: int, r
 def score_documents(docs: DataFrame, trained, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, kind, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     packed = written(slices(docs, trained, held, id_col, text_col), "lm-slices", compression="uncompressed")
-    total = packed.agg(F.sum("bytes")).first()[0] or 0
-    back = written(answers(requests(packed, max(0, (total // BUCKET)).bit_length())), "lm-answers")
+    back = exchanged(packed)
     sums = back.where("slice = -1").agg(F.sum("tokens"), F.sum("types"), F.sum("fit_tokens"), F.sum("fit_types")).first()
     tokens, types, fit_tokens, fit_types = (x or 0 for x in sums)
     weights = learn_weights(packed, back, fit_tokens, fit_types)

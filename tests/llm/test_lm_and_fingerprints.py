@@ -15,7 +15,10 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["\n"]
 
 
-def test_scores_follow_the_interpolated_counts(awkward, plain, monkeypatch):
+@pytest.mark.parametrize("fan", [512, 3])
+def test_scores_follow_the_interpolated_counts(awkward, plain, monkeypatch, fan):
+    """In one step, and by way of parts of a few slices."""
+    monkeypatch.setattr(ngram_lm, "FAN", fan)
     weights = np.tile([0.5, 0.3, 0.2], (ngram_lm.CONTEXTS, 1))
     weights[0] = 0, 0.6, 0.4
     monkeypatch.setattr(ngram_lm, "learn_weights", lambda *_: weights)
@@ -42,6 +45,17 @@ def test_scores_follow_the_interpolated_counts(awkward, plain, monkeypatch):
     assert got == expected
 
 
+def test_parts_learn_the_same_weights(awkward, monkeypatch):
+    learned, plain_learn = [], ngram_lm.learn_weights
+    monkeypatch.setattr(ngram_lm, "learn_weights", lambda *a: learned.append(plain_learn(*a)) or learned[-1])
+    monkeypatch.setattr(ngram_lm, "SLICE", 4000)
+    monkeypatch.setattr(ngram_lm, "BUCKET", 3000)
+    for fan in (10**6, 2):
+        monkeypatch.setattr(ngram_lm, "FAN", fan)
+        ngram_lm.corpus_scores(awkward).count()
+    assert np.allclose(*learned, atol=1e-9) and not np.allclose(learned[0], 1 / 3)
+
+
 def test_learned_weights_beat_the_base_on_held_out_texts(awkward, empty):
     rows = ngram_lm.corpus_scores(awkward).where("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
