@@ -34,6 +34,12 @@ def file_tree(paths: DataFrame, contains: str = "") -> DataFrame:
     return nodes.select(parent.alias("parent"), "name", kind.alias("type"), (F.col("at") + 1).cast("long").alias("depth")).distinct()
 
 
+def expanded(paths: DataFrame, contains: str = "") -> DataFrame:
+    """(path): every folder that is open when all are expanded, of the paths that contain a substring whatever its case."""
+    folders = file_tree(paths, contains).where("type = 'folder'")
+    return folders.select(F.concat_ws("/", F.nullif("parent", F.lit("")), "name").alias("path"))
+
+
 def group_settings(settings: DataFrame, contains: str = "") -> DataFrame:
     """(category, keys): sorted keys by what precedes their first full stop."""
     kept = settings.where(F.contains("key", F.lit(contains)))

@@ -33,13 +33,14 @@ def rrf(ranked: DataFrame, k: int = RRF_K, limit: int | None = 10, by: tuple[str
     return placed.where(F.col("place") <= limit).drop("place") if limit else placed.drop("place")
 
 
-def weighted(ranked: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """id, fused_score: scores scaled to [0, 1] per retriever (all equal: 0), times the weights' shares; unknown retrievers weigh 0."""
-    per, total = Window.partitionBy("retriever"), sum(weights.values()) or 1.0
+def weighted(ranked: DataFrame, weights: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """id, fused_score, for each of ``by``: scores scaled to [0, 1] per retriever (all equal: 0), times the weights' shares; unknown
+    retrievers weigh 0."""
+    per, total = Window.partitionBy(*by, "retriever"), sum(weights.values()) or 1.0
     low, high = F.min("score").over(per), F.max("score").over(per)
     scaled = ranked.withColumn("norm", (F.col("score") - low) / F.when(high == low, 1.0).otherwise(high - low))
     share = F.coalesce(*[F.when(F.col("retriever") == r, F.lit(w / total)) for r, w in weights.items()], F.lit(0.0))
-    return scaled.groupBy("id").agg(F.round(F.sum(share * F.col("norm")), 6).alias("fused_score"))
+    return scaled.groupBy(*by, "id").agg(F.round(F.sum(share * F.col("norm")), 6).alias("fused_score"))
 
 
 def first_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
@@ -49,8 +49,36 @@ def merge_registry(rows: DataFrame, name: str, flags: list[str]) -> DataFrame:
 
 def build(docs: DataFrame, path: str) -> None:
     """Write the index: postings (term, doc_id, tf, dl) in ranges of terms, so a query reads the row groups of its terms, and
-    the corpus' statistics. A new build goes to a new path; readers switch over when it is whole."""
-    lengths = doc_lengths(docs)
-    rows = postings(docs).join(lengths, "doc_id").select("term", "doc_id", "tf", "dl")
-    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/statistics")
+    the corpus' lengths and statistics. A new build goes to a new path; readers switch over when it is whole."""
+    _store(_entries(docs), doc_lengths(docs), path)
+
+
+def _entries(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl) from one scan; a document's length goes with its words."""
+    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    return each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+
+
+def _store(entries: DataFrame, lengths: DataFrame, path: str) -> None:
+    entries.select("term", "doc_id", "tf", "dl").repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    lengths.write.parquet(f"{path}/lengths")
+    stored = lengths.sparkSession.read.schema(lengths.schema).parquet(f"{path}/lengths")
+    stored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/statistics")
+
+
+def edited(spark: SparkSession, path: str, to: str, add: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+    """Write the index at ``path`` to ``to`` without the documents of ``gone`` (doc_id) and with those of ``add`` (doc_id, text),
+    which replace what the index has of their ids. Only the new documents are tokenised."""
+    entries, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    for keys in (gone, add):
+        if keys is not None:
+            entries, lengths = delete(entries, keys, "doc_id"), delete(lengths, keys, "doc_id")
+    if add is not None:
+        entries, lengths = entries.unionByName(_entries(add)), lengths.unionByName(doc_lengths(add))
+    _store(entries, lengths, to)
+
+
+def cleared(spark: SparkSession, path: str, to: str) -> None:
+    """Write an index without documents, of the same columns, to ``to``."""
+    _store(spark.read.parquet(f"{path}/postings").limit(0), spark.read.parquet(f"{path}/lengths").limit(0), to)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,9 +113,15 @@ def product(a: Column, b: Column) -> Column:
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, few: int = 1024) -> DataFrame:
-    """Exact cosine neighbours of query vectors (qid, q). Up to ``few`` queries are broadcast, which is checked first; more
-    are dealt into blocks that each meet all vectors, so no task holds more than a block of queries."""
+    """Exact cosine neighbours of query vectors (qid, q). Up to ``few`` queries go to the tasks, which is checked first, and meet the
+    vectors batch by batch; more are dealt into blocks that each meet all vectors, so no task holds more than a block of queries.
+    Vectors of length zero, of another size than the query's, or with nulls meet nothing."""
+    asked = queries.select("qid", "q").limit(few + 1).collect()
+    if asked and len(asked) <= few and len({len(r.q or ()) for r in asked}) == 1 and asked[0].q:
+        return top_k(_block_cosines(vectors, asked, dict(queries.dtypes)["qid"], k), k, key="vec_id")
     count = queries.count()
+    usable = lambda c: (product(F.col(c), F.col(c)) > 0) & ~F.isnan(product(F.col(c), F.col(c)))
+    vectors, queries = vectors.where(usable("embedding")), queries.where(usable("q"))
     vectors = vectors.select("vec_id", "embedding", product(F.col("embedding"), F.col("embedding")).alias("__v"))
     queries = queries.select("qid", "q", product(F.col("q"), F.col("q")).alias("__q"))
     if count <= few:
@@ -125,6 +134,46 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, few: int =
     return top_k(pairs.select("qid", "vec_id", F.round(cosine, 5).alias("score")), k, key="vec_id")
 
 
+def _block_cosines(vectors: DataFrame, asked: list, kind: str, k: int) -> DataFrame:
+    """(qid, vec_id, score): of each batch of vectors what can be among the k best of a query; equals after rounding all stay."""
+    names, matrix = [r.qid for r in asked], np.array([[np.nan if x is None else x for x in r.q] for r in asked], np.float64)
+    norms = np.linalg.norm(matrix, axis=1)
+    good = np.flatnonzero((norms > 0) & np.isfinite(norms))
+    names, matrix = [names[i] for i in good], matrix[good] / norms[good, None]
+    size = matrix.shape[1]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
+                length = np.linalg.norm(own, axis=1)
+                usable = np.flatnonzero((length > 0) & np.isfinite(length))
+                if not len(usable) or not names:
+                    continue
+                scores = (own[usable] / length[usable, None]) @ matrix.T
+                least = np.partition(scores, -k, axis=0)[-k] - 2e-5 if len(usable) > k else np.full(len(names), -np.inf)
+                row, query = np.nonzero(scores >= least)
+                columns = [pa.array([names[i] for i in query]), part.column(0).take(pa.array(usable[row])), pa.array(scores[row, query])]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "vec_id", "score"])
+
+    schema = f"qid {kind}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
+    same = vectors.where(F.size("embedding") == size).select("vec_id", "embedding")
+    found = same.mapInArrow(_typed(meet, kind), schema)
+    return found.select("qid", "vec_id", F.round("score", 5).alias("score"))
+
+
+def _typed(meet, kind: str):
+    """``meet`` with query ids of the declared type, which a list of Python numbers doesn't tell."""
+    own = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in meet(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(own), batch.column(1), batch.column(2)], batch.schema.names)
+
+    return run
+
+
 @dataclass
 class Query:
     """A parsed query: terms with their boosts, phrases with theirs, and the terms and phrases (lists of words) that must or must not occur."""

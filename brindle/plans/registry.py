@@ -296,6 +296,40 @@ def e10_delete_doc(spark, d):
     return gone.groupBy("source").agg(F.count("*").alias("deleted"))
 
 
+def _edited_index(spark, d, **changes: DataFrame) -> str:
+    """A stored index of all documents, edited; the new index's path."""
+    before, after = shared_path(spark, "index"), shared_path(spark, "index")
+    index.build(t(spark, d, "documents"), before)
+    index.edited(spark, before, after, **changes)
+    return after
+
+
+@query(f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'new ' || text ELSE text END AS text FROM documents),
+w AS (SELECT doc_id, unnest({TOK}) AS term FROM x) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term""")
+def e4_replace_postings(spark, d):
+    """Documents of good quality come again with a new text: document and corpus frequencies from the stored postings."""
+    docs = t(spark, d, "documents")
+    good = docs.join(t(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", F.concat(F.lit("new "), "text").alias("text"))
+    rows = spark.read.parquet(f"{_edited_index(spark, d, add=good)}/postings")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("SELECT 0::BIGINT AS n, count(*) AS postings FROM documents WHERE false")
+def e6_clear(spark, d):
+    """Documents and postings of a stored index that was cleared."""
+    before, after = shared_path(spark, "index"), shared_path(spark, "index")
+    index.build(t(spark, d, "documents"), before)
+    index.cleared(spark, before, after)
+    return spark.read.parquet(f"{after}/statistics").select("n").crossJoin(spark.read.parquet(f"{after}/postings").agg(F.count("*").alias("postings")))
+
+
+@query(f"WITH l AS (SELECT len({TOK}) AS dl FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM l")
+def e10_delete_from_index(spark, d):
+    """The statistics of the stored index after the toxic documents' deletion."""
+    after = _edited_index(spark, d, gone=t(spark, d, "labels").where("toxic = 1"))
+    return spark.read.parquet(f"{after}/statistics").select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
 @query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) SELECT term, count(*) AS df FROM w GROUP BY ALL")
 def e11_rebuild(spark, d):
     """Document frequencies of the labelled and of the other documents, added up: a rebuild by increments."""
@@ -522,6 +556,17 @@ def g2_weighted_fusion(spark, d):
     return fusion.weighted(lists, {"bm25": 0.7, "bm42": 0.3})
 
 
+@query(f"""WITH {ITEMS}, {TERMS}, {bm25_ctes()}, {ranked('s', 20, 'r0')}, {TW}, {ranked('b', 20, 'r2')},
+u AS (SELECT qid, 'bm25' AS retriever, CAST(doc_id AS VARCHAR) AS id, score FROM r0 UNION ALL SELECT qid, 'bm42', CAST(doc_id AS VARCHAR), score FROM r2),
+m AS (SELECT qid, retriever, min(score) AS low, max(score) AS high FROM u GROUP BY ALL)
+SELECT qid, id, round(sum(CASE retriever WHEN 'bm25' THEN 0.7e0 ELSE 0.3e0 END * ((score - low) / CASE WHEN high = low THEN 1e0 ELSE high - low END)), 6) AS fused_score FROM u JOIN m USING (qid, retriever) GROUP BY qid, id""")
+def g2_weighted_fusion_batch(spark, d):
+    """Weighted fusion for all items in one job."""
+    docs, asked = t(spark, d, "documents"), items(spark, d)
+    lists = fusion.tagged(("bm25", retrieve.bm25(docs, asked)), ("bm42", retrieve.sparse_search(encoders.term_weights(docs), encoders.term_weights(asked, key="qid"))), by=("qid",))
+    return fusion.weighted(lists, {"bm25": 0.7, "bm42": 0.3}, by=("qid",))
+
+
 @query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE text <> '') WHERE n = 1")
 def g3_dedupe_key(spark, d):
     return fusion.first_per_key(t(spark, d, "documents").select("doc_id", "text"), "text", [F.asc("doc_id")])
@@ -677,16 +722,18 @@ def j4_strip_search(spark, d):
 
 @query()
 def j3_rag_loop(spark, d):
-    """An answer to the first item, one step of retrieval over all documents."""
+    """Answers to all items in up to three steps; the stand-in for a model asks for its best source's first line until it has five."""
     docs = files.corpus(spark, d)
 
-    def search(question: str, k: int) -> DataFrame:
-        asked = spark.createDataFrame([(0, question)], "qid int, text string")
-        return retrieve.bm25(docs, asked, k).join(docs.select("doc_id", "path", "text"), "doc_id").orderBy("rank")
+    def search(asked: DataFrame, k: int) -> DataFrame:
+        best = retrieve.bm25(docs, asked, k).join(docs.select("doc_id", "path", "text"), "doc_id")
+        return best.select("qid", "rank", "path", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "text")
+
+    def generate(question, context):
+        line = F.element_at(F.filter(F.split(context, "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("Source ["))), 1)
+        return F.when(F.contains(context, F.lit("\nSource [5]")), F.substring(line, 1, 500)).otherwise(F.concat(F.lit("SEARCH: "), F.coalesce(line, question)))
 
-    question = first_item(spark, d).first()
-    found = rag.ask(search, question.text if question else "")
-    return spark.createDataFrame([(found.answer, len(found.sources), found.steps_taken)], "answer string, sources int, steps int")
+    return rag.deep_dive(search, items(spark, d), generate)
 
 
 # ---- catalogue
@@ -718,6 +765,12 @@ def k6_file_tree(spark, d):
     return catalog.file_tree(files.corpus(spark, d).select("path"), contains=".EN.")
 
 
+@query(f"""WITH {C}, s AS (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM c WHERE contains(lower(path), '.en.')), n AS (SELECT p, unnest(range(1, len(p))) AS i FROM s)
+SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM n""")
+def k7_expand_all(spark, d):
+    return catalog.expanded(files.corpus(spark, d).select("path"), contains=".EN.")
+
+
 @query("SELECT lower(r_name) AS category, string_agg(k, ',' ORDER BY k) AS keys FROM (SELECT DISTINCT r_name, lower(r_name) || '.' || lower(n_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1")
 def k8_settings_groups(spark, d):
     """Nations as settings of their regions."""
@@ -839,24 +892,50 @@ def _events(spark, d):
 def n1_stream_ingest(spark, d):
     """The events as a stream of files, ingested once: the last event of each user, kept by version."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    folder = shared_path(spark, "stream")
     order = [F.desc("ts"), F.desc("event_id")]
-    state: dict[str, str] = {}
-
-    def sink(rows: DataFrame, number: int) -> None:
-        if "at" in state:
-            rows = index.upsert(rows.unionByName(spark.read.schema(schema).parquet(state["at"])), "user_id", order)
-        path = f"{folder}/v{number}"
-        rows.write.mode("overwrite").parquet(path)
-        state["at"] = path
-
-    def batch(rows: DataFrame, number: int) -> None:
-        sink(index.upsert(rows, "user_id", order), number)
-
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.schema(schema).parquet(state["at"]) if state else spark.createDataFrame([], schema)
-    return last.select("event_id", "user_id", "event_type")
+    folder = _ingested(spark, d, schema, "user_id", order, "events*.parquet")
+    return watch.current(spark, folder, schema, "user_id", order).select("event_id", "user_id", "event_type")
+
+
+def _ingested(spark, source: str, schema: str, key: str, order: list, glob: str = "*", runs=(), **options) -> str:
+    """The folder of batches after a run, and one more after each of ``runs``, which add files to the source."""
+    folder = shared_path(spark, "stream")
+    for step in (lambda: None, *runs):
+        step()
+        watch.ingest_stream(spark, source, schema, watch.batch_sink(f"{folder}/rows"), f"{folder}/checkpoint", key, order, glob=glob, **options).awaitTermination()
+    return f"{folder}/rows"
+
+
+_VERSIONS = f"WITH {C}, o AS (SELECT path, sha256(text) AS hash, 1 AS version FROM c), n AS (SELECT path, sha256('new ' || text) AS hash, 2 AS version FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
+
+
+def _versions(spark, d, initial: bool) -> DataFrame:
+    """A folder that holds all documents when watching begins, then those of good quality again with a new text."""
+    docs, schema, folder = files.corpus(spark, d), "path string, hash string, version int", shared_path(spark, "watched")
+    good = docs.join(t(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
+    docs.select("path", files.content_hash(F.col("text")).alias("hash"), F.lit(1).alias("version")).write.parquet(f"{folder}/first")
+    later = good.select("path", files.content_hash(F.concat(F.lit("new "), "text")).alias("hash"), F.lit(2).alias("version"))
+    rows = _ingested(spark, f"{folder}/*", schema, "path", [F.desc("version")], runs=[lambda: later.write.parquet(f"{folder}/second")], initial=initial)
+    return watch.current(spark, rows, schema, "path", [F.desc("version")])
+
+
+@query(f"{_VERSIONS} SELECT * FROM n UNION ALL SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)")
+def n5_initial_then_changes(spark, d):
+    return _versions(spark, d, True)
+
+
+@query(f"{_VERSIONS} SELECT * FROM n")
+def n5_changes_only(spark, d):
+    """The same without the initial scan."""
+    return _versions(spark, d, False)
+
+
+@query(f"WITH p AS (SELECT page_id, url, {_case('url', ['*5', 'blog/', '!*25'])} AS ignored FROM pages) SELECT url, max(page_id) AS page_id FROM p WHERE NOT ignored GROUP BY url")
+def n7_stream_ignore(spark, d):
+    """Pages as a stream, each address once, without those that a rule ignores."""
+    schema, order = "page_id long, url string, html string", [F.desc("page_id")]
+    folder = _ingested(spark, d, schema, "url", order, "pages*.parquet", rules=["*5", "blog/", "!*25"])
+    return watch.current(spark, folder, schema, "url", order).select("url", "page_id")
 
 
 @query(_islands("", 60_000_000))

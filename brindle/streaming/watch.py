@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators.index import upsert
+from brindle.sources.files import ignored
 
 #: Idle times after which a global flush and a file's event are due.
 GLOBAL_IDLE_MS, FILE_IDLE_MS = 500, 3000
@@ -73,10 +74,33 @@ def debounced_stream(events: DataFrame, key: str, ts: str = "ts", idle_ms: int =
     return grouped.applyInPandasWithState(step, f"key {kind}, start timestamp, last timestamp, events long", "start timestamp, last timestamp, events long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ingest_stream(spark: SparkSession, source: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "path", version: str = "version"):
-    """Ingest new files of a folder once: a batch's last version per key goes to ``sink``, which must be idempotent."""
+def ingest_stream(
+    spark: SparkSession, source: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "path", version: list | None = None,
+    rules: list[str] = (), initial: bool = True, glob: str = "*",
+):
+    """Ingest a folder's new files once, those that are there already in the first run: a batch's last row per key goes to ``sink``,
+    which must be idempotent.
+
+    ``rules`` leave out keys that an ignore rule matches, or a folder above them. Without ``initial`` the first run only marks the
+    files that are there as seen. The checkpoint knows what is done, so a run that broke off goes on where it stopped.
+    """
+    order = version or [F.desc("version")]
 
     def batch(rows: DataFrame, number: int) -> None:
-        sink(upsert(rows, key, [F.desc(version)]), number)
+        if number or initial:
+            sink(upsert(rows, key, order), number)
+
+    files = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
+    kept = files.where(~ignored(F.col(key), list(rules))) if rules else files
+    return kept.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink of one folder per batch; a batch that runs again replaces its own folder, so rows come once."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current(spark: SparkSession, path: str, schema: str, key: str, version: list) -> DataFrame:
+    """The last row of each key over all batches in ``path``; no rows where none was written."""
+    rows = spark.read.schema(schema).option("basePath", path).option("recursiveFileLookup", "true").parquet(path)
+    return upsert(rows, key, version)

@@ -242,3 +242,62 @@ def test_dense_search_in_blocks_is_the_same(spark):
     queries = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     rows = lambda df: sorted(map(tuple, df.select("qid", "rank", "vec_id", "score").collect()))
     assert rows(retrieve.dense_search(vectors, queries, 5)) == rows(retrieve.dense_search(vectors, queries, 5, few=7))
+
+
+def test_dense_search_leaves_out_what_has_no_direction(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [1.0]), (6, [1.0, 1.0]), (7, [2.0, 0.0])], "vec_id int, embedding array<double>")
+    queries = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 0.0])], "qid string, q array<double>")
+    got = [(r.qid, r.rank, r.vec_id, r.score) for r in retrieve.dense_search(vectors, queries, 2).orderBy("rank").collect()]
+    assert got == [("a", 1, 1, 1.0), ("a", 2, 7, 1.0)]
+
+
+def test_a_stored_index_is_edited_as_if_built_anew(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    old, new = docs(spark, a="x y x", b="y z", c="", d="x"), docs(spark, b="new x", e="z z")
+    index.build(old, at("one"))
+    index.edited(spark, at("one"), at("two"), add=new, gone=old.where("doc_id = 'd'"))
+    index.build(docs(spark, a="x y x", b="new x", c="", e="z z"), at("whole"))
+    for part in ("postings", "lengths", "statistics"):
+        rows = [sorted(map(tuple, spark.read.parquet(at(f"{x}/{part}")).collect())) for x in ("two", "whole")]
+        assert rows[0] == rows[1] and rows[0]
+    index.cleared(spark, at("two"), at("none"))
+    asked = spark.createDataFrame([(0, "x")], "qid int, text string")
+    assert retrieve.bm25_indexed(spark, at("two"), asked).count() == 2 and retrieve.bm25_indexed(spark, at("none"), asked).count() == 0
+
+
+def test_ingest_goes_on_from_its_checkpoint(spark, tmp_path):
+    schema, order = "path string, version int", [F.desc("version")]
+    source, rows, seen = str(tmp_path / "in"), str(tmp_path / "rows"), []
+    sink = watch.batch_sink(rows)
+
+    def run(versions):
+        spark.createDataFrame(versions, schema).write.mode("append").parquet(source)
+        watch.ingest_stream(spark, source, schema, lambda r, n: (seen.append(n), sink(r, n), sink(r, n)), str(tmp_path / "checkpoint"), rules=["skip/"]).awaitTermination()
+        return sorted(map(tuple, watch.current(spark, rows, schema, "path", order).collect()))
+
+    assert run([("a", 1), ("b", 1), ("skip/c", 1), ("x/skip/d", 1)]) == [("a", 1), ("b", 1)]
+    assert run([("a", 3), ("a", 2)]) == [("a", 3), ("b", 1)] and seen == [0, 1]
+
+
+def test_deep_dive_answers_like_the_loop_over_one_question(spark):
+    corpus = docs(spark, a="amber one", b="amber two", c="cloud three", d="window four", e="cloud cloud five").withColumn("path", F.concat(F.lit("p/"), "doc_id"))
+    lines = {"start_line": F.lit(None).cast("int"), "end_line": F.lit(None).cast("int")}
+
+    def search(asked, k):
+        return retrieve.bm25(corpus, asked, k).join(corpus, "doc_id").withColumns(lines)
+
+    def generate(question, context):
+        more = F.when(~F.contains(context, F.lit("cloud")), "SEARCH: cloud").when(~F.contains(context, F.lit("window")), "SEARCH: window")
+        return F.when(F.contains(question, F.lit("stuck")), "Hm. SEARCH: nowhere").otherwise(F.coalesce(more, F.lit("done")))
+
+    def plain(question, context):
+        more = "SEARCH: cloud" if "cloud" not in context else "SEARCH: window" if "window" not in context else "done"
+        return "Hm. SEARCH: nowhere" if "stuck" in question else more
+
+    texts = ["amber", "cloud", "nothing here", "amber stuck", "window cloud"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
+    got = {r.qid: (r.answer, r.sources, r.steps) for r in rag.deep_dive(search, asked, generate).collect()}
+    one = lambda q, k: search(spark.createDataFrame([(0, q)], "qid int, text string"), k).orderBy("rank")
+    for i, text in enumerate(texts):
+        found = rag.ask(one, text, plain, max_steps=3)
+        assert got[i] == (found.answer, len(found.sources), found.steps_taken or 1), text
