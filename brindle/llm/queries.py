@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, curriculum, licenses, lz_fingerprint, ngram_lm, sharding, simhash, token_files, toxicity, vafile
-from brindle.llm.common import LOWER, UPPER, table
+from brindle.llm import bpe, conversations, curriculum, licenses, lz_fingerprint, ngram_lm, sharding, simhash, token_files, toxicity, vafile
+from brindle.llm.common import LOWER, UPPER, table, written
 
 
 def op1_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +60,20 @@ def op10_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    found = written(conversations.repairs(rows), "conversation-repairs")
+    said = conversations.digests(conversations.repaired(rows, found)).withColumnRenamed("conv_id", "own")
+    digest = F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return found.join(said, F.col("conv_id").eqNullSafe(F.col("own")), "left").select("conv_id", *conversations.REPORT, "audit", digest)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxic_neighbours, op2_virtual_slots, op3_simhash_blocks, op4_vector_approximation, op5_license_join,
         op6_curriculum_mix, op7_transducer_bpe, op8_deleted_interpolation, op9_token_files, op10_lempel_ziv,
+        op13_conversation_repair,
     )
 }
 
