@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, conversations, curriculum, licenses, lz_fingerprint, ngram_lm, sharding, simhash, token_files, toxicity, vafile
+from brindle.llm import bpe, conversations, curriculum, licenses, lz_fingerprint, ngram_lm, sharding, simhash, spelling, token_files, toxicity, vafile, vptree
 from brindle.llm.common import LOWER, UPPER, table, written
 
 
@@ -60,6 +60,14 @@ def op10_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.words_of(table(spark, sf_dir, "documents"))))
+
+
+def op12_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     found = written(conversations.repairs(rows), "conversation-repairs")
@@ -73,7 +81,7 @@ QUERIES = {
     for f in (
         op1_toxic_neighbours, op2_virtual_slots, op3_simhash_blocks, op4_vector_approximation, op5_license_join,
         op6_curriculum_mix, op7_transducer_bpe, op8_deleted_interpolation, op9_token_files, op10_lempel_ziv,
-        op13_conversation_repair,
+        op11_spelling_variants, op12_vantage_trees, op13_conversation_repair,
     )
 }
 
