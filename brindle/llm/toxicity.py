@@ -10,7 +10,7 @@ distance, and an isotonic map from votes to label rates, fitted on the examples
 
 Defined cases: null and empty texts, and texts without any of the terms, get the label rate of the examples without
 terms. Equal texts get equal scores; ties among neighbours go to the example that stands first in the index. Rows of
-``labels`` with a null label or id are ignored; of repeated ids the largest label and the least text count. Without toxic or without clean
+``labels`` with a null label or id, or of documents that aren't there, are ignored; of repeated ids the largest label and the least text count. Without toxic or without clean
 examples every score is the label rate. Very long texts are read whole. An empty table gives no rows.
 """
 
@@ -171,8 +171,10 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, examples: int = EXAMPLES) -> tuple[DataFrame, tuple[int, int]]:
-    """(doc_id, text, toxic) of at most ``examples`` training documents per label, and the labels' counts in training."""
-    train = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
+    """(doc_id, text, toxic) of at most ``examples`` training documents per label, and the labels' counts in training; only labels
+    whose documents are in ``docs`` count."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IN (0, 1)")
+    train = written(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic-labels")
     counts = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     picks = [train.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))

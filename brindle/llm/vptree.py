@@ -29,7 +29,7 @@ from brindle.llm.common import written
 
 K = 10
 #: Bounds are multiplied by this before they are compared; one is exact. See the README for the recall.
-FACTOR = 1.15
+FACTOR = 2.0
 #: Vectors that shape the routing tree, and its leaves at most.
 SAMPLE, LEAVES = 8192, 256
 #: Bytes of vectors in a shard, vectors in a tree's leaf, and queries in a block.

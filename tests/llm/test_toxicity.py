@@ -85,3 +85,58 @@ def test_scores_and_evidence_match_brute_force(spark):
 def test_without_labels_scores_are_the_rate(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity(awkward, none).collect()} == {0.0}
+
+
+def test_labels_of_absent_documents_teach_nothing(spark, monkeypatch):
+    from tests.llm.conftest import prose
+
+    docs, table, labels = labelled(spark)
+    known = {(r.doc_id, r.score) for r in toxicity.toxicity(table, labels).collect()}
+    absent = spark.createDataFrame([(100_000 + i, 1, int(i % 10 > 0)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.score) for r in toxicity.toxicity(table, labels.unionByName(absent)).collect()} == known
+    clean = spark.createDataFrame([(i, prose(i, 50)) for i in range(50)], "doc_id long, text string")
+    assert toxicity.keep_clean(clean, absent).count() == 50
+    # nor do they take places in a sample
+    sample, counts = toxicity.labelled_sample(table, labels.unionByName(absent), examples=30)
+    assert sample.where("toxic = 1").count() == 30 and counts[0] + counts[1] < 400
+
+
+def test_terms_idf_and_calibration_match_a_plain_count(spark):
+    """Terms by counting documents, document frequencies by reading all texts, and rates by pooling over all orders."""
+    import math
+    import re
+    import zlib
+
+    docs, table, labels = labelled(spark)
+    model = toxicity.fit(table, labels)
+    texts = {}
+    for i, t, *_ in docs:
+        if i is not None and i < 400:
+            texts[i] = min(t, texts.get(i, t))
+
+    def terms(text):
+        words = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        every = Counter(words + [w[:n] + "*" for w in words for n in (4, 5) if len(w) > n])
+        return {t + ("" if n == 1 else chr(n)) for t, c in every.items() for n in (1, 2, 4) if c >= n}
+
+    train = {i: int(i % 4 == 0) for i in texts if zlib.crc32(str(i).encode()) % 5}
+    train[5] = 0
+    found = {0: Counter(), 1: Counter()}
+    for i, y in train.items():
+        found[y].update(terms(texts[i]))
+    sizes = Counter(train.values())
+    expected = set()
+    for t in set(found[0]) | set(found[1]):
+        a, b, na, nb = found[1][t] + 0.5, found[0][t] + 0.5, sizes[1] + 1.0, sizes[0] + 1.0
+        odds = math.log(a / (na - a)) - math.log(b / (nb - b))
+        if found[0][t] + found[1][t] >= 8 and odds >= 1.5 and odds / math.sqrt(1 / a + 1 / b) >= 3:
+            expected.add(t)
+    assert set(model.terms) == expected and len(expected) > 3
+    df = Counter(t for d in docs for t in terms(d[1]))
+    for t, i in model.terms.items():
+        assert math.isclose(model.index.idf[i], math.log((1 + len(docs)) / (1 + df[t])) + 1)
+    assert all(a <= b for a, b in zip(model.rates, model.rates[1:], strict=False))
+    prior = sizes[1] / (sizes[0] + sizes[1])
+    bins, rates = toxicity._pool(np.array([0.0, 0.5, 1.0]), np.array([4.0, 1.0, 9.0]), np.array([10.0, 10.0, 10.0]), prior)
+    low = (5 + 4 * prior) / 24
+    assert np.allclose(rates, [low, low, (9 + 2 * prior) / 12]) and bins.tolist() == [0.0, 0.5, 1.0]
