@@ -1,16 +1,12 @@
-"""Retrieval: BM25 with its query language, sparse and dense search, all for many queries at once."""
+"""Retrieval: BM25, sparse and dense search, all for many queries at once."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import TOKEN_GAP, tokens
@@ -70,22 +66,6 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, min_score: float | No
     return best if min_score is None else best.where(F.col("score") >= min_score)
 
 
-def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, pushed: int = 1000) -> DataFrame:
-    """Top k from a stored index. The terms of few queries are pushed down to the scan; more only meet it in the join."""
-    terms = query_terms(queries)
-    hits = spark.read.parquet(f"{path}/postings")
-    few = terms.select("term").distinct().limit(pushed + 1).collect()
-    if len(few) <= pushed:
-        hits = hits.where(F.col("term").isin([r.term for r in few]))
-    hits = hits.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rated = hits.join(df, "term").crossJoin(F.broadcast(spark.read.parquet(f"{path}/statistics")))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = terms.join(rated.select("doc_id", "term", (idf * norm).alias("s")), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("s")), 6).alias("score"))
-    return top_k(scores, k)
-
-
 def sparse_search(vectors: DataFrame, queries: DataFrame, k: int = 20, idf: bool = False, few: int = FEW_TERMS) -> DataFrame:
     """Inner products of (doc_id, idx, val) with (qid, idx, val); ``idf`` weighs entries by their document frequency.
 
@@ -174,81 +154,6 @@ def _typed(meet, kind: str):
     return run
 
 
-@dataclass
-class Query:
-    """A parsed query: terms with their boosts, phrases with theirs, and the terms and phrases (lists of words) that must or must not occur."""
-
-    should: dict[str, float] = field(default_factory=dict)
-    phrases: list[tuple[list[str], float]] = field(default_factory=list)
-    must: list[list[str]] = field(default_factory=list)
-    must_not: list[list[str]] = field(default_factory=list)
-
-
-def parse_query(text: str) -> Query:
-    """Words, "phrases", + and -, NOT before a clause, AND between two clauses that must occur, OR, and ^boosts.
-
-    A phrase is a clause like a word: it counts where it stands, and only + or AND makes it a condition. Parentheses, slop,
-    ranges and field names aren't known and count as words or gaps.
-    """
-    clauses, sign, both = [], "", False
-    for m in re.finditer(r'([+-]?)(?:"([^"]*)"|([^\s"^]+))(?:\^([0-9.]+))?', text):
-        mark, phrase, word, boost = m.groups()
-        if word in ("AND", "OR", "NOT") and not mark:
-            both = word == "AND" or both and word == "NOT"
-            sign = "-" if word == "NOT" else ""
-            if word == "AND" and clauses and not clauses[-1][0]:
-                clauses[-1][0] = "+"
-            continue
-        mark = mark or sign or ("+" if both else "")
-        sign, both = "", False
-        words = [t for t in regex.split(TOKEN_GAP, (phrase if phrase is not None else word).lower()) if t]
-        if words:
-            clauses.append([mark, words, phrase is not None and len(words) > 1, float(boost or 1)])
-    query = Query()
-    for mark, words, together, boost in clauses:
-        each = [words] if together else [[w] for w in words]
-        if mark == "-":
-            query.must_not += each
-            continue
-        query.must += each if mark == "+" else []
-        if together:
-            query.phrases.append((words, boost))
-        else:
-            for w in words:
-                query.should[w] = query.should.get(w, 0.0) + boost
-    return query
-
-
-def holds(words: list[str]) -> Column:
-    """Whether a text holds a term or a phrase."""
-    own = tokens(F.col("text"))
-    if len(words) == 1:
-        return F.array_contains(own, words[0])
-    return F.contains(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(" " + " ".join(words) + " "))
-
-
-def matching(docs: DataFrame, must: list[list[str]] = (), must_not: list[list[str]] = ()) -> DataFrame:
-    """Documents that hold all of the first terms and phrases and none of the others: a filter on each row, so nothing is shuffled."""
-    for words in must:
-        docs = docs.where(holds(words))
-    for words in must_not:
-        docs = docs.where(~holds(words))
-    return docs
-
-
-def bm25_query(docs: DataFrame, text: str, k: int = 20) -> DataFrame:
-    """BM25 by the query language; statistics stay those of all documents. A phrase adds its words' scores where it stands."""
-    query, spark = parse_query(text), docs.sparkSession
-    allowed = matching(docs, query.must, query.must_not)
-    parts = [(allowed, query.should)] if query.should or not query.phrases else []
-    parts += [(matching(allowed, [words]), {w: boost * words.count(w) for w in words}) for words, boost in query.phrases]
-    scored = [bm25_scores(some, spark.createDataFrame([(0, t, w) for t, w in weights.items()], "qid int, term string, weight double"), statistics=docs) for some, weights in parts]
-    scores = reduce(DataFrame.unionByName, scored)
-    if len(scored) > 1:
-        scores = scores.groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.sum("matched").alias("matched"))
-    return top_k(scores, k).drop("matched")
-
-
 def phrase_positions(docs: DataFrame, phrase: DataFrame) -> DataFrame:
     """(doc_id, n): how often the words of ``phrase`` (place, term) follow each other; joins on the words, then on the start."""
     words = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).join(phrase, "term")
@@ -257,4 +162,4 @@ def phrase_positions(docs: DataFrame, phrase: DataFrame) -> DataFrame:
     return runs.crossJoin(F.broadcast(size)).where("hits = size").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-__all__ = ["TOKEN_GAP", "bm25", "bm25_indexed", "bm25_query", "bm25_scores", "dense_search", "parse_query", "phrase_positions", "postings", "query_terms", "sparse_search", "top_k"]
+__all__ = ["TOKEN_GAP", "bm25", "bm25_scores", "dense_search", "phrase_positions", "postings", "query_terms", "sparse_search", "top_k"]

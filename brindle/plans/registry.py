@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import hash_uuid, stable_bucket, tokens
-from brindle.operators import admin, catalog, chunking, encoders, fusion, index, metrics, rag, rerank, retrieve, understanding
+from brindle.operators import admin, catalog, chunking, encoders, fusion, index, indexed, metrics, rag, rerank, retrieve, segments, understanding
 from brindle.session import shared_path, spread
 from brindle.sources import files
 from brindle.streaming import watch
@@ -73,14 +74,13 @@ def first_item(spark, d):
 
 # ---- sources
 
-RULES = [*files.DEFAULT_IGNORES, "# site", "fr/", "*5", "!*25", "/de/1*"]
+RULES = [*files.DEFAULT_IGNORES, "# site", "fr/", "*5", "!*25", "/de/1*", "[3-4]?[!0-6]", "\\#x"]
 
 
 def _case(column: str, rules: list[str]) -> str:
     out = "false"
-    for rule in rules:
-        if rule and not rule.startswith("#"):
-            out = f"CASE WHEN regexp_matches({column}, '{files.ignore_expression(rule.lstrip('!'))}') THEN {str(not rule.startswith('!')).lower()} ELSE {out} END"
+    for keeps, pattern in filter(None, map(files.ignore_rule, rules)):
+        out = f"CASE WHEN regexp_matches({column}, '{files.ignore_expression(pattern)}') THEN {str(not keeps).lower()} ELSE {out} END"
     return out
 
 
@@ -93,6 +93,17 @@ def a3_ignore_filter(spark, d):
     return paths.withColumn("ignored", files.ignored(F.col("path"), RULES))
 
 
+@query("""SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents WHERE lang <> 'de' AND NOT
+CASE WHEN regexp_matches(CAST(doc_id AS VARCHAR), '^[12]') THEN true WHEN doc_id % 100 = 17 THEN false ELSE doc_id % 10 = 7 END""")
+def a2_nested_ignores(spark, d):
+    """A walk over the documents as files, with ignore files in the root, in each source's folder and in each language's."""
+    docs = t(spark, d, "documents")
+    paths = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit("").alias("content"))
+    rules = lambda folder, text: docs.select(F.concat(folder, F.lit(".gitignore")).alias("path"), F.lit(text).alias("content")).distinct()
+    tree = [rules(F.lit(""), "*7.txt\n# all"), rules(F.concat("source", F.lit("/")), "!*17.txt\n/de/"), rules(F.concat("source", F.lit("/"), "lang", F.lit("/")), "[12]*.txt\n\\!x")]
+    return files.not_ignored(reduce(DataFrame.unionByName, tree, paths)).where(~F.endswith("path", F.lit(".gitignore"))).select("path")
+
+
 @query("SELECT doc_id, try(decode(CASE WHEN doc_id % 3 = 0 THEN unhex(md5(text)) ELSE encode(text) END)) IS NOT NULL AS is_text FROM documents")
 def a4_text_sniff(spark, d):
     """Every third document is replaced by the bytes of its MD5, which are rarely text."""
@@ -135,6 +146,8 @@ def _map_case(ending: str, table: dict[str, str], default: str) -> str:
 
 
 ENDING = "lower(regexp_extract(path, '([.][^./]+)$', 1))"
+ENDING_OF_ENDED = f"lower(regexp_extract({ENDED}, '([.][^./]+)$', 1))"
+VIEWER_ENDING, TEXT_LANGUAGE = "lower(string_split(path, '.')[-1])", "'text'"
 
 
 @query(f"WITH p AS (SELECT doc_id, {ENDED} AS path FROM documents) SELECT doc_id, {_map_case(ENDING, files.LANGUAGES, 'NULL')} AS language FROM p")
@@ -142,7 +155,7 @@ def a10_language_by_ext(spark, d):
     return t(spark, d, "documents").select("doc_id", files.language(_ended()).alias("language"))
 
 
-@query(f"WITH p AS (SELECT doc_id, {ENDED} AS path FROM documents) SELECT doc_id, {_map_case('lower(string_split(path, ' + chr(39) + '.' + chr(39) + ')[-1])', files.VIEWER_LANGUAGES, chr(39) + 'text' + chr(39))} AS language FROM p")
+@query(f"WITH p AS (SELECT doc_id, {ENDED} AS path FROM documents) SELECT doc_id, {_map_case(VIEWER_ENDING, files.VIEWER_LANGUAGES, TEXT_LANGUAGE)} AS language FROM p")
 def a11_viewer_language(spark, d):
     return t(spark, d, "documents").select("doc_id", files.viewer_language(_ended()).alias("language"))
 
@@ -184,7 +197,7 @@ def b5_chunk_no_overlap(spark, d):
     return chunking.fixed_chunks(files.corpus(spark, d), overlap=0)
 
 
-@query(f"WITH p AS (SELECT text, {_map_case(chr(108) + 'ower(regexp_extract(' + ENDED + ', ' + chr(39) + '([.][^./]+)$' + chr(39) + ', 1))', files.LANGUAGES, 'NULL')} AS language FROM documents) SELECT CASE WHEN text = '' THEN 'skipped' WHEN language IS NOT NULL THEN 'ast' ELSE 'fallback' END AS status, count(*) AS files FROM p GROUP BY 1")
+@query(f"WITH p AS (SELECT text, {_map_case(ENDING_OF_ENDED, files.LANGUAGES, 'NULL')} AS language FROM documents) SELECT CASE WHEN text = '' THEN 'skipped' WHEN language IS NOT NULL THEN 'ast' ELSE 'fallback' END AS status, count(*) AS files FROM p GROUP BY 1")
 def b6_ingest_status(spark, d):
     rows = t(spark, d, "documents").select(chunking.ingest_status(F.col("text"), files.language(_ended())).alias("status"))
     return rows.groupBy("status").agg(F.count("*").alias("files"))
@@ -297,11 +310,11 @@ def e10_delete_doc(spark, d):
 
 
 def _edited_index(spark, d, **changes: DataFrame) -> str:
-    """A stored index of all documents, edited; the new index's path."""
-    before, after = shared_path(spark, "index"), shared_path(spark, "index")
-    index.build(t(spark, d, "documents"), before)
-    index.edited(spark, before, after, **changes)
-    return after
+    """A stored index of all documents, edited."""
+    path = shared_path(spark, "index")
+    segments.create(t(spark, d, "documents"), path)
+    segments.update(spark, path, **changes)
+    return path
 
 
 @query(f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'new ' || text ELSE text END AS text FROM documents),
@@ -310,24 +323,24 @@ def e4_replace_postings(spark, d):
     """Documents of good quality come again with a new text: document and corpus frequencies from the stored postings."""
     docs = t(spark, d, "documents")
     good = docs.join(t(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", F.concat(F.lit("new "), "text").alias("text"))
-    rows = spark.read.parquet(f"{_edited_index(spark, d, add=good)}/postings")
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stored = segments.live(spark, _edited_index(spark, d, add=good))
+    return stored.living(segments.postings(stored.table("blocks"))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("SELECT 0::BIGINT AS n, count(*) AS postings FROM documents WHERE false")
 def e6_clear(spark, d):
-    """Documents and postings of a stored index that was cleared."""
-    before, after = shared_path(spark, "index"), shared_path(spark, "index")
-    index.build(t(spark, d, "documents"), before)
-    index.cleared(spark, before, after)
-    return spark.read.parquet(f"{after}/statistics").select("n").crossJoin(spark.read.parquet(f"{after}/postings").agg(F.count("*").alias("postings")))
+    """Documents of a stored index that was cleared, and what a search finds in it."""
+    path = shared_path(spark, "index")
+    segments.create(t(spark, d, "documents"), path)
+    segments.clear(spark, path)
+    return indexed.search(spark, path, items(spark, d)).agg(F.lit(segments.live(spark, path).n).cast("long").alias("n"), F.count("*").alias("postings"))
 
 
 @query(f"WITH l AS (SELECT len({TOK}) AS dl FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM l")
 def e10_delete_from_index(spark, d):
     """The statistics of the stored index after the toxic documents' deletion."""
-    after = _edited_index(spark, d, gone=t(spark, d, "labels").where("toxic = 1"))
-    return spark.read.parquet(f"{after}/statistics").select("n", F.round("avgdl", 6).alias("avgdl"))
+    stored = segments.live(spark, _edited_index(spark, d, gone=t(spark, d, "labels").where("toxic = 1")))
+    return stored.living(stored.table("documents")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 @query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) SELECT term, count(*) AS df FROM w GROUP BY ALL")
@@ -368,8 +381,27 @@ def f1_bm25_batch(spark, d):
 def f1_bm25_indexed(spark, d):
     """The same from an index that is built first."""
     path = shared_path(spark, "index")
-    index.build(t(spark, d, "documents"), path)
-    return retrieve.bm25_indexed(spark, path, items(spark, d))
+    segments.create(t(spark, d, "documents"), path)
+    return indexed.search(spark, path, items(spark, d))
+
+
+FINAL = f"""final AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'new ' || text ELSE text END AS text
+FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0))"""
+
+
+@query(f"WITH {FINAL}, {ITEMS}, {TERMS}, {bm25_ctes('final').replace('FROM documents', 'FROM final')}, {ranked('s', 20)} SELECT * FROM r")
+def e11_merged_segments(spark, d):
+    """A search over an index that grew by segments: four of a quarter each, good documents coming again with a new text, toxic ones
+    gone, and segments of one size merged; the same as over an index of what is left."""
+    path, docs, labels = shared_path(spark, "index"), t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "labels")
+    segments.create(docs.where("doc_id % 4 = 0"), path)
+    for n in (1, 2, 3):
+        segments.update(spark, path, add=docs.where(f"doc_id % 4 = {n}"))
+    good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").select("doc_id", F.concat(F.lit("new "), "text").alias("text"))
+    segments.update(spark, path, add=good, gone=labels.where("toxic = 1 AND quality = 0"))
+    while segments.merge(spark, path):
+        pass
+    return indexed.search(spark, path, items(spark, d))
 
 
 def _words(n: int) -> str:
@@ -389,7 +421,7 @@ def _first_words(spark, d, n: int = 4) -> list[str]:
 def _asked(spark, d, wanted: int, form: str) -> DataFrame:
     """Search with the first item's words in a query; no documents where it has fewer."""
     words, docs = _first_words(spark, d, wanted), t(spark, d, "documents")
-    return retrieve.bm25_query(docs, form.format(*words) if len(words) == wanted else "")
+    return indexed.search_docs(docs, form.format(*words) if len(words) == wanted else "")
 
 
 @query(_boolean(f"list_contains({TOK}, u[1]) AND list_contains({TOK}, u[3])", "u[1:3]"))
@@ -421,6 +453,38 @@ def f1c_bm25_phrase(spark, d):
     return retrieve.phrase_positions(t(spark, d, "documents"), phrase)
 
 
+HAS = lambda n: f"list_contains({TOK}, u[{n}])"
+#: Forms of a query over the first item's words, with what they mean and the words that score.
+FORMS = [
+    ("({0} OR {1}) AND {2}", f"({HAS(1)} OR {HAS(2)}) AND {HAS(3)}", "u[1:3]"),
+    ("{0} AND ({1} OR NOT {2})", f"{HAS(1)} AND ({HAS(2)} OR NOT {HAS(3)})", "u[1:2]"),
+    ("+text:{0} -({1} {2})", f"{HAS(1)} AND NOT ({HAS(2)} OR {HAS(3)})", "u[1:1]"),
+    ("IN [{0} {3}] -{1}", f"({HAS(1)} OR {HAS(4)}) AND NOT {HAS(2)}", "[u[1], u[4]]"),
+    ("{0} AND [{1} TO {1}]^0 AND {2}", f"{HAS(1)} AND {HAS(2)} AND {HAS(3)}", "[u[1], u[3]]"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS form, qid, rank, doc_id, score FROM ({_boolean(condition, used)})" for i, (_, condition, used) in enumerate(FORMS)))
+def f1c_query_trees(spark, d):
+    """Parentheses, NOT beside OR, field names, sets and ranges, from a stored index alone."""
+    words, path = _first_words(spark, d), shared_path(spark, "index")
+    segments.create(t(spark, d, "documents"), path)
+    texts = [form.format(*words) if len(words) == 4 else "" for form, _, _ in FORMS]
+    found = [indexed.search_text(spark, path, text).select(F.lit(i).alias("form"), "qid", "rank", "doc_id", "score") for i, text in enumerate(texts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"""WITH w AS (SELECT {TOK}[1:2] AS w FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
+x AS (SELECT doc_id, {TOK} AS a FROM documents),
+n AS (SELECT doc_id, CAST(len(list_filter(range(1, len(a) + 1), lambda i: a[i] = w[1] AND list_contains(a[i + 1:i + 3], w[2]))) AS BIGINT) AS n FROM x, w)
+SELECT doc_id, n FROM n WHERE n > 0""")
+def f1c_phrase_slop(spark, d):
+    """From how many places of the first item's first word the second follows with at most two words between them, from stored positions."""
+    words, path = first_item(spark, d).select(F.slice(tokens(F.col("text")), 1, 2).alias("w")).first().w, shared_path(spark, "index")
+    segments.create(t(spark, d, "documents"), path)
+    return indexed.phrase_counts(spark, path, words, slop=2)
+
+
 @query(f"WITH {ITEMS}, {TERMS}, {bm25_ctes()}, {ranked('s', 20)} SELECT * FROM r WHERE score >= 30")
 def f2_min_score(spark, d):
     return retrieve.bm25(t(spark, d, "documents"), items(spark, d), min_score=30.0)
@@ -654,7 +718,7 @@ def i1_intent(spark, d):
 
 
 def _hints_sql() -> str:
-    each = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}' END" for n, ws in understanding.HINTS.items())
+    each = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in understanding.HINTS.items())
     return f"SELECT conv_id, turn, array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), ',') AS hints FROM conversations"
 
 

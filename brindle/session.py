@@ -39,6 +39,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where it comes from fewer files than that; tables of more files stay as they are."""
+    """``df`` over all cores, where its scan has fewer tasks than that. A scan cuts large files into pieces, so only tables that are small
+    for the cluster are dealt anew; large ones stay as they are, however few their files are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

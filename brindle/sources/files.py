@@ -87,26 +87,116 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.select(relative.alias("path"), F.col("length").alias("size"), "modificationTime", "content").where(~F.col("path").rlike(r"(^|/)\.git/"))
 
 
-def ignore_expression(pattern: str) -> str:
-    """A gitignore pattern, without leading !, as a regular expression over relative paths."""
+def ignore_rule(line: str) -> tuple[bool, str] | None:
+    """(keeps, pattern) of a line of an ignore file; None for blank lines and comments. A backslash takes a leading # or ! and a trailing blank as they are."""
+    text = re.sub(r"(?<!\\)[ \t\r\n]+$", "", line)
+    if not text.strip() or text.startswith("#"):
+        return None
+    keeps = text.startswith("!")
+    pattern = text[1:] if keeps else text
+    return (keeps, pattern) if pattern.strip("/") else None
+
+
+def _glob_part(part: str) -> str:
+    """A path component as a regular expression: * and ?, [classes] with ! or ^, and escapes; an open bracket is itself."""
+    out, i = "", 0
+    while i < len(part):
+        c = part[i]
+        i += 1
+        if c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "\\" and i < len(part):
+            out += re.escape(part[i])
+            i += 1
+        elif c == "[" and (end := part.find("]", i + 1 + (part[i : i + 1] in ("!", "^")))) > 0:
+            inner = part[i:end]
+            negated = inner[0] in "!^"
+            body = re.sub(r"([\\\[\]^&~])", r"\\\1", inner[negated:])
+            out += f"[^/{body}]" if negated else f"[{body}]"
+            i = end + 1
+        else:
+            out += re.escape(c)
+    return out
+
+
+def _ignore_body(pattern: str) -> tuple[str, bool, bool]:
+    """(expression, whether it is tied to the top, whether it is for folders only) of a pattern."""
     body, folder = pattern.rstrip("/"), pattern.endswith("/")
     rooted, body = "/" in body, body.lstrip("/")
-    out = ""
-    for part in re.split(r"(\*\*/|\*\*|\*|\?)", body):
-        out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part).replace("/", "/"))
+    parts, out = body.split("/"), ""
+    for n, part in enumerate(parts):
+        last = n == len(parts) - 1
+        if part == "**":
+            out += ".*" if last else "(?:.*/)?"
+        else:
+            out += _glob_part(part) + ("" if last else "/")
+    return out, rooted, folder
+
+
+def ignore_expression(pattern: str) -> str:
+    """A pattern, without leading !, as a regular expression over relative paths, which also matches what lies below."""
+    out, rooted, folder = _ignore_body(pattern)
     return ("^" if rooted else "(^|/)") + out + ("/" if folder else "(/|$)")
 
 
 def ignored(path: Column, rules: list[str]) -> Column:
     """Whether the last of the rules that matches a path ignores it; blank lines and comments don't count."""
     out = F.lit(False)
-    for rule in (r.strip() for r in rules):
-        if rule and not rule.startswith("#"):
-            keep = rule.startswith("!")
-            out = F.when(path.rlike(ignore_expression(rule.lstrip("!"))), F.lit(not keep)).otherwise(out)
+    for keeps, pattern in filter(None, map(ignore_rule, rules)):
+        out = F.when(path.rlike(ignore_expression(pattern)), F.lit(not keeps)).otherwise(out)
     return out
 
 
+#: Ignore files of a folder, the strongest last; further ones are a parameter.
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def nested_rules(files: DataFrame, names: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """(folder, strength, line, keeps, expression) of all ignore files among ``files`` (path, content): one row per rule, its expression being
+    for paths relative to the file's folder, folders ending with a slash."""
+
+    @F.pandas_udf("array<struct<line: int, keeps: boolean, expression: string>>")
+    def parsed(contents: pd.Series) -> pd.Series:
+        def rules(content) -> list[dict]:
+            out = []
+            for n, line in enumerate((bytes(content) if content is not None else b"").decode("utf-8", "replace").splitlines()):
+                if rule := ignore_rule(line):
+                    body, rooted, folder = _ignore_body(rule[1])
+                    out.append({"line": n, "keeps": rule[0], "expression": f"^(?:{'' if rooted else '(?:.*/)?'}{body}{'/' if folder else '/?'})$"})
+            return out
+
+        return contents.map(rules)
+
+    strength = F.array_position(F.array(*map(F.lit, names)), basename(F.col("path"))).cast("int")
+    found = files.where(basename(F.col("path")).isin(*names)).select(F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("folder"), strength.alias("strength"), F.explode(parsed(F.col("content").cast("binary"))).alias("r"))
+    return found.select("folder", "strength", "r.line", "r.keeps", "r.expression")
+
+
+def _beginnings(path: Column) -> Column:
+    """A path's folders from the top, each ending with a slash, and the path itself."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n < F.size(parts), "/").otherwise("")))
+
+
+def not_ignored(files: DataFrame, names: tuple[str, ...] = IGNORE_FILES, rules: DataFrame | None = None) -> DataFrame:
+    """The files that a walk from the top meets: every folder's ignore files count below it. Of the rules that match a folder or file those of the
+    stronger ignore file decide, then those of the deepest folder, then the last; below an ignored folder nothing is kept.
+
+    Each folder is decided once, however many files it holds: distinct folders and files meet the rules of the folders above them by name.
+    """
+    rules = nested_rules(files, names) if rules is None else rules
+    steps = files.select("path", F.explode(_beginnings(F.col("path"))).alias("step"))
+    each = steps.select("step").distinct()
+    above = F.concat(F.array(F.lit("")), F.filter(_beginnings(F.rtrim("step", F.lit("/"))), lambda s: F.endswith(s, F.lit("/"))))
+    met = each.select("step", F.explode(above).alias("folder")).join(rules, "folder")
+    met = met.where(F.col("folder") != F.col("step")).where(F.rlike(F.substring(F.col("step"), F.length("folder") + 1, F.length("step")), F.col("expression")))
+    decided = met.groupBy("step").agg(F.max_by("keeps", F.struct("strength", F.length("folder"), "line")).alias("keeps"))
+    gone = steps.join(decided.where(~F.col("keeps")), "step").select("path").distinct()
+    return files.join(gone, "path", "left_anti")
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
@@ -200,4 +290,4 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, "^[a-z]+://", ""), "[?#].*$", "")
 
 
-__all__ = ["basename", "changed", "content_hash", "corpus", "html_elements", "ignored", "is_text", "language", "parse", "scan", "strip_tags", "url_path", "viewer_language"]
+__all__ = ["basename", "changed", "content_hash", "corpus", "html_elements", "ignored", "is_text", "language", "nested_rules", "not_ignored", "parse", "scan", "strip_tags", "url_path", "viewer_language"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.operators import segments
 from brindle.operators.index import upsert
 from brindle.sources.files import ignored
 
@@ -74,6 +76,16 @@ def debounced_stream(events: DataFrame, key: str, ts: str = "ts", idle_ms: int =
     return grouped.applyInPandasWithState(step, f"key {kind}, start timestamp, last timestamp, events long", "start timestamp, last timestamp, events long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _or_nothing(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -> DataFrame:
+    """What ``read`` gives; no rows where there is nothing at its path yet."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def ingest_stream(
     spark: SparkSession, source: str, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "path", version: list | None = None,
     rules: list[str] = (), initial: bool = True, glob: str = "*",
@@ -81,16 +93,23 @@ def ingest_stream(
     """Ingest a folder's new files once, those that are there already in the first run: a batch's last row per key goes to ``sink``,
     which must be idempotent.
 
-    ``rules`` leave out keys that an ignore rule matches, or a folder above them. Without ``initial`` the first run only marks the
-    files that are there as seen. The checkpoint knows what is done, so a run that broke off goes on where it stopped.
+    ``rules`` leave out keys that an ignore rule matches, or a folder above them. Without ``initial`` the first run lists the files that are
+    there, beside its checkpoint, and their rows are left out of every batch; an empty folder has none. The checkpoint knows what is
+    done, so a run that broke off goes on where it stopped.
     """
-    order = version or [F.desc("version")]
+    order, known = version or [F.desc("version")], f"{checkpoint.rstrip('/')}-known"
+    place = F.col("_metadata.file_path").alias("__file")
+    if not initial:
+        there = _or_nothing(spark, "__file string", lambda: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(source).select(place))
+        there.write.mode("ignore").parquet(known)  # the first run's list stays
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number or initial:
-            sink(upsert(rows, key, order), number)
+        if not initial:
+            rows = rows.join(spark.read.schema("__file string").parquet(known), "__file", "left_anti").drop("__file")
+        sink(upsert(rows, key, order), number)
 
     files = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
+    files = files if initial else files.select("*", place)
     kept = files.where(~ignored(F.col(key), list(rules))) if rules else files
     return kept.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -102,5 +121,61 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def current(spark: SparkSession, path: str, schema: str, key: str, version: list) -> DataFrame:
     """The last row of each key over all batches in ``path``; no rows where none was written."""
-    rows = spark.read.schema(schema).option("basePath", path).option("recursiveFileLookup", "true").parquet(path)
+    rows = _or_nothing(spark, schema, lambda: spark.read.schema(schema).option("basePath", path).option("recursiveFileLookup", "true").parquet(path))
     return upsert(rows, key, version)
+
+
+def index_sink(path: str, key: str = "path", version: str = "version", gone: str = "gone") -> Callable[[DataFrame, int], None]:
+    """A sink that applies a feed of changes (key, version, text, gone) to a stored index under ``path``: a row that isn't gone puts its text in, one that is
+    takes the key out.
+
+    Of each key the largest version counts, in whatever batch it comes: a late row that is older than what is known does nothing,
+    so a deletion isn't undone by an older text. A batch that runs again leaves the same index.
+    """
+
+    def apply(rows: DataFrame, number: int) -> None:
+        spark, kinds = rows.sparkSession, dict(rows.dtypes)
+        schema = f"{key} {kinds[key]}, {version} {kinds[version]}, batch int"
+        known = _or_nothing(spark, schema, lambda: spark.read.schema(schema).option("basePath", f"{path}/changes").parquet(f"{path}/changes"))
+        newest = known.where(F.col("batch") != number).groupBy(key).agg(F.max(version).alias("__known"))
+        fresh = rows.join(newest, key, "left").where(F.col("__known").isNull() | (F.col(version) > F.col("__known"))).drop("__known")
+        fresh.write.mode("overwrite").parquet(f"{path}/fresh")
+        fresh = spark.read.schema(rows.schema).parquet(f"{path}/fresh")
+        fresh.select(key, version).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        texts = fresh.where(~F.col(gone)).select(F.col(key).alias("doc_id"), "text")
+        try:
+            segments.update(spark, f"{path}/index", add=texts, gone=fresh.where(gone).select(F.col(key).alias("doc_id")))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            segments.create(texts, f"{path}/index")
+
+    return apply
+
+
+def changed_stream(files: DataFrame, key: str = "path", hash: str = "hash", forget: str | None = None) -> DataFrame:
+    """The rows of a stream whose content hash differs from the last one of their key, which is kept as the key's state.
+
+    Of rows of one key in one batch each is compared with the one before, in the order of ``hash``'s arrival. With ``forget`` (a time in
+    milliseconds) a key that hasn't come for that long is forgotten, so states don't pile up.
+    """
+    columns = files.columns
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for rows in batches:
+            new = []
+            for own in rows[hash]:
+                new.append(own != last)
+                last = own
+            if any(new):
+                yield rows[new][columns]
+        state.update((last,))
+        if forget:
+            state.setTimeoutDuration(forget)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return files.groupBy(key).applyInPandasWithState(step, files.schema, f"{hash} string", "append", timeout)

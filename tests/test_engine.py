@@ -23,22 +23,6 @@ def test_bm25_golden(spark):
     assert retrieve.bm25(corpus, query, min_score=0.45).count() == 1
 
 
-def test_query_language(spark):
-    corpus = docs(spark, a="alpha beta gamma", b="alpha gamma beta", c="beta delta")
-    ids = lambda q: {r.doc_id for r in retrieve.bm25_query(corpus, q).collect()}
-    assert ids("alpha beta") == {"a", "b", "c"}
-    assert ids("+alpha beta") == {"a", "b"}
-    assert ids("beta NOT alpha") == ids("beta -alpha") == {"c"}
-    assert ids('"alpha beta"') == {"a"}
-    assert ids('"alpha beta" delta') == {"a", "c"}  # a phrase is an optional clause
-    assert ids('+"alpha beta" delta') == {"a"} and ids('beta -"alpha beta"') == {"b", "c"}
-    assert ids("alpha AND delta") == set() and ids("beta AND alpha") == {"a", "b"} and ids("delta OR gamma") == {"a", "b", "c"}
-    assert ids('gamma AND NOT "gamma beta"') == {"a"} and ids("-alpha") == set()
-    assert retrieve.parse_query("x^2 y AND z").should == {"x": 2.0, "y": 1.0, "z": 1.0} and retrieve.parse_query("y AND z").must == [["y"], ["z"]]
-    assert retrieve.parse_query("e\u0301t\u0301 x").should == {"e": 1.0, "t": 1.0, "x": 1.0}  # marks part words, as in texts
-    assert ids("src/beta.py: (alpha") >= {"a", "b", "c"}
-
-
 def test_rows_that_share_an_id_count_each_for_itself(spark):
     corpus = spark.createDataFrame([("a", "red red"), ("a", "red blue"), ("b", "green")], "doc_id string, text string")
     got = [r.score for r in retrieve.bm25(corpus, spark.createDataFrame([(0, "red")], "qid int, text string")).collect()]
@@ -251,20 +235,6 @@ def test_dense_search_leaves_out_what_has_no_direction(spark):
     assert got == [("a", 1, 1, 1.0), ("a", 2, 7, 1.0)]
 
 
-def test_a_stored_index_is_edited_as_if_built_anew(spark, tmp_path):
-    at = lambda name: str(tmp_path / name)
-    old, new = docs(spark, a="x y x", b="y z", c="", d="x"), docs(spark, b="new x", e="z z")
-    index.build(old, at("one"))
-    index.edited(spark, at("one"), at("two"), add=new, gone=old.where("doc_id = 'd'"))
-    index.build(docs(spark, a="x y x", b="new x", c="", e="z z"), at("whole"))
-    for part in ("postings", "lengths", "statistics"):
-        rows = [sorted(map(tuple, spark.read.parquet(at(f"{x}/{part}")).collect())) for x in ("two", "whole")]
-        assert rows[0] == rows[1] and rows[0]
-    index.cleared(spark, at("two"), at("none"))
-    asked = spark.createDataFrame([(0, "x")], "qid int, text string")
-    assert retrieve.bm25_indexed(spark, at("two"), asked).count() == 2 and retrieve.bm25_indexed(spark, at("none"), asked).count() == 0
-
-
 def test_ingest_goes_on_from_its_checkpoint(spark, tmp_path):
     schema, order = "path string, version int", [F.desc("version")]
     source, rows, seen = str(tmp_path / "in"), str(tmp_path / "rows"), []
@@ -301,3 +271,130 @@ def test_deep_dive_answers_like_the_loop_over_one_question(spark):
     for i, text in enumerate(texts):
         found = rag.ask(one, text, plain, max_steps=3)
         assert got[i] == (found.answer, len(found.sources), found.steps_taken or 1), text
+
+
+def test_ingest_without_a_first_scan(spark, tmp_path):
+    """What is there when watching begins is left out, and nothing else: in an empty folder the first new file counts."""
+    schema, order = "path string, version int", [F.desc("version")]
+    for name, there in (("empty", []), ("filled", [("old", 1)])):
+        source, out = str(tmp_path / name / "in"), str(tmp_path / name / "rows")
+        (tmp_path / name / "in").mkdir(parents=True)
+
+        def add(*rows, source=source):
+            spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+
+        def run(source=source, out=out, name=name):
+            watch.ingest_stream(spark, source, schema, watch.batch_sink(out), str(tmp_path / name / "checkpoint"), version=order, initial=False).awaitTermination()
+            return sorted(map(tuple, watch.current(spark, out, schema, "path", order).collect()))
+
+        if there:
+            add(*there)
+        assert run() == []
+        add(("a", 1))
+        assert run() == [("a", 1)]
+        add(("b", 1), ("a", 2))
+        assert run() == [("a", 2), ("b", 1)] == run()
+
+
+def test_changes_reach_the_index_in_the_order_of_their_versions(spark, tmp_path):
+    import random
+
+    from brindle.operators import indexed, segments
+
+    schema, rng = "path string, version int, text string, gone boolean", random.Random(9)
+    feed = [(f"p{rng.randrange(6)}", v, f"word{rng.randrange(4)} w{v}", rng.random() < 0.3) for v in range(24)]
+    feed += [("q", 100, "word1 first", False), ("q", 102, "", True)]
+    late = [("q", 101, "word1 late", False), ("z", 7, "word0", True), *feed[3:5]]
+    rng.shuffle(feed)
+    sink = watch.index_sink(str(tmp_path / "store"))
+    source = str(tmp_path / "in")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        watch.ingest_stream(spark, source, schema, lambda r, n: (sink(r, n), sink(r, n)), str(tmp_path / "checkpoint")).awaitTermination()
+
+    for part in (feed[:9], feed[9:17], feed[17:], late):
+        run(part)
+    last = {}
+    for path, version, text, gone in [*feed, *late]:
+        last[path] = max(last.get(path, (-1,)), (version, text, gone))
+    expected = {p: t for p, (_, t, gone) in last.items() if not gone}
+    index = segments.live(spark, str(tmp_path / "store" / "index"))
+    assert {r.doc_id for r in index.living(index.table("documents")).collect()} == set(expected) and index.n == len(expected)
+    found = indexed.search_text(spark, str(tmp_path / "store" / "index"), "word1")
+    assert {r.doc_id for r in found.collect()} == {p for p, t in expected.items() if "word1" in t.split()}
+
+
+def test_unchanged_files_dont_come_again(spark, tmp_path):
+    schema, source, out = "path string, hash string", str(tmp_path / "in"), str(tmp_path / "out")
+    steps = [[("a", "1"), ("b", "1")], [("a", "1"), ("b", "2"), ("c", "1")], [("b", "2"), ("a", "1")], [("b", "1"), ("c", "1"), ("d", "1")]]
+    expected, last = [], {}
+    for step in steps:  # each run goes on from the checkpoint
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = watch.changed_stream(spark.readStream.schema(schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        expected += [e for e in step if last.get(e[0]) != e[1]]
+        last |= dict(step)
+        assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(expected)
+
+
+def walk(tree: dict[str, str], names=(".gitignore", ".ignore")) -> set[str]:
+    """A walk that goes down folder by folder."""
+    import fnmatch
+
+    kept = set()
+
+    def match(pattern: str, parts: list[str], folder: bool) -> bool:
+        only_folder, body = pattern.endswith("/"), pattern.strip("/")
+        if only_folder and not folder:
+            return False
+        tied = "/" in pattern.rstrip("/")
+        want = body.split("/")
+
+        def fits(want, parts):
+            if not want:
+                return not parts
+            if want[0] == "**":
+                return bool(parts) if len(want) == 1 else any(fits(want[1:], parts[i:]) for i in range(len(parts) + 1))
+            return bool(parts) and fnmatch.fnmatchcase(parts[0], want[0].replace("[^", "[!")) and fits(want[1:], parts[1:])
+
+        return fits(want, parts) if tied else any(fits(want, parts[i:]) for i in range(len(parts)))
+
+    def ignored(parts: list[str], folder: bool) -> bool:
+        for name in reversed(names):
+            for depth in range(len(parts) - 1, -1, -1):
+                lines = tree.get("/".join([*parts[:depth], name]), "").splitlines()
+                for line in reversed(lines):
+                    if line and not line.startswith("#"):
+                        keeps = line.startswith("!")
+                        if match(line.removeprefix("!"), parts[depth:], folder):
+                            return not keeps
+        return False
+
+    for path in tree:
+        parts = path.split("/")
+        if not any(ignored(parts[:n], n < len(parts)) for n in range(1, len(parts) + 1)):
+            kept.add(path)
+    return kept
+
+
+def test_a_walk_heeds_the_ignore_files_of_every_folder(spark):
+    tree = {
+        ".gitignore": "*.log\nbuild/\n/top.txt\n# c\n\n!keep.log\ndocs/**/draft.md\n**/tmp\n[a-c]?.bin\n[!x]z.q",
+        "a/.gitignore": "!x.log\nnested/\n*.md", "a/b/.ignore": "!*.md\n/only", "a/b/.gitignore": "*.rs", "build/.gitignore": "!*",
+    }
+    names = ["x.log", "keep.log", "top.txt", "y.md", "draft.md", "only", "z.rs", "tmp", "a1.bin", "d1.bin", "xz.q", "yz.q", "plain"]
+    tree |= {f"{folder}{name}": "" for folder in ("", "a/", "a/b/", "build/", "a/nested/", "docs/", "docs/p/q/", "a/b/only2/", "a/tmp/") for name in names}
+    table = spark.createDataFrame([(p, c.encode()) for p, c in tree.items()], "path string, content binary")
+    got = {r.path for r in files.not_ignored(table).collect()}
+    assert got == walk(tree) and 20 < len(got) < len(tree)
+    own = {p.replace(".ignore", ".own"): c for p, c in tree.items()}
+    table = spark.createDataFrame([(p, c.encode()) for p, c in own.items()], "path string, content binary")
+    assert {r.path for r in files.not_ignored(table, (".gitignore", ".own")).collect()} == walk(own, (".gitignore", ".own"))
+
+
+def test_ignore_patterns(spark):
+    cases = [("*.py[co]", "a/m.pyc", True), ("*.py[co]", "m.pyx", False), ("[!a]x", "bx", True), ("[^a]x", "ax", False), ("\\#x", "#x", True), ("\\!x", "!x", True), ("#x", "#x", False), ("a[", "a[", True), ("x\\ ", "x ", True), ("x  ", "x", True), ("a/**/b", "a/b", True), ("a/**/b", "a/c/d/b", True), ("/a/*", "b/a/c", False), ("[]-]", "]", True), ("[", "[", True)]
+    for rule, path, expected in cases:
+        assert spark.range(1).select(files.ignored(F.lit(path), [rule]).alias("i")).first().i is expected, (rule, path)
+    assert spark.range(1).select(files.ignored(F.lit("a.log"), ["*.log", "!!a.log", "!a.log"]).alias("i")).first().i is False
