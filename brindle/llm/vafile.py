@@ -3,9 +3,8 @@
 Every dimension is cut into 2**bits equal cells between its smallest and largest value over the whole table. The file holds, for
 each vector, one byte per dimension: its cell. It is written once; the scan reads the cells alone. For a query they bound the
 inner product from both sides, as the cells' lower edges times the query plus two sums that only depend on the query. Blocks of
-cells and blocks of queries meet by key, so a task holds one of each, whatever the size of the table, and hands on the vectors
-whose upper bound reaches the k-th best lower bound of the block; of all blocks' candidates those stay that reach the k-th best
-of all. Exact vectors are then read in the order of the bounds: first the k of the largest upper bound, whose k-th exact score
+cells and blocks of queries meet by key, so a task holds one of each, whatever the size of the table. They meet twice: first for the k-th
+best lower bound of all blocks, then for the vectors whose upper bound reaches it. Exact vectors are then read in the order of the bounds: first the k of the largest upper bound, whose k-th exact score
 is a threshold, then those whose upper bound reaches it. Nothing else can be among the k best.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part. Vectors are only compared with
@@ -79,35 +78,51 @@ def cell_file(vectors: DataFrame, span: Broadcast) -> DataFrame:
 
 
 def candidates(cells: DataFrame, queries: DataFrame, n_cells: int, n_queries: int, span: Broadcast, k: int) -> DataFrame:
-    """(query_id, row, low, up) of the vectors whose upper bound reaches the k-th best lower bound of their query."""
+    """(query_id, row, up) of the vectors whose upper bound reaches the k-th best lower bound of their query.
+
+    The cells are scanned twice: first each block gives its k best lower bounds of a query, of which tasks hand on k each, so the
+    k-th best of all is known before the second scan, and no block hands on a vector that falls short of it.
+    """
     n_blocks, n_query_blocks = max(1, -(-n_cells // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = cells.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")).withColumn("qb", every(n_query_blocks))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int")).withColumn("b", every(n_blocks))
+    placed = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("int"))
 
-    def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "row": np.empty(0, np.int64), "low": np.empty(0), "up": np.empty(0)})]
+    def bounded(q: pd.DataFrame, c: pd.DataFrame):
+        """(some queries, lower bounds, upper bounds), a query's own rows at minus infinity."""
         if len(q) and len(c):
-            dims, ids, rows = int(q.dims.iloc[0]), c.id.to_numpy(), c.row.to_numpy()
+            dims, ids = int(q.dims.iloc[0]), c.id.to_numpy()
             lo, hi = span.value.get(dims, (np.zeros(0), np.zeros(0)))
             table = np.frombuffer(b"".join(c.cells), np.uint8).reshape(len(c), dims)
             for at in range(0, len(q), _SCAN):
                 some = q.iloc[at : at + _SCAN]
-                exact = np.stack(some.v.to_list()) if dims else np.zeros((len(some), 0))
-                for query_id, low, up in zip(some.id, *bounds(table, exact, lo, hi), strict=True):
-                    other = ids != query_id
-                    low, up, own = low[other], up[other], rows[other]
-                    if len(low):
-                        certain = np.partition(low, len(low) - min(k, len(low)))[len(low) - min(k, len(low))]
-                        near = up >= certain
-                        out.append(pd.DataFrame({"query_id": query_id, "row": own[near], "low": low[near], "up": up[near]}))
+                low, up = bounds(table, np.stack(some.v.to_list()) if dims else np.zeros((len(some), 0)), lo, hi)
+                own = ids[None, :] == some.id.to_numpy()[:, None]
+                low[own], up[own] = -np.inf, -np.inf
+                yield some, low, up
+
+    def best_lows(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "low": np.empty(0)})]
+        for some, low, _ in bounded(q, c):
+            best = low if low.shape[1] <= k else np.partition(low, low.shape[1] - k, axis=1)[:, -k:]
+            row, col = np.nonzero(best > -np.inf)
+            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[row], "low": best[row, col]}))
+        return pd.concat(out)
+
+    def reaching(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "row": np.empty(0, np.int64), "up": np.empty(0)})]
+        for some, _, up in bounded(q, c):
+            row, col = np.nonzero((up >= some.certain.to_numpy()[:, None]) & (up > -np.inf))
+            out.append(pd.DataFrame({"query_id": some.id.to_numpy()[row], "row": c.row.to_numpy()[col], "up": up[row, col]}))
         return pd.concat(out)
 
     keys = ["dims", "qb", "b"]
-    found = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, row long, low double, up double"), "va-scan")
+    meet = lambda left, scan, schema: left.withColumn("b", every(n_blocks)).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, schema)
     by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    certain = found.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("low").alias("certain"))
-    return found.join(certain, "query_id").where((F.col("n") < k) | (F.col("up") >= F.col("certain"))).select("query_id", "row", "up")
+    kept = meet(placed, best_lows, "query_id long, low double").withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= k)
+    certain = written(kept.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).otherwise(float("-inf")).alias("certain")), "va-certain")
+    known = placed.join(certain.withColumnRenamed("query_id", "id"), "id")
+    return written(meet(known, reaching, "query_id long, row long, up double"), "va-scan")
 
 
 def exact_scores(some: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -125,10 +140,10 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
     n_vectors, n_queries = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     near = candidates(cell_file(vectors, span), queries, n_vectors, n_queries, span, k)
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("up"), "row")
-    near = written(near.withColumn("place", F.row_number().over(by_bound)), "va-candidates")
-    first = written(exact_scores(near.where(F.col("place") <= k), vectors, queries), "va-first")
+    top = written(near.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= k).select("query_id", "row"), "va-top")
+    first = written(exact_scores(top, vectors, queries), "va-first")
     threshold = first.groupBy("query_id").agg(F.min("score").alias("least"))
-    rest = near.where(F.col("place") > k).join(threshold, "query_id").where(F.col("up") >= F.col("least"))
+    rest = near.join(threshold, "query_id").where(F.col("up") >= F.col("least")).join(top, ["query_id", "row"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     scored = first.unionByName(exact_scores(rest, vectors, queries))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -142,13 +142,14 @@ def points_of(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return once.select("id", "p.dims", "p.v")
 
 
-def routing(points: DataFrame, leaves: int = LEAVES) -> dict[int, Tree]:
-    """Per number of components, the tree that a sample of ``SAMPLE`` vectors shapes."""
+def routing(points: DataFrame) -> dict[int, Tree]:
+    """Per number of components, the tree that a sample of ``SAMPLE`` vectors shapes: a leaf for each shard's worth of vectors, ``LEAVES`` at most."""
+    leaves = {r.dims: min(LEAVES, -(-r["count"] * r.dims * 8 // SHARD_BYTES)) for r in points.groupBy("dims").count().collect()}
     sample = points.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("dims", "v").collect()
     found: dict[int, list[list[float]]] = {}
     for r in sample:
         found.setdefault(r.dims, []).append(r.v)
-    return {dims: Tree.build(np.array(v), max(LEAF, -(-len(v) // leaves)), routing=True)[0] for dims, v in found.items()}
+    return {dims: Tree.build(np.array(v), max(1, -(-len(v) // leaves[dims])), routing=True)[0] for dims, v in found.items()}
 
 
 def build(unique: DataFrame, k: int = K) -> tuple[DataFrame, dict[int, Tree], dict[tuple[int, int], tuple[int, int]]]:

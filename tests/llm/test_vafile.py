@@ -49,3 +49,16 @@ def test_bounds_hold_every_product():
 def test_no_vectors(spark):
     assert vafile.top_k(spark.createDataFrame([], SCHEMA), F.col("id") % 20 == 0).count() == 0
     assert vafile.top_k(spark.createDataFrame([(20, [1.0], 0, 0, 0)], SCHEMA), F.col("id") % 20 == 0).count() == 0
+
+
+def test_what_a_scan_hands_on_does_not_grow_with_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, [float(x) for x in v], 0, 1, 1) for i, v in enumerate(rng.normal(0, 1, (2000, 8)))], SCHEMA)
+    vectors = vafile.written(vafile.integer_vectors(table), "test-vectors")
+    span = spark.sparkContext.broadcast(vafile.ranges(vectors))
+    queries = vectors.where("id % 50 = 0").select("id", "dims", "v")
+    handed = []
+    for block in (4000, 250, 50):
+        monkeypatch.setattr(vafile, "BLOCK", block)
+        handed.append({tuple(r) for r in vafile.candidates(vafile.cell_file(vectors, span), queries, 2000, 40, span, 20).select("query_id", "row").collect()})
+    assert handed[0] == handed[1] == handed[2] and 40 * 20 <= len(handed[0]) < 40 * 40
