@@ -52,8 +52,3 @@ def glob_pattern(glob: str) -> str:
         else:
             out += "\\" + c if not c.isalnum() and ord(c) < 128 else c
     return f"(?s)^{out}$"
-
-
-def js_round(value: Column) -> Column:
-    """Halves go up."""
-    return F.floor(value + 0.5)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import shared_path
+
 ROLES = {"viewer": 1, "member": 2, "admin": 3}
 
 
@@ -98,3 +101,25 @@ def allowed(role: Column, required: str) -> Column:
 def active_by_type(models: DataFrame, kind: str, name: str, default: str) -> DataFrame:
     """(kind, name): the first active model of each type, or the default."""
     return models.groupBy(kind).agg(F.coalesce(F.min(F.when(F.col("active"), F.col(name))), F.lit(default)).alias(name))
+
+
+def flattened(rows: DataFrame, keys: list[str], json: str, prefix: str) -> DataFrame:
+    """(*keys, key, value): every leaf of a JSON column under its dotted path, places of lists in brackets; text values without quotes.
+
+    Objects and lists are opened one level per round, all rows at once, until none is left; a round's result is written. An empty
+    object or list is a leaf; what isn't JSON, or null, has no rows.
+    """
+    spark, folder, at = rows.sparkSession, shared_path(rows.sparkSession, "flattened"), 0
+    opened = "schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)<' AND CAST(v AS STRING) NOT IN ('{}', '[]')"
+    now, leaves = rows.select(*keys, F.lit(prefix).alias("key"), F.try_parse_json(json).alias("v")).where("v IS NOT NULL"), []
+    while True:
+        marked = now.select(*keys, "key", "v", F.expr(opened).alias("opened"))
+        marked.write.parquet(f"{folder}/{at}")
+        marked = spark.read.schema(marked.schema).parquet(f"{folder}/{at}")
+        leaves.append(marked.where("NOT opened").select(*keys, "key", F.expr("CAST(v AS STRING)").alias("value")))
+        inner = marked.where("opened")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        parts = inner.select(*keys, F.col("key").alias("__above"), F.col("v").alias("__v")).lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        name = F.when(F.col("key").isNull(), F.concat("__above", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat_ws(".", "__above", "key"))
+        now, at = parts.select(*keys, name.alias("key"), F.col("value").alias("v")), at + 1

@@ -3,84 +3,37 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import basename, hash_uuid
+from brindle.functions.text import basename
+from brindle.operators import blocks
 
 SIZE, OVERLAP = 1000, 200
 SEPARATORS = ("\n\n", "\n", " ", "")
 CHUNK = "content string, chunk_type string, symbols array<string>, start_line int, end_line int, node_type string"
-#: How block headers begin in languages without a parser here.
-_HEADERS = {
-    "javascript": r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?P<k>function|class)\s*\*?\s*(?P<n>\w+)",
-    "typescript": r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?P<k>function|class|interface)\s*\*?\s*(?P<n>\w+)",
-    "go": r"^(?P<k>func)\s+(?:\([^)]*\)\s*)?(?P<n>\w+)",
-    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?P<k>fn|struct|impl|trait|enum)\s+(?P<n>\w+)",
-    "java": r"^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)*(?P<k>class|interface|enum)\s+(?P<n>\w+)",
-}
-
-
-def _python_blocks(text: str) -> list[tuple]:
-    lines, found = text.splitlines(), []
-
-    def visit(node: ast.AST, parent: str) -> None:
-        for child in ast.iter_child_nodes(node):
-            name = parent
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                is_class = isinstance(child, ast.ClassDef)
-                kind = "class" if is_class else "method" if parent else "function"
-                name = f"{parent}.{child.name}" if parent else child.name
-                found.append(("\n".join(lines[child.lineno - 1 : child.end_lineno]), kind, [name], child.lineno, child.end_lineno, "class_definition" if is_class else "function_definition"))
-                visit(child, name if is_class else parent)
-            else:
-                visit(child, parent)
-
-    visit(ast.parse(text), "")
-    return found
-
-
-def _braced_blocks(text: str, language: str) -> list[tuple]:
-    lines, found = text.split("\n"), []
-    for i, line in enumerate(lines):
-        if not (m := re.match(_HEADERS[language], line)):
-            continue
-        depth, end, opened = 0, i, False
-        for j in range(i, len(lines)):
-            depth += lines[j].count("{") - lines[j].count("}")
-            opened, end = opened or "{" in lines[j], j
-            if opened and depth <= 0:
-                break
-        kind = "class" if m["k"] in ("class", "interface", "struct", "impl", "trait", "enum") else "function"
-        found.append(("\n".join(lines[i : end + 1]), kind, [m["n"]], i + 1, end + 1, m["k"]))
-    return found
 
 
 def code_blocks(text: str | None, language: str | None) -> list[tuple]:
     """Classes, functions and methods, outer before inner and overlapping; one module chunk where there are none."""
     if not text:
         return []
-    try:
-        found = _python_blocks(text) if language == "python" else _braced_blocks(text, language) if language in _HEADERS else []
-    except (SyntaxError, ValueError, RecursionError):
-        found = []
-    return found or [(text, "module", [], 1, len(text.split("\n")), "module")]
+    return (blocks.scan(text, language) if language in blocks.LANGUAGES else []) or [(text, "module", [], 1, len(text.split("\n")), "module")]
 
 
 def ast_chunks(files: DataFrame) -> DataFrame:
     """Rows of CHUNK, with chunk_index, for every file (path, language, text); one Arrow pass."""
 
     @F.pandas_udf(f"array<struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in CHUNK.split(', '))}>>")
-    def blocks(text: pd.Series, language: pd.Series) -> pd.Series:
+    def found(text: pd.Series, language: pd.Series) -> pd.Series:
         names = [c.split()[0] for c in CHUNK.split(", ")]
         return pd.Series([[dict(zip(names, b, strict=True)) for b in code_blocks(t, x)] for t, x in zip(text, language, strict=True)])
 
-    found = files.select("path", "language", F.posexplode(blocks("text", "language")).alias("chunk_index", "c"))
-    return found.select("path", "language", "chunk_index", "c.*")
+    rows = files.select("path", "language", F.posexplode(found("text", "language")).alias("chunk_index", "c"))
+    return rows.select("path", "language", "chunk_index", "c.*")
 
 
 def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
@@ -140,9 +93,6 @@ def enhanced(path: Column, content: Column) -> Column:
     return F.concat(F.lit("File: "), basename(path), F.lit("\nPath: "), path, F.lit("\n\n"), content)
 
 
-def chunk_id(path: Column, index: Column, content: Column) -> Column:
-    return hash_uuid(F.concat_ws(":", path, index.cast("string"), content))
-
 
 def ingest_status(text: Column, language: Column) -> Column:
     """skipped for empty texts, else the way of chunking: ast where the language is known, else fallback."""

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import stable_bucket, tokens
+from brindle.functions.text import TOKEN_BYTES, TOKEN_GAP, stable_bucket, tokens
 
 BUCKETS = 30_000
 
@@ -42,10 +45,18 @@ def dense(text: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndar
     return embed(text)
 
 
-def keyword_vector(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """(key, term, idx, val): counts of words longer than two characters; words that collide keep entries of their own."""
-    words = docs.select(key, F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), "[ \t\r\n\f\x0b]+", " ")), " ")).alias("term"))
-    counts = words.where(F.length("term") > 2).groupBy(key, "term").agg(F.count("*").cast("double").alias("val"))
+def _words(docs: DataFrame, key: str, words: Column, buckets: int, keep: list[int] | None) -> DataFrame:
+    """(key, term) of every word; with ``keep`` only words of these entries leave their row, and rows go to where all that follows by key is done."""
+    rows = docs.select(key, (words if keep is None else F.filter(words, lambda w: stable_bucket(w, buckets).isin(keep))).alias("words"))
+    if keep is not None:
+        rows = rows.where(F.size("words") > 0).repartition(key)
+    return rows.select(key, F.explode("words").alias("term"))
+
+
+def keyword_vector(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, keep: list[int] | None = None) -> DataFrame:
+    """(key, term, idx, val): counts of words longer than two characters, of the entries ``keep`` where given; words that collide keep entries of their own."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[ \t\r\n\f\x0b]+", " ")), " "), lambda w: F.length(w) > 2)
+    counts = _words(docs, key, words, buckets, keep).groupBy(key, "term").agg(F.count("*").cast("double").alias("val"))
     return counts.select(key, "term", stable_bucket(F.col("term"), buckets).alias("idx"), "val")
 
 
@@ -55,7 +66,88 @@ def pooled(logits: DataFrame, key: str = "doc_id") -> DataFrame:
     return logits.groupBy(key, "idx").agg(weight.alias("val")).where("val > 0")
 
 
-def term_weights(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """(key, idx, val): square roots of term frequencies by bucket, without document frequencies."""
-    words = docs.select(key, F.explode(tokens(F.col("text"))).alias("term")).select(key, stable_bucket(F.col("term"), buckets).alias("idx"))
-    return words.groupBy(key, "idx").agg(F.sqrt(F.count("*").cast("double")).alias("val"))
+def term_weights(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, keep: list[int] | None = None) -> DataFrame:
+    """(key, idx, val): square roots of term frequencies by bucket, of the entries ``keep`` where given, without document frequencies."""
+    words = _words(docs, key, tokens(F.col("text")), buckets, keep).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return words.groupBy(key, stable_bucket(F.col("term"), buckets).alias("idx")).agg(F.sqrt(F.sum("n").cast("double")).alias("val"))
+
+
+# ---- vectors from the corpus
+
+#: Words of the vocabulary, by the number of texts that hold them, more columns than wanted while iterating, rounds, and words whose rows are added up together.
+WORDS, MORE, ROUNDS, CHUNK = 8192, 8, 3, 256
+
+
+class Latent:
+    """Latent semantic vectors: a text's tf-idf weights over a vocabulary, projected on the corpus' main directions, at length one.
+
+    Texts without a word of the vocabulary are zero.
+    """
+
+    def __init__(self, words: list[str], idf: np.ndarray, basis: np.ndarray):
+        self.words, self.idf, self.basis = words, idf, basis
+        self.places = {w: i for i, w in enumerate(words)}
+
+    def weights(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, word, weight) of each text's known words, every text at length one."""
+        known = [Counter(map(self.places.get, own)) for own in texts]
+        found = [(i, p, n) for i, own in enumerate(known) for p, n in own.items() if p is not None]
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        row, word, n = (np.array(c) for c in zip(*found, strict=True))
+        weight = (1 + np.log(n)) * self.idf[word]
+        return row, word, weight / np.sqrt(np.bincount(row, weight**2))[row]
+
+    def project(self, texts: list[list[str]]) -> np.ndarray:
+        row, word, weight = self.weights(texts)
+        out = np.zeros((len(texts), self.basis.shape[1]))
+        np.add.at(out, row, weight[:, None] * self.basis[word])
+        return out
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        own = [[w for w in regex.split(TOKEN_GAP, t.lower()) if w and len(w.encode()) < TOKEN_BYTES] for t in texts]
+        out = self.project(own)
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
+
+
+def _gram_product(words: DataFrame, model: Latent) -> np.ndarray:
+    """The corpus' word-by-word matrix times the model's basis: tasks add up their texts, then chunks of words are added up in two steps."""
+    rows, columns = model.basis.shape
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, total = shared.value, np.zeros((rows, columns))
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                own = batch["words"].iloc[at : at + 1024].to_list()
+                row, word, weight = model.weights(own)
+                np.add.at(total, word, weight[:, None] * model.project(own)[row])
+        yield pd.DataFrame({"chunk": range(0, rows, CHUNK), "part": TaskContext.get().partitionId() % 64, "sums": [total[i : i + CHUNK].tobytes() for i in range(0, rows, CHUNK)]})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b) for b in group.sums)
+        return pd.DataFrame({"chunk": [group.chunk.iloc[0]], "sums": [total.tobytes()]})
+
+    parts = words.mapInPandas(add, "chunk int, part int, sums binary")
+    summed = parts.groupBy("chunk", "part").applyInPandas(merge, "chunk int, sums binary").groupBy("chunk").applyInPandas(merge, "chunk int, sums binary")
+    return np.concatenate([np.frombuffer(r.sums).reshape(-1, columns) for r in summed.orderBy("chunk").collect()])
+
+
+def latent(docs: DataFrame, dims: int = 64, words: int = WORDS, rounds: int = ROUNDS) -> Latent:
+    """Directions of a corpus (text) by a randomised decomposition: a random basis is multiplied by the word-by-word matrix, one pass over the
+    texts each time, and made orthogonal. The driver holds ``words`` times ``dims`` numbers, whatever the corpus."""
+    own = docs.select(tokens(F.col("text")).alias("words"))
+    df = own.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known, n = df.orderBy(F.desc("df"), "term").limit(words).collect(), docs.count()
+    names = [r.term for r in known]
+    idf = np.log((1 + n) / (1 + np.array([r.df for r in known], float))) + 1e-3
+    columns = min(len(names), dims + MORE)
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(len(names), columns)))[0] if names else np.zeros((0, 0))
+    model = Latent(names, idf, basis)
+    if not names:
+        return model
+    for _ in range(rounds):
+        model = Latent(names, idf, np.linalg.qr(_gram_product(own, model))[0])
+    values, turn = np.linalg.eigh(model.basis.T @ _gram_product(own, model))
+    return Latent(names, idf, model.basis @ turn[:, np.argsort(-values)[:dims]])

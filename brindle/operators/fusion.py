@@ -12,6 +12,11 @@ from brindle.functions.text import first_truthy
 RRF_K = 60
 
 
+def by_score() -> list[Column]:
+    """The order of a fused list: score, then the list and place that came first, then id."""
+    return [F.desc("fused_score"), F.asc("first_ord"), F.asc("first_rank"), F.asc("id")]
+
+
 def tagged(*lists: tuple[str, DataFrame], id: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
     """The lists as one DataFrame, tagged by retriever; one job runs them all."""
     frames = [df.select(*by, F.lit(name).alias("retriever"), F.lit(i).alias("ord"), "rank", F.col(id).cast("string").alias("id"), "score") for i, (name, df) in enumerate(lists)]
@@ -19,14 +24,15 @@ def tagged(*lists: tuple[str, DataFrame], id: str = "doc_id", by: tuple[str, ...
 
 
 def rrf(ranked: DataFrame, k: int = RRF_K, limit: int | None = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """id, fused_score, first_seen, sources: reciprocal ranks added up; ties in the order of first sight. Rows without id don't count."""
+    """id, fused_score, first_ord, first_rank, sources: reciprocal ranks added up; ties in the order of first sight. Rows without id don't count."""
     kept = ranked.where("id IS NOT NULL AND id <> ''")
     fused = kept.groupBy(*by, "id").agg(
         F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("fused_score"),
-        F.min(F.col("ord") * 1_000_000 + F.col("rank")).alias("first_seen"),
+        F.min(F.struct("ord", "rank")).alias("first"),
         F.array_join(F.array_sort(F.collect_set("retriever")), ",").alias("sources"),
     )
-    order = [F.desc("fused_score"), F.asc("first_seen"), F.asc("id")]
+    fused = fused.select(*by, "id", "fused_score", F.col("first.ord").alias("first_ord"), F.col("first.rank").alias("first_rank"), "sources")
+    order = by_score()
     if not by:
         return fused.orderBy(*order).limit(limit) if limit else fused
     placed = fused.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

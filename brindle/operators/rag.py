@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,13 +10,16 @@ from pyspark.sql import functions as F
 from brindle.session import shared_path
 
 STEPS, PER_STEP = 3, 3
+#: The reply without documents, the mark of a further search, the note that ends them, and how a source is cited.
 NOTHING = "I couldn't find any relevant documents to answer your question."
+AGAIN, ENDED = r"SEARCH:\s*(.+)", "*Max search steps reached. Best effort answer:*"
+CITED = "\nSource [%s]: %s (Lines %s-%s)\n%s"
 
 
 def context_line(number: Column, path: Column, start: Column, end: Column, text: Column) -> Column:
     """One cited source; a missing path is unknown, a missing or zero line ?."""
     line = lambda n: F.when(F.coalesce(n, F.lit(0)) == 0, "?").otherwise(n.cast("string"))
-    return F.concat(F.lit("\nSource ["), number.cast("string"), F.lit("]: "), F.coalesce(path, F.lit("unknown")), F.lit(" (Lines "), line(start), F.lit("-"), line(end), F.lit(")\n"), F.trim(text))
+    return F.when(text.isNotNull(), F.format_string(CITED, number.cast("string"), F.coalesce(path, F.lit("unknown")), line(start), line(end), F.trim(text)))
 
 
 def contexts(rows: DataFrame, query: str, order: list, limit: int = PER_STEP) -> DataFrame:
@@ -37,45 +38,7 @@ def accumulate(known: DataFrame, new: DataFrame, text: str = "text") -> DataFram
 
 def without_search(answer: Column) -> Column:
     """The answer when steps run out: its request for another search replaced by a note."""
-    return F.regexp_replace(answer, "SEARCH:.*", "*Max search steps reached. Best effort answer:*")
-
-
-def extractive(question: str, context: str) -> str:
-    """A deterministic stand-in for a model: the first line of text of the context."""
-    lines = [x for x in context.split("\n") if x.strip() and not x.startswith("Source [")]
-    return lines[0][:500] if lines else NOTHING
-
-
-@dataclass
-class Answer:
-    answer: str
-    sources: list[dict] = field(default_factory=list)
-    steps_taken: int = 0
-
-
-def ask(search: Callable[[str, int], DataFrame], question: str, generate: Callable[[str, str], str] = extractive, max_steps: int = 1, per_step: int = PER_STEP) -> Answer:
-    """Retrieve, cite, generate; where the model answers SEARCH: with another query, go on with it, up to ``max_steps``.
-
-    ``search`` gives the best rows for a query; a step brings at most ``per_step`` of them to the driver.
-    """
-    docs, seen, query, answer = [], set(), question, ""
-    for step in range(max_steps):
-        if query not in seen:
-            seen.add(query)
-            known = {d["text"] for d in docs}
-            for row in search(query, per_step).limit(per_step).collect():
-                if row["text"] not in known:
-                    known.add(row["text"])
-                    docs.append(row.asDict())
-        if not docs and step == 0:
-            return Answer(NOTHING)
-        lines = [f"\nSource [{i}]: {d.get('path') or 'unknown'} (Lines {d.get('start_line') or '?'}-{d.get('end_line') or '?'})\n{d['text'].strip()}" for i, d in enumerate(docs, 1)]
-        answer = generate(question, "\n".join(lines))
-        again = re.search(r"SEARCH:\s*(.+)", answer)
-        if not again:
-            return Answer(answer, docs, step + 1)
-        query = again[1].strip()
-    return Answer(re.sub(r"SEARCH:.*", "*Max search steps reached. Best effort answer:*", answer), docs, max_steps)
+    return F.regexp_replace(answer, "SEARCH:.*", ENDED)
 
 
 def deep_dive(search: Callable[[DataFrame, int], DataFrame], questions: DataFrame, generate: Callable[[Column, Column], Column], max_steps: int = STEPS, per_step: int = PER_STEP) -> DataFrame:
@@ -102,7 +65,7 @@ def deep_dive(search: Callable[[DataFrame, int], DataFrame], questions: DataFram
         said = open_rows.join(cited, "qid", "left")
         nothing = F.col("context").isNull()
         text = F.when(nothing, F.lit(NOTHING)).otherwise(generate(F.col("question"), F.col("context")))
-        again = F.when(nothing, "").otherwise(F.trim(F.regexp_extract("answer", r"SEARCH:\s*(.+)", 1)))
+        again = F.when(nothing, "").otherwise(F.trim(F.regexp_extract("answer", AGAIN, 1)))
         said = stored(said.withColumn("answer", text).withColumn("query", again), f"said-{step}")
         ended = F.col("query") == "" if step + 1 < max_steps else F.lit(True)
         final = said.where(ended).select("qid", without_search(F.col("answer")).alias("answer"), F.coalesce("sources", F.lit(0)).cast("long").alias("sources"), F.lit(step + 1).alias("steps"))

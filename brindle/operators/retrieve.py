@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from brindle.functions.text import TOKEN_GAP, tokens
 from brindle.operators.index import postings
@@ -16,6 +19,8 @@ from brindle.session import shared_path
 K1, B = 1.2, 0.75
 #: Query terms or entries that may be part of a filter or be broadcast.
 FEW_TERMS = 20_000
+#: Vectors in a block, where queries come in blocks.
+VECTOR_BLOCK = 16_384
 
 
 def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
@@ -23,34 +28,42 @@ def query_terms(queries: DataFrame, key: str = "qid", text: str = "text") -> Dat
     return queries.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, few: int = FEW_TERMS) -> DataFrame:
-    """(row, doc_id, dl, found): of every row its length and the query terms in it, repeats included; one scan, written.
-
-    Up to ``few`` query terms are part of the filter; of more all words are kept.
-    """
-    listed = [r.term for r in terms.select("term").distinct().limit(few + 1).collect()]
+def term_hits(docs: DataFrame, listed: list[str] | None) -> DataFrame:
+    """(row, doc_id, dl, found): of every row its length and the listed words in it (all without a list), repeats included; one scan, written."""
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    found = F.filter("words", lambda w: w.isin(listed)) if len(listed) <= few else F.col("words")
+    found = F.col("words") if listed is None else F.filter("words", lambda w: w.isin(listed))
     path = shared_path(docs.sparkSession, "bm25-hits")
     words.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("dl"), found.alias("found")).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def bm25_scores(docs: DataFrame, terms: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+def bm25_scores(docs: DataFrame, terms: DataFrame, statistics: DataFrame | None = None, few: int = FEW_TERMS) -> DataFrame:
     """(qid, doc_id, score, matched) of documents that hold a query term; terms: (qid, term, weight).
 
-    One scan keeps of every row its length and its query terms, and all counts come from what it wrote; only scores are
-    shuffled. Rows that share an id count each for itself. Statistics come from ``statistics`` (the whole corpus, where ``docs``
-    is filtered to a tenant) or from ``docs``.
+    One scan keeps of every row its length and its query terms, and all counts come from what it wrote: document frequencies and the
+    corpus' length from one aggregation, scores from one exchange of rows, which counting by term and adding up by query share. Up to ``few``
+    query terms are part of the scan and go to the tasks; more are joined. Rows that share an id count each for itself. Statistics
+    come from ``statistics`` (the whole corpus, where ``docs`` is filtered to a tenant) or from ``docs``.
     """
-    found = term_hits(docs, terms)
-    base = found if statistics is None else term_hits(statistics, terms)
-    df = base.select(F.explode(F.array_distinct("found")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    corpus = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = terms.join(df, "term").crossJoin(corpus).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("qid", "term", "weight", "idf", "avgdl")
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    counted = found.select("row", "doc_id", "dl", F.explode("found").alias("term")).groupBy("row", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    rated = counted.join(asked, "term")
+    spark, known = docs.sparkSession, terms.limit(few + 1).collect()
+    listed = sorted({r.term for r in known}) if len(known) <= few else None
+    found = term_hits(docs, listed)
+    base = found if statistics is None else term_hits(statistics, listed)
+    marked = F.explode(F.array_distinct(F.concat("found", F.array(F.lit("")))))  # no term is empty: its count is the number of rows
+    df = base.select("dl", marked.alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    idf = lambda n: F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if listed is None:
+        n, dl = df.where("term = ''").select("df", "dl").first() or (0, 0)
+        asked = terms.join(df.drop("dl"), "term").select("qid", "term", "weight", idf(n).alias("idf"))
+    else:
+        counts = {r.term: (r.df, r.dl) for r in df.collect()}
+        n, dl = counts.get("", (0, 0))
+        rows = [(r.qid, r.term, r.weight, counts[r.term][0]) for r in known if r.term in counts]
+        kind = dict(terms.dtypes)["qid"]
+        asked = F.broadcast(spark.createDataFrame(rows, f"qid {kind}, term string, weight double, df long").select("qid", "term", "weight", idf(n).alias("idf")))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(dl / max(n, 1))))
+    each = found.where(F.size("found") > 0).repartition("row").select("row", "doc_id", "dl", F.explode("found").alias("term"))
+    rated = each.groupBy("row", "doc_id", "dl", "term").agg(F.count("*").alias("tf")).join(asked, "term")
     return rated.groupBy("qid", "row", "doc_id").agg(F.round(F.sum(F.col("weight") * (F.col("idf") * norm)), 6).alias("score"), F.count("*").alias("matched")).drop("row")
 
 
@@ -66,21 +79,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, min_score: float | No
     return best if min_score is None else best.where(F.col("score") >= min_score)
 
 
-def sparse_search(vectors: DataFrame, queries: DataFrame, k: int = 20, idf: bool = False, few: int = FEW_TERMS) -> DataFrame:
+def sparse_search(vectors: DataFrame | Callable[[list[int] | None], DataFrame], queries: DataFrame, k: int = 20, idf: bool = False, few: int = FEW_TERMS) -> DataFrame:
     """Inner products of (doc_id, idx, val) with (qid, idx, val); ``idf`` weighs entries by their document frequency.
 
-    Up to ``few`` entries of queries filter the vectors, before they are counted where they come from a count.
+    Up to ``few`` entries of queries filter the vectors, before they are counted where they come from a count: ``vectors`` may be a function
+    that is given the entries which matter (None for all) and makes vectors of these alone.
     """
+    make = vectors if callable(vectors) else lambda keep: vectors if keep is None else vectors.where(F.col("idx").isin(keep))
     if idf:
-        n = vectors.select("doc_id").distinct().agg(F.count("*").alias("n"))
-        df = vectors.groupBy("idx").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(n))
+        every = make(None)
+        n = every.select("doc_id").distinct().agg(F.count("*").alias("n"))
+        df = every.groupBy("idx").agg(F.count_distinct("doc_id").alias("df")).crossJoin(F.broadcast(n))
         queries = queries.join(df, "idx").withColumn("val", F.col("val") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    asked = queries.select("qid", "idx", F.col("val").alias("q")).limit(few + 1).collect()
     entries = queries.select("qid", "idx", F.col("val").alias("q"))
+    asked = entries.limit(few + 1).collect()
     if len(asked) <= few:
-        entries = F.broadcast(_table(asked, entries))
-        vectors = vectors.where(F.col("idx").isin(sorted({r.idx for r in asked})))
-    return top_k(vectors.join(entries, "idx").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("val") * F.col("q")), 6).alias("score")), k)
+        entries, rows = F.broadcast(_table(asked, entries)), make(sorted({r.idx for r in asked}))
+    else:
+        rows = make(None)
+    return top_k(rows.join(entries, "idx").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("val") * F.col("q")), 6).alias("score")), k)
 
 
 def _table(rows: list, like: DataFrame) -> DataFrame:
@@ -88,30 +105,38 @@ def _table(rows: list, like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, like.schema)
 
 
-def product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-
-
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 20, few: int = 1024) -> DataFrame:
     """Exact cosine neighbours of query vectors (qid, q). Up to ``few`` queries go to the tasks, which is checked first, and meet the
-    vectors batch by batch; more are dealt into blocks that each meet all vectors, so no task holds more than a block of queries.
-    Vectors of length zero, of another size than the query's, or with nulls meet nothing."""
-    asked = queries.select("qid", "q").limit(few + 1).collect()
-    if asked and len(asked) <= few and len({len(r.q or ()) for r in asked}) == 1 and asked[0].q:
+    vectors batch by batch; more are dealt into blocks of about that many, each of which meets blocks of vectors by key, so no task holds
+    more than a block of either. Vectors of length zero, of another size than the query's, or with nulls meet nothing."""
+    usable = lambda c: F.exists(c, lambda x: x != 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    queries = queries.select("qid", F.col("q").cast("array<double>").alias("q"))
+    asked = queries.limit(few + 1).collect()
+    if len(asked) <= few and len({len(r.q or ()) for r in asked}) == 1 and asked[0].q:
         return top_k(_block_cosines(vectors, asked, dict(queries.dtypes)["qid"], k), k, key="vec_id")
-    count = queries.count()
-    usable = lambda c: (product(F.col(c), F.col(c)) > 0) & ~F.isnan(product(F.col(c), F.col(c)))
-    vectors, queries = vectors.where(usable("embedding")), queries.where(usable("q"))
-    vectors = vectors.select("vec_id", "embedding", product(F.col("embedding"), F.col("embedding")).alias("__v"))
-    queries = queries.select("qid", "q", product(F.col("q"), F.col("q")).alias("__q"))
-    if count <= few:
-        pairs = vectors.crossJoin(F.broadcast(queries))
-    else:
-        blocks = -(-count // few)
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        pairs = vectors.withColumn("__b", every).join(queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "__b")
-    cosine = product(F.col("embedding"), F.col("q")) / F.sqrt(F.col("__v") * F.col("__q"))
-    return top_k(pairs.select("qid", "vec_id", F.round(cosine, 5).alias("score")), k, key="vec_id")
+    left, right = queries.where(usable("q")), vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(usable("v"))
+    blocks, parts = max(1, -(-queries.count() // few)), max(1, -(-right.count() // VECTOR_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("dims", F.size("q")).withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
+    right = right.withColumn("dims", F.size("v")).withColumn("p", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")).withColumn("b", every(blocks))
+    kinds = dict(left.dtypes)["qid"], dict(right.dtypes)["vec_id"]
+
+    def meet(some: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(own):
+            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+        a, b = np.stack(some.q.to_list()), np.stack(own.v.to_list())
+        scores = (b / np.linalg.norm(b, axis=1)[:, None]) @ (a / np.linalg.norm(a, axis=1)[:, None]).T
+        row, query = np.nonzero(scores >= _least(scores, k))
+        return pd.DataFrame({"qid": some.qid.to_numpy()[query], "vec_id": own.vec_id.to_numpy()[row], "score": scores[row, query]})
+
+    keys = ["dims", "b", "p"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, f"qid {kinds[0]}, vec_id {kinds[1]}, score double")
+    return top_k(found.select("qid", "vec_id", F.round("score", 5).alias("score")), k, key="vec_id")
+
+
+def _least(scores: np.ndarray, k: int) -> np.ndarray | float:
+    """What a score of each column (vectors x queries) has to reach to be among its k best after rounding."""
+    return np.partition(scores, -k, axis=0)[-k] - 2e-5 if len(scores) > k else -np.inf
 
 
 def _block_cosines(vectors: DataFrame, asked: list, kind: str, k: int) -> DataFrame:
@@ -119,7 +144,7 @@ def _block_cosines(vectors: DataFrame, asked: list, kind: str, k: int) -> DataFr
     names, matrix = [r.qid for r in asked], np.array([[np.nan if x is None else x for x in r.q] for r in asked], np.float64)
     norms = np.linalg.norm(matrix, axis=1)
     good = np.flatnonzero((norms > 0) & np.isfinite(norms))
-    names, matrix = [names[i] for i in good], matrix[good] / norms[good, None]
+    ids, matrix = pa.array([names[i] for i in good], to_arrow_type(DataType.fromDDL(kind))), matrix[good] / norms[good, None]
     size = matrix.shape[1]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,31 +154,19 @@ def _block_cosines(vectors: DataFrame, asked: list, kind: str, k: int) -> DataFr
                 own = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
                 length = np.linalg.norm(own, axis=1)
                 usable = np.flatnonzero((length > 0) & np.isfinite(length))
-                if not len(usable) or not names:
+                if not len(usable) or not len(ids):
                     continue
                 scores = (own[usable] / length[usable, None]) @ matrix.T
-                least = np.partition(scores, -k, axis=0)[-k] - 2e-5 if len(usable) > k else np.full(len(names), -np.inf)
-                row, query = np.nonzero(scores >= least)
-                columns = [pa.array([names[i] for i in query]), part.column(0).take(pa.array(usable[row])), pa.array(scores[row, query])]
+                row, query = np.nonzero(scores >= _least(scores, k))
+                columns = [ids.take(pa.array(query)), part.column(0).take(pa.array(usable[row])), pa.array(scores[row, query])]
                 yield pa.RecordBatch.from_arrays(columns, ["qid", "vec_id", "score"])
 
     schema = f"qid {kind}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
     same = vectors.where(F.size("embedding") == size).select("vec_id", "embedding")
-    found = same.mapInArrow(_typed(meet, kind), schema)
+    found = same.mapInArrow(meet, schema)
     return found.select("qid", "vec_id", F.round("score", 5).alias("score"))
 
 
-def _typed(meet, kind: str):
-    """``meet`` with query ids of the declared type, which a list of Python numbers doesn't tell."""
-    own = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in meet(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(own), batch.column(1), batch.column(2)], batch.schema.names)
-
-    return run
-
-
 def phrase_positions(docs: DataFrame, phrase: DataFrame) -> DataFrame:
     """(doc_id, n): how often the words of ``phrase`` (place, term) follow each other; joins on the words, then on the start."""
     words = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).join(phrase, "term")

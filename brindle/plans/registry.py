@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import hash_uuid, stable_bucket, tokens
-from brindle.operators import admin, catalog, chunking, encoders, fusion, index, indexed, metrics, rag, rerank, retrieve, segments, understanding
+from brindle.operators import admin, catalog, cells, chunking, encoders, fusion, index, indexed, metrics, rag, rerank, retrieve, segments, understanding
 from brindle.session import shared_path, spread
 from brindle.sources import files
 from brindle.streaming import watch
@@ -123,6 +123,19 @@ def a6_changed_files(spark, d):
     return files.changed(now, now.join(t(spark, d, "labels"), "doc_id", "left_semi"))
 
 
+@query(f"WITH {C} SELECT path, sha256(text) AS hash FROM c UNION ALL SELECT path, sha256('new ' || text) FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def a6_changed_stream(spark, d):
+    """Two scans of all documents as a stream, those of good quality having a new text in the second: what comes is new or changed."""
+    folder, rows = shared_path(spark, "scans"), files.corpus(spark, d)
+    good = t(spark, d, "labels").where("quality = 1").select("doc_id", F.lit("new ").alias("mark"))
+    later = rows.join(good, "doc_id", "left").withColumn("text", F.concat(F.coalesce("mark", F.lit("")), "text"))
+    for n, scan in enumerate((rows, later)):
+        scan.select("path", files.content_hash(F.col("text")).alias("hash")).write.parquet(f"{folder}/in/{n}")
+        stream = watch.changed_stream(spark.readStream.schema("path string, hash string").parquet(f"{folder}/in/*"))
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, hash string").parquet(f"{folder}/out")
+
+
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')) AS text FROM pages")
 def a8_html_text(spark, d):
     return t(spark, d, "pages").select("page_id", files.strip_tags(F.col("html")).alias("text"))
@@ -168,13 +181,39 @@ def b2_module_fallback(spark, d):
     return chunking.ast_chunks(files.corpus(spark, d)).select("path", "chunk_type", "start_line", "end_line", "content")
 
 
-@query()
+#: A file in each language, N being its name: braces and ends in notes and texts, and the blocks (node type, kind, name, first and last line).
+CODE = {
+    "python": ("class N:\n    def name(self):\n        return '}'\n\ndef makeN():\n    return N()\n", [("class_definition", "class", "N", 1, 3), ("function_definition", "method", "N.name", 2, 3), ("function_definition", "function", "makeN", 5, 6)]),
+    "javascript": ("class N {\n  name() { return '}'; }\n}\nconst makeN = () => new N();\n", [("class_declaration", "class", "N", 1, 3), ("method_definition", "method", "N.name", 2, 2), ("arrow_function", "function", "makeN", 4, 4)]),
+    "typescript": ("export class N {\n  private name(a: string): string {\n    return `}`;\n  }\n}\n", [("class_declaration", "class", "N", 1, 5), ("method_definition", "method", "N.name", 2, 4)]),
+    "tsx": ("export function N(p: P) {\n  return <div>{p.a}</div>; // }\n}\n", [("function_declaration", "function", "N", 1, 3)]),
+    "go": ("type N struct {\n\tX int // }\n}\n\nfunc (n N) Name() string {\n\treturn \"}\"\n}\n\nfunc makeN() {}\n", [("type_declaration", "class", "N", 1, 3), ("method_declaration", "method", "N.Name", 5, 7), ("function_declaration", "function", "makeN", 9, 9)]),
+    "rust": ("pub struct N;\nimpl N {\n    fn name(&self) -> char {\n        '}'\n    }\n}\n", [("struct_item", "class", "N", 1, 1), ("impl_item", "class", "N", 2, 6), ("function_item", "method", "N.name", 3, 5)]),
+    "java": ("class N {\n    String name() {\n        return \"}\"; // }\n    }\n}\n", [("class_declaration", "class", "N", 1, 5), ("method_declaration", "method", "N.name", 2, 4)]),
+    "c": ("struct N { int x; };\nint makeN(int a)\n{\n    return '}';\n}\n", [("struct_specifier", "class", "N", 1, 1), ("function_definition", "function", "makeN", 2, 5)]),
+    "cpp": ("class N {\n public:\n  int name() { return '}'; }\n};\n", [("class_specifier", "class", "N", 1, 4), ("function_definition", "method", "N.name", 3, 3)]),
+    "ruby": ("class N\n  def name # end\n    \"end\" if true\n  end\nend\n", [("class", "class", "N", 1, 5), ("method", "method", "N.name", 2, 4)]),
+    "php": ("<?php\nclass N {\n    public function name() { return \"}\"; }\n}\nfunction makeN() {} # }\n", [("class_declaration", "class", "N", 2, 4), ("method_declaration", "method", "N.name", 3, 3), ("function_definition", "function", "makeN", 5, 5)]),
+}
+
+
+def _code_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    texts = ", ".join(f"({i}, {quoted(language)}, {quoted(text)})" for i, (language, (text, _)) in enumerate(CODE.items()))
+    found = ", ".join(f"({i}, {n}, {quoted(node)}, {quoted(kind)}, {quoted(name)}, {first}, {last})" for i, (_, blocks) in enumerate(CODE.values()) for n, (node, kind, name, first, last) in enumerate(blocks))
+    return f"""WITH c(i, language, text) AS (VALUES {texts}), b(i, n, node_type, chunk_type, symbols, start_line, end_line) AS (VALUES {found}),
+f AS (SELECT 'Part' || p_partkey AS name, c.* FROM part JOIN c ON p_partkey % {len(CODE)} = i)
+SELECT name AS path, language, CAST(n AS INTEGER) AS chunk_index, array_to_string(string_split(replace(text, 'N', name), chr(10))[start_line:end_line], chr(10)) AS content, chunk_type,
+replace(symbols, 'N', name) AS symbols, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, node_type FROM f JOIN b USING (i)"""
+
+
+@query(_code_sql())
 def b1_ast_chunks(spark, d):
-    """Each part as a Python file: a class with two methods, and a function."""
-    part = t(spark, d, "part")
+    """Each part as a file in one of eleven languages."""
     name = F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
-    code = F.concat(F.lit("class "), name, F.lit(":\n    def name(self):\n        return '"), F.col("p_name"), F.lit("'\n\n    def price(self):\n        return "), F.col("p_retailprice").cast("string"), F.lit("\n\n\ndef make():\n    return "), name, F.lit("()\n"))
-    return chunking.ast_chunks(part.select(F.concat(name, F.lit(".py")).alias("path"), F.lit("python").alias("language"), code.alias("text")))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod("p_partkey", F.lit(len(CODE))) + 1).cast("int"))
+    files_ = t(spark, d, "part").select(name.alias("path"), pick(CODE).alias("language"), F.replace(pick([text for text, _ in CODE.values()]), F.lit("N"), name).alias("text"))
+    return chunking.ast_chunks(files_).withColumn("symbols", F.array_join("symbols", ","))
 
 
 @query()
@@ -222,6 +261,14 @@ kw AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[ \t
 kv AS (SELECT doc_id, term, {BUCKET} AS idx, CAST(count(*) AS DOUBLE) AS val FROM kw WHERE length(term) > 2 GROUP BY doc_id, term)"""
 
 
+@query()
+def c1_latent_embed(spark, d):
+    """Vectors from the corpus itself: latent semantic directions of all documents."""
+    docs = t(spark, d, "documents")
+    model = encoders.latent(docs)
+    return docs.select("doc_id", encoders.dense(F.col("text"), lambda: model).alias("embedding"))
+
+
 @query()
 def c1_dense_embed(spark, d):
     return files.corpus(spark, d).select("doc_id", encoders.dense(F.col("text")).alias("dense"))
@@ -505,7 +552,8 @@ QKW = KEYWORDS.replace("kw AS", "qkw AS").replace("kv AS", "qkv AS").replace("FR
 
 @query(f"WITH {ITEMS}, {KEYWORDS}, {QKW}, s AS (SELECT b.qid, a.doc_id, round(sum(a.val * b.val), 6) AS score FROM kv a JOIN qkv b ON a.idx = b.idx GROUP BY 1, 2), {ranked('s', 20)} SELECT * FROM r")
 def f5_sparse_dot(spark, d):
-    return retrieve.sparse_search(encoders.keyword_vector(t(spark, d, "documents")), _keyword_queries(spark, d))
+    docs = t(spark, d, "documents")
+    return retrieve.sparse_search(lambda keep: encoders.keyword_vector(docs, keep=keep), _keyword_queries(spark, d))
 
 
 @query(f"""WITH qv AS (SELECT label AS qid, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY 1),
@@ -517,24 +565,36 @@ def f6_dense_knn(spark, d):
     return retrieve.dense_search(vectors, queries)
 
 
+@query()
+def f6_cell_knn(spark, d):
+    """The same search by cells of a stored quantiser, of which half are probed: the vectors of these tables have no clusters."""
+    vectors, path = t(spark, d, "embeddings").select("vec_id", "embedding", "label"), shared_path(spark, "cells")
+    queries = vectors.groupBy(F.col("label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("q"))
+    cells.build(vectors.select("vec_id", "embedding"), path)
+    number = spark.read.parquet(f"{path}/centres").count()
+    return cells.search(spark, path, queries, probes=max(1, number // 2))
+
+
 TW = f"tw AS (SELECT doc_id, {BUCKET} AS idx, sqrt(count(*)) AS val FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY 1, 2), qw AS (SELECT qid, {BUCKET} AS idx, sqrt(count(*)) AS val FROM (SELECT qid, unnest({TOK}) AS term FROM q) GROUP BY 1, 2), b AS (SELECT y.qid, x.doc_id, round(sum(x.val * y.val), 6) AS score FROM tw x JOIN qw y USING (idx) GROUP BY 1, 2)"
 
 
 @query(f"WITH {ITEMS}, {TW}, {ranked('b', 20)} SELECT * FROM r")
 def f7_bm42_sparse(spark, d):
-    return retrieve.sparse_search(encoders.term_weights(t(spark, d, "documents")), encoders.term_weights(items(spark, d), key="qid"))
+    docs = t(spark, d, "documents")
+    return retrieve.sparse_search(lambda keep: encoders.term_weights(docs, keep=keep), encoders.term_weights(items(spark, d), key="qid"))
 
 
 @query(f"""WITH {FIRST}, {TW}, {ranked('b', 20, 'rb')},
 qv AS (SELECT 0 AS qid, arg_min(embedding, vec_id) AS q FROM embeddings),
 s AS (SELECT qid, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, qv), {ranked('s', 20, 'rd', 'vec_id')},
 u AS (SELECT 0 AS ord, 'dense' AS retriever, rank, CAST(vec_id AS VARCHAR) AS id FROM rd UNION ALL SELECT 1, 'bm42', rank, CAST(doc_id AS VARCHAR) FROM rb)
-SELECT id, round(sum(1e0 / (1 + rank)), 6) AS fused_score, CAST(min(ord * 1000000 + rank) AS BIGINT) AS first_seen, array_to_string(list_sort(list_distinct(list(retriever))), ',') AS sources FROM u GROUP BY id ORDER BY fused_score DESC, first_seen LIMIT 20""")
+SELECT id, fused_score, fs.o AS first_ord, fs.r AS first_rank, sources FROM (SELECT id, round(sum(1e0 / (1 + rank)), 6) AS fused_score, min(struct_pack(o := ord, r := rank)) AS fs, array_to_string(list_sort(list_distinct(list(retriever))), ',') AS sources FROM u GROUP BY id) ORDER BY fused_score DESC, fs, id LIMIT 20""")
 def f8_hybrid_rrf2(spark, d):
     """Dense and weighted-term lists of one query, fused with constant 2 over places from 0."""
     vectors = t(spark, d, "embeddings")
     dense = retrieve.dense_search(vectors, vectors.agg(F.min_by("embedding", "vec_id").alias("q")).withColumn("qid", F.lit(0)))
-    sparse = retrieve.sparse_search(encoders.term_weights(t(spark, d, "documents")), encoders.term_weights(first_item(spark, d), key="qid"))
+    docs = t(spark, d, "documents")
+    sparse = retrieve.sparse_search(lambda keep: encoders.term_weights(docs, keep=keep), encoders.term_weights(first_item(spark, d), key="qid"))
     both = fusion.tagged(("dense", dense.withColumnRenamed("vec_id", "doc_id")), ("bm42", sparse))
     return fusion.rrf(both, k=1, limit=20)
 
@@ -551,19 +611,19 @@ def three_lists(spark, d) -> DataFrame:
     """BM25, keyword and weighted-term lists of twice ten documents for every item, tagged; the third is without dense search."""
     docs = t(spark, d, "documents")
     lexical = retrieve.bm25(docs, items(spark, d), k=20)
-    keyword = retrieve.sparse_search(encoders.keyword_vector(docs), _keyword_queries(spark, d), k=20)
-    weights = retrieve.sparse_search(encoders.term_weights(docs), encoders.term_weights(items(spark, d), key="qid"), k=20)
+    keyword = retrieve.sparse_search(lambda keep: encoders.keyword_vector(docs, keep=keep), _keyword_queries(spark, d), k=20)
+    weights = retrieve.sparse_search(lambda keep: encoders.term_weights(docs, keep=keep), encoders.term_weights(items(spark, d), key="qid"), k=20)
     return fusion.tagged(("bm25", lexical), ("splade", keyword), ("bm42", weights), by=("qid",))
 
 
 LISTS = f"""{ITEMS}, {TERMS}, {bm25_ctes()}, {ranked('s', 20, 'r0')}, {KEYWORDS}, {QKW},
 sk AS (SELECT b.qid, a.doc_id, round(sum(a.val * b.val), 6) AS score FROM kv a JOIN qkv b ON a.idx = b.idx GROUP BY 1, 2), {ranked('sk', 20, 'r1')}, {TW}, {ranked('b', 20, 'r2')},
 u AS (SELECT qid, 'bm25' AS retriever, 0 AS ord, rank, CAST(doc_id AS VARCHAR) AS id, score FROM r0 UNION ALL SELECT qid, 'splade', 1, rank, CAST(doc_id AS VARCHAR), score FROM r1 UNION ALL SELECT qid, 'bm42', 2, rank, CAST(doc_id AS VARCHAR), score FROM r2)"""
-FUSED = """f AS (SELECT qid, id, round(sum(1e0 / (60 + rank)), 6) AS fused_score, CAST(min(ord * 1000000 + rank) AS BIGINT) AS first_seen, array_to_string(list_sort(list_distinct(list(retriever))), ',') AS sources FROM u GROUP BY 1, 2),
-fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, first_seen, id) AS place FROM f)"""
+FUSED = """f AS (SELECT qid, id, round(sum(1e0 / (60 + rank)), 6) AS fused_score, min(struct_pack(o := ord, r := rank)) AS fs, array_to_string(list_sort(list_distinct(list(retriever))), ',') AS sources FROM u GROUP BY 1, 2),
+fr AS (SELECT *, fs.o AS first_ord, fs.r AS first_rank, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, fs, id) AS place FROM f)"""
 
 
-@query(f"WITH {LISTS}, {FUSED}, h AS (SELECT fr.*, source || '/' || lang AS folder FROM fr JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE place <= 10), p AS (SELECT *, row_number() OVER (PARTITION BY qid, folder ORDER BY fused_score DESC, first_seen, id) AS n FROM h) SELECT qid, id, fused_score, first_seen, sources, folder FROM p WHERE n = 1")
+@query(f"WITH {LISTS}, {FUSED}, h AS (SELECT fr.*, source || '/' || lang AS folder FROM fr JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE place <= 10), p AS (SELECT *, row_number() OVER (PARTITION BY qid, folder ORDER BY fused_score DESC, first_ord, first_rank, id) AS n FROM h) SELECT qid, id, fused_score, first_ord, first_rank, sources, folder FROM p WHERE n = 1")
 def f10_multi_retrieve(spark, d):
     """Three retrievers without dense search, fusion to ten, details, and the best of each file (source and language here)."""
     return best_of_files(spark, d, fusion.rrf(three_lists(spark, d), limit=10, by=("qid",)))
@@ -572,8 +632,8 @@ def f10_multi_retrieve(spark, d):
 def best_of_files(spark, d, fused: DataFrame) -> DataFrame:
     folder = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("/", "source", "lang").alias("folder"))
     keyed = fused.join(folder, "id").withColumn("file", F.concat_ws("|", F.col("qid").cast("string"), "folder"))
-    best = fusion.per_file(keyed, ["file"], [F.desc("fused_score"), F.asc("first_seen"), F.asc("id")])
-    return best.select("qid", "id", "fused_score", "first_seen", "sources", "folder")
+    best = fusion.per_file(keyed, ["file"], fusion.by_score())
+    return best.select("qid", "id", "fused_score", "first_ord", "first_rank", "sources", "folder")
 
 
 def lists_with_dense(spark, d) -> DataFrame:
@@ -585,7 +645,7 @@ def lists_with_dense(spark, d) -> DataFrame:
     dense = retrieve.dense_search(vectors, asked, k=20).select("qid", F.lit("dense").alias("retriever"), F.lit(0).alias("ord"), "rank", F.col("vec_id").cast("string").alias("id"), "score")
     both = dense.unionByName(lists.where("retriever = 'bm42'").withColumn("ord", F.lit(1)))
     hybrid = fusion.rrf(both, k=1, limit=20, by=("qid",))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("fused_score"), "first_seen", "id")).cast("long")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(*fusion.by_score())).cast("long")
     third = hybrid.select("qid", F.lit("bm42").alias("retriever"), F.lit(2).alias("ord"), place.alias("rank"), "id", F.col("fused_score").alias("score"))
     return lists.where("retriever <> 'bm42'").unionByName(third)
 
@@ -605,7 +665,7 @@ def g1_rrf_fusion_dense(spark, d):
     return fusion.rrf(lists_with_dense(spark, d), limit=10, by=("qid",))
 
 
-@query(f"WITH {LISTS}, {FUSED} SELECT qid, id, fused_score, first_seen, sources FROM fr WHERE place <= 10")
+@query(f"WITH {LISTS}, {FUSED} SELECT qid, id, fused_score, first_ord, first_rank, sources FROM fr WHERE place <= 10")
 def g1_rrf_fusion(spark, d):
     return fusion.rrf(three_lists(spark, d), limit=10, by=("qid",))
 
@@ -616,7 +676,7 @@ n AS (SELECT *, (score - min(score) OVER (PARTITION BY retriever)) / CASE WHEN m
 SELECT id, round(sum(CASE retriever WHEN 'bm25' THEN 0.7e0 ELSE 0.3e0 END * norm), 6) AS fused_score FROM n GROUP BY id""")
 def g2_weighted_fusion(spark, d):
     docs = t(spark, d, "documents")
-    lists = fusion.tagged(("bm25", retrieve.bm25(docs, first_item(spark, d))), ("bm42", retrieve.sparse_search(encoders.term_weights(docs), encoders.term_weights(first_item(spark, d), key="qid"))))
+    lists = fusion.tagged(("bm25", retrieve.bm25(docs, first_item(spark, d))), ("bm42", retrieve.sparse_search(lambda keep: encoders.term_weights(docs, keep=keep), encoders.term_weights(first_item(spark, d), key="qid"))))
     return fusion.weighted(lists, {"bm25": 0.7, "bm42": 0.3})
 
 
@@ -627,7 +687,7 @@ SELECT qid, id, round(sum(CASE retriever WHEN 'bm25' THEN 0.7e0 ELSE 0.3e0 END *
 def g2_weighted_fusion_batch(spark, d):
     """Weighted fusion for all items in one job."""
     docs, asked = t(spark, d, "documents"), items(spark, d)
-    lists = fusion.tagged(("bm25", retrieve.bm25(docs, asked)), ("bm42", retrieve.sparse_search(encoders.term_weights(docs), encoders.term_weights(asked, key="qid"))), by=("qid",))
+    lists = fusion.tagged(("bm25", retrieve.bm25(docs, asked)), ("bm42", retrieve.sparse_search(lambda keep: encoders.term_weights(docs, keep=keep), encoders.term_weights(asked, key="qid"))), by=("qid",))
     return fusion.weighted(lists, {"bm25": 0.7, "bm42": 0.3}, by=("qid",))
 
 
@@ -646,7 +706,7 @@ def g4_dedupe_path(spark, d):
     return fusion.per_file(rows, ["full_path", "file_path"], [F.desc("score"), F.asc("page_id")])
 
 
-@query(f"WITH {LISTS}, {FUSED}, h AS (SELECT fr.*, source || '/' || lang AS folder FROM fr JOIN documents ON CAST(doc_id AS VARCHAR) = id), p AS (SELECT *, row_number() OVER (PARTITION BY qid, folder ORDER BY fused_score DESC, first_seen, id) AS n FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, first_seen, id) AS m FROM p WHERE n = 1) SELECT qid, id, fused_score, folder FROM k WHERE m <= 10")
+@query(f"WITH {LISTS}, {FUSED}, h AS (SELECT fr.*, source || '/' || lang AS folder FROM fr JOIN documents ON CAST(doc_id AS VARCHAR) = id), p AS (SELECT *, row_number() OVER (PARTITION BY qid, folder ORDER BY fused_score DESC, first_ord, first_rank, id) AS n FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, first_ord, first_rank, id) AS m FROM p WHERE n = 1) SELECT qid, id, fused_score, folder FROM k WHERE m <= 10")
 def g6_fill_after_dedupe(spark, d):
     """Files first, then the limit."""
     return filled(spark, d, fusion.rrf(three_lists(spark, d), limit=None, by=("qid",)))
@@ -660,7 +720,7 @@ def g6_fill_after_dedupe_dense(spark, d):
 
 def filled(spark, d, fused: DataFrame) -> DataFrame:
     folder = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("/", "source", "lang").alias("folder"))
-    order = [F.desc("fused_score"), F.asc("first_seen"), F.asc("id")]
+    order = fusion.by_score()
     keyed = fused.join(folder, "id").withColumn("file", F.concat_ws("|", F.col("qid").cast("string"), "folder"))
     return metrics.last_n(fusion.per_file(keyed, ["file"], order), "qid", order, 10).select("qid", "id", "fused_score", "folder")
 
@@ -736,15 +796,19 @@ def i3_path_hints(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", understanding.path_hints(F.col("text")).alias("paths"))
 
 
-@query(f"SELECT item_id, list_concat(regexp_extract_all(text, '{understanding.MIXED_SYMBOL}', 1), regexp_extract_all(text, '{understanding.CAPITAL_SYMBOL}', 1)) AS symbols FROM (SELECT item_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM benchmark)")
+def _whole_words(pattern: str) -> str:
+    return f"list_filter(string_split_regex(text, '{understanding.WORD_GAP}'), lambda w: regexp_full_match(w, '{pattern}'))"
+
+
+@query(f"SELECT item_id, list_concat({_whole_words(understanding.MIXED_SYMBOL)}, {_whole_words(understanding.CAPITAL_SYMBOL)}) AS symbols FROM benchmark")
 def i4_symbol_hints(spark, d):
-    ascii_text = F.regexp_replace("text", "[^ -~]", " ")
-    return t(spark, d, "benchmark").select("item_id", understanding.symbol_hints(ascii_text).alias("symbols"))
+    return t(spark, d, "benchmark").select("item_id", understanding.symbol_hints(F.col("text")).alias("symbols"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, nullif(hints, '') AS languages, nullif(array_to_string(paths, ','), '') AS path_patterns FROM ({_hints_sql()}) JOIN ({SQL['i3_path_hints']}) USING (conv_id, turn)")
 def i5_filters(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", understanding.filters(F.col("text")).alias("filters"))
+    found = t(spark, d, "conversations").select("conv_id", "turn", understanding.filters(F.col("text")).alias("f"))
+    return found.select("conv_id", "turn", F.array_join(F.col("f")["language"], ",").alias("languages"), F.array_join(F.col("f")["path_pattern"], ",").alias("path_patterns"))
 
 
 _ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in understanding.ALIASES.items())
@@ -905,6 +969,16 @@ def m1_flatten(spark, d):
     return t(spark, d, "events").select("event_id", flat).select("event_id", F.concat(F.lit("props."), "k").alias("key"), "value")
 
 
+NESTED = """concat('{"k": ', user_id % 7, ', "who": {"id": ', user_id, ', "kind": "', event_type, '", "seen": [', event_id % 5, ', {"at": [true, null, "', event_type, '"]}], "none": {}}, "own": ', props, '}')"""
+
+
+@query(f"SELECT event_id, replace(fullkey, '$', 'config') AS key, CASE WHEN json_type(value) = 'NULL' THEN NULL ELSE value ->> '$' END AS value FROM (SELECT event_id, {NESTED} AS j FROM events) e, json_tree(CAST(e.j AS JSON)) WHERE NOT (type IN ('OBJECT', 'ARRAY') AND CAST(value AS VARCHAR) NOT IN ('{{}}', '[]'))")
+def m1_flatten_nested(spark, d):
+    """Nested objects and lists of any depth."""
+    events = t(spark, d, "events").select("event_id", F.expr(NESTED).alias("j"))
+    return admin.flattened(events, ["event_id"], "j", "config")
+
+
 @query("SELECT n_name AS key, coalesce(CAST(s.n AS VARCHAR), '0') AS value, s.n IS NOT NULL AS overridden FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 9000 GROUP BY 1) s ON n_nationkey = s_nationkey")
 def m6_effective_config(spark, d):
     """Zero by default, overridden where suppliers are rich."""
