@@ -9,8 +9,9 @@ How it runs. Documents are packed into slices of a few megabytes, which are writ
 unigrams and bigrams as sorted 64-bit hashes and sends them, cut by hash range, to the buckets; a bucket adds the counts
 of all slices up and answers each slice in the order of its request, so answers are plain counts. Slices and answers
 meet again, and each slice scores its documents. Beyond FAN slices they first meet in parts of about FAN: a part adds its
-slices' requests up by wide hash ranges, asks the buckets in their stead and hands the answers on. So a hot word or bigram is
-one entry per slice of a part, then one per part, and a slice sends a bounded number of blobs, however large the corpus is.
+slices' requests up by wide hash ranges, asks in their stead and hands the answers on; beyond FAN parts, parts meet in parts of parts,
+and so on. So a hot word or bigram is one entry per slice of a part, then one per part, a slice sends a bounded number of blobs, and
+a blob has about BUCKET / FAN bytes at every level, however large the corpus is.
 No count table, and no dictionary, is ever held in one place; what is exchanged grows with the corpus.
 
 Defined cases: a null or empty text is its end token alone; the context of a first word is the end token; repeated rows
@@ -234,16 +235,29 @@ def slice_answers(asked: DataFrame, back: DataFrame, wide: int, bits: int) -> Da
     return handed.unionByName(back.where("slice = -1"), allowMissingColumns=True)
 
 
+def levels(total: int, count: int) -> list[int]:
+    """How finely hash ranges are cut, in bits, at each level from slices up; ``count`` slices of ``total`` bytes. FAN units of a level meet in
+    ranges that hold about BUCKET bytes of theirs, so a blob has about BUCKET / FAN bytes at every level and size."""
+    bits, out, span = (total // BUCKET).bit_length(), [], FAN
+    while count > FAN:
+        out.append(min(bits, (span * SLICE // BUCKET).bit_length()))
+        count, span = -(-count // FAN), span * FAN
+    return [*out, bits]
+
+
 def exchanged(packed: DataFrame) -> DataFrame:
-    """The answers to all slices, written: in one step up to FAN slices, by way of parts beyond."""
+    """The answers to all slices, written: in one step up to FAN slices, by way of parts, and of parts of parts, beyond."""
     total, count = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    bits = (total // BUCKET).bit_length()
-    if count <= FAN:
-        return written(answers(requests(packed, bits)), "lm-answers")
-    wide, parts = min(bits, (FAN * SLICE // BUCKET).bit_length()), -(-count // FAN)
-    asked = written(requests(packed, wide).withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts))), "lm-requests")
-    back = written(answers(part_requests(asked, wide, bits)), "lm-part-answers")
-    return written(slice_answers(asked, back, wide, bits), "lm-answers")
+    cuts, asked = levels(total, count), []
+    rows = requests(packed, cuts[0])
+    for lower, upper in zip(cuts, cuts[1:], strict=False):
+        count = -(-count // FAN)
+        asked.append(written(rows.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(count))), "lm-requests"))
+        rows = part_requests(asked[-1], lower, upper)
+    back = written(answers(rows), "lm-answers")
+    for i in reversed(range(len(asked))):
+        back = written(slice_answers(asked[i], back, cuts[i], cuts[i + 1]), "lm-answers")
+    return back
 
 
 def context_bucket(counts: np.ndarray) -> np.ndarray:

@@ -15,9 +15,9 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["\n"]
 
 
-@pytest.mark.parametrize("fan", [512, 3])
+@pytest.mark.parametrize("fan", [512, 3, 2])
 def test_scores_follow_the_interpolated_counts(awkward, plain, monkeypatch, fan):
-    """In one step, and by way of parts of a few slices."""
+    """In one step, by way of parts of a few slices, and by way of parts of parts."""
     monkeypatch.setattr(ngram_lm, "FAN", fan)
     weights = np.tile([0.5, 0.3, 0.2], (ngram_lm.CONTEXTS, 1))
     weights[0] = 0, 0.6, 0.4
@@ -56,6 +56,51 @@ def test_parts_learn_the_same_weights(awkward, monkeypatch):
     assert np.allclose(*learned, atol=1e-9) and not np.allclose(learned[0], 1 / 3)
 
 
+def test_levels_keep_blobs_whole_whatever_the_corpus():
+    """A blob has about the same bytes at all levels of all sizes, and a slice or a range of a part sends a bounded number."""
+    for size in (10**8, 10**10, 10**12, 10**14):
+        cuts = ngram_lm.levels(size, -(-size // ngram_lm.SLICE))
+        units = -(-size // ngram_lm.SLICE)
+        assert cuts == sorted(cuts) and len(cuts) <= 4
+        for lower, upper in zip([0, *cuts], cuts, strict=False):
+            assert 2 ** (upper - lower) <= 2048  # what one task cuts its unit, or its range of a unit, into
+            assert size / (units * 2**upper) >= 4096 or upper == cuts[-1]
+            units = -(-units // ngram_lm.FAN)
+        assert size / 2 ** cuts[-1] <= ngram_lm.BUCKET
+
+
+def test_weights_are_those_of_a_plain_expectation_maximisation(awkward, plain, monkeypatch):
+    learned, plain_learn = [], ngram_lm.learn_weights
+    monkeypatch.setattr(ngram_lm, "learn_weights", lambda *a: learned.append(plain_learn(*a)) or learned[-1])
+    ngram_lm.corpus_scores(awkward).count()
+    part = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    one, two, held = Counter(), Counter(), []
+    for i, t, *_ in plain:
+        w = words(t)
+        if part(i) == 3:
+            held += zip(["\n", *w], w, strict=False)
+        elif part(i) != 2:
+            one.update(w)
+            two.update(zip(["\n", *w], w, strict=False))
+    n, types = sum(one.values()), len(one)
+    events: dict[int, list[tuple]] = {}
+    for a, b in held:
+        context = 0 if not one[a] else min(15, 1 + int(math.log2(one[a])))
+        events.setdefault(context, []).append((two[a, b] / max(1, one[a]), one[b] / n, 1 / (types + 1)))
+    assert held and len(events) > 2
+    for context, each in events.items():
+        w = [0, 0.5, 0.5] if context == 0 else [1 / 3] * 3
+        for _ in range(60):
+            sums = [0.0, 0.0, 0.0]
+            for p in each:
+                total = sum(x * y for x, y in zip(w, p, strict=True))
+                sums = [s + x * y / total for s, x, y in zip(sums, w, p, strict=True)]
+            w = [s / len(each) for s in sums]
+            w[2] = max(w[2], 1e-6)
+        w = [x / sum(w) for x in w]
+        assert np.allclose(learned[0][context], w, atol=0.02), (context, learned[0][context], w)
+
+
 def test_learned_weights_beat_the_base_on_held_out_texts(awkward, empty):
     rows = ngram_lm.corpus_scores(awkward).where("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
