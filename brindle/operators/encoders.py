@@ -46,11 +46,9 @@ def dense(text: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndar
 
 
 def _words(docs: DataFrame, key: str, words: Column, buckets: int, keep: list[int] | None) -> DataFrame:
-    """(key, term) of every word; with ``keep`` only words of these entries leave their row, and rows go to where all that follows by key is done."""
-    rows = docs.select(key, (words if keep is None else F.filter(words, lambda w: stable_bucket(w, buckets).isin(keep))).alias("words"))
-    if keep is not None:
-        rows = rows.where(F.size("words") > 0).repartition(key)
-    return rows.select(key, F.explode("words").alias("term"))
+    """(key, term) of every word; with ``keep`` words of other entries go where they stand, and the rest to where all that follows by key is done."""
+    rows = docs.select(key, F.explode(words).alias("term"))
+    return rows if keep is None else rows.where(stable_bucket(F.col("term"), buckets).isin(keep)).repartition(key)
 
 
 def keyword_vector(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, keep: list[int] | None = None) -> DataFrame:

@@ -262,6 +262,37 @@ def test_ingest_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run([("a", 3), ("a", 2)]) == [("a", 3), ("b", 1)] and seen == [0, 1]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=120), st.integers(3, 20), st.integers(0, 9))
+def test_splitter_with_overlap_equals_a_search_for_every_cut(text, size, overlap):
+    """Chunks are the longest runs of pieces that fit; the next begins at the first piece from which at most the overlap is repeated and the next piece fits."""
+    overlap = min(overlap, size - 1)
+
+    def merged(parts):
+        out, start, total = [], 0, lambda a, b: sum(map(len, parts[a:b]))
+        while start < len(parts):
+            end = max(e for e in range(start + 1, len(parts) + 1) if e == start + 1 or total(start, e) <= size)
+            out.append("".join(parts[start:end]).strip())
+            if end == len(parts):
+                break
+            start = min(s for s in range(start, end + 1) if s == end or (total(s, end) <= overlap and total(s, end) + len(parts[end]) <= size))
+        return [c for c in out if c]
+
+    def chunks(text, separators):
+        separator = next(s for s in separators if not s or s in text)
+        finer = separators[separators.index(separator) + 1 :]
+        first, *rest = text.split(separator) if separator else ("", *text)
+        parts, out, short = [p for p in [first, *(separator + r for r in rest)] if p], [], []
+        for part in parts:
+            if len(part) <= size:
+                short.append(part)
+            else:
+                out, short = out + merged(short) + (chunks(part, finer) if finer else [part]), []
+        return out + merged(short)
+
+    assert chunking.split_text(text, size, overlap) == chunks(text, chunking.SEPARATORS)
+
+
 def test_deep_dive_answers_like_the_loop_over_one_question(spark):
     corpus = docs(spark, a="amber one", b="amber two", c="cloud three", d="window four", e="cloud cloud five").withColumn("path", F.concat(F.lit("p/"), "doc_id"))
     lines = {"start_line": F.lit(None).cast("int"), "end_line": F.lit(None).cast("int")}
