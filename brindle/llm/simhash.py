@@ -227,11 +227,11 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
     first = _shared(nodes.select("node", F.col("node").alias("root"), "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
     crowded = first.where(F.col("n") > crowd)
 
-    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
-        """(node, text) of the wanted nodes; written."""
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of the wanted nodes."""
         asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("a"), F.col("first.text_hash").alias("b"))
         rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-        return written(rows.join(asked, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b"))).groupBy("node").agg(F.first("text").alias("text")), name)
+        return rows.join(asked, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b"))).groupBy("node").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -244,7 +244,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
 
     def verified(pairs: DataFrame) -> DataFrame:
         candidates = written(pairs.distinct(), "simhash-candidates")
-        texts = texts_of(candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct(), "simhash-texts")
+        texts = written(texts_of(candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()), "simhash-texts")
         # the hub first, while rows are small
         met = candidates.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return written(met.where(alike("a", "b") >= similarity).select("u", "v"), "simhash-links")
@@ -261,7 +261,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
     apart = _shared(rooted(crowded), "simhash-apart")
     found = written(found.unionByName(verified(_to_hubs(_of_largest(apart).where("root <> main"), hubs, agree))), "simhash-found")
     apart = written(_shared(rooted(apart), "simhash-apart").select("node", "root").distinct(), "simhash-apart-nodes")
-    sets = texts_of(apart.select("node"), "simhash-apart-texts").select("node", hash_set("text").alias("hashes"))
+    # written, not the texts: exploding a function's column calls it again for the filter on empty arrays, in a second worker of each task
+    sets = written(texts_of(apart.select("node")).select("node", hash_set("text").alias("hashes")), "simhash-apart-sets")
     return found.unionByName(verified(_prefix_pairs(apart.join(sets, "node"), similarity)))
 
 

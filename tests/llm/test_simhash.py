@@ -133,6 +133,20 @@ def test_crowded_minima_keep_all_components(spark):
     assert got == expected
 
 
+def test_shingle_sets_of_crowded_texts_are_hashed_once(spark, monkeypatch):
+    """A second call of the function in a task is a second Python worker in the executor, which stays for what follows."""
+    plans, write = {}, simhash.written
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", watched)
+    simhash.near_duplicates(spark.createDataFrame(crowds(), "doc_id long, text string").repartition(4), shingle=5, similarity=0.8)
+    assert "simhash-prefixes" in plans
+    assert {name: n for name, plan in plans.items() if (n := plan.count("ArrowEvalPython [hash_set("))} == {"simhash-apart-sets": 1}
+
+
 @pytest.mark.parametrize("group", [160, 1000, 5000])
 def test_large_groups_of_near_copies_keep_all_components(spark, group):
     """Copies of one original that differ from it by a little to a lot, so that links join some of them only."""
