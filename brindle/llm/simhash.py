@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LOWER, UPPER, written
+from brindle.llm.common import LOWER, UPPER, lean, written
 from brindle.llm.components import connected_components
 
 BITS, BLOCKS, DISTANCE = 64, 4, 2
@@ -234,10 +234,13 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
         return rows.join(asked, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b"))).groupBy("node").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
+    @lean
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     @F.pandas_udf("array<bigint>")
+    @lean
     def hash_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from brindle.llm import simhash
+from brindle.llm.common import lean
 from brindle.llm.components import connected_components
 
 
@@ -147,6 +148,25 @@ def test_shingle_sets_of_crowded_texts_are_hashed_once(spark, monkeypatch):
     assert {name: n for name, plan in plans.items() if (n := plan.count("ArrowEvalPython [hash_set("))} == {"simhash-apart-sets": 1}
 
 
+def test_workers_hand_freed_memory_back():
+    """Also where something small that stays lies above what was freed."""
+    kept = []
+
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return next(int(line.split()[1]) for line in file if line.startswith("Pss_Anon")) / 1024
+
+    def task(batches):
+        for n in batches:
+            rows = [bytes(1000) for _ in range(n)]
+            kept.append(bytes(1000))
+            yield len(rows)
+
+    start = held()
+    assert list(task(iter([100_000]))) == [100_000] and held() > start + 50
+    assert list(lean(task)(iter([100_000]))) == [100_000] and held() < start + 30
+
+
 @pytest.mark.parametrize("group", [160, 1000, 5000])
 def test_large_groups_of_near_copies_keep_all_components(spark, group):
     """Copies of one original that differ from it by a little to a lot, so that links join some of them only."""
