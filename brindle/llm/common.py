@@ -45,44 +45,90 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")  # the same class: \s is ASCII white space here
 
 
+#: Odd multipliers of a byte's place in a piece.
+_WEIGHTS = np.random.default_rng(0).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def piece_hashes(pieces: pa.LargeStringArray) -> np.ndarray:
+    """A 64-bit number of each piece; different pieces may share it."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * _WEIGHTS[place & 1023], out=sums[1:])
+    return sums[ends[1:]] - sums[ends[:-1]]
+
+
 class PieceMemo:
     """Numbers of text pieces (token ids, say); pieces that aren't known are resolved in one call, which gives all their numbers, one
-    piece after the other, and how many each has. Of more than ``size`` pieces the half that was met last stays.
+    piece after the other, and how many each has. Of more than ``size`` pieces, or 64 bytes for each of them, the half that was met last stays.
+
+    Known pieces are found by sorted hashes and compared; one that shares its hash with another may be resolved again.
     """
 
     def __init__(self, resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], size: int = 300_000):
         self.resolve, self.size, self.clock = resolve, size, 0
         self.known, self.ids = pa.array([], pa.large_string()), np.empty(0, np.int32)
-        self.starts, self.sizes, self.met = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.sizes, self.met = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.hashes, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)  # in the order of hashes
+
+    def _find(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each piece among the known ones, or -1."""
+        place = np.full(len(pieces), -1)
+        at = np.searchsorted(self.hashes, hashes)
+        hit = np.flatnonzero(at < len(self.hashes))
+        hit = hit[self.hashes[at[hit]] == hashes[hit]]
+        found = self.places[at[hit]]
+        same = pc.equal(self.known.take(pa.array(found)), pieces.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        place[hit[same]] = found[same]
+        return place
 
     def _values(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of distinct pieces: all numbers, where each piece's begin, and how many it has."""
-        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        hashes = piece_hashes(pieces)
+        place = self._find(pieces, hashes)
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             new = pieces.take(pa.array(fresh))
             ids, sizes = self.resolve(new.to_pylist())
             place[fresh] = len(self.known) + np.arange(len(fresh))
+            order = fresh[np.argsort(hashes[fresh])]
+            at = np.searchsorted(self.hashes, hashes[order])
+            self.hashes, self.places = np.insert(self.hashes, at, hashes[order]), np.insert(self.places, at, place[order])
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.known, self.ids, self.sizes = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-            self.met = np.append(self.met, np.zeros(len(fresh), np.int64))
+            self.known, self.ids, self.sizes = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids]), np.append(self.sizes, sizes.astype(np.int32))
+            self.met = np.append(self.met, np.zeros(len(fresh), np.int32))
         self.clock += 1
         self.met[place] = self.clock
         found = self.ids, self.starts[place], self.sizes[place]
-        if len(self.known) > self.size:
-            kept = np.sort(np.argsort(-self.met, kind="stable")[: self.size // 2])
-            self.ids, ends = pick_lists(self.ids, self.starts[kept], self.sizes[kept])
-            self.known, self.starts, self.sizes, self.met = self.known.take(pa.array(kept)), ends[:-1], self.sizes[kept], self.met[kept]
+        if len(self.known) > self.size or self.known.nbytes + self.ids.nbytes > 64 * self.size:
+            self._forget()
         return found
 
+    def _forget(self) -> None:
+        kept = np.argsort(-self.met, kind="stable")[: self.size // 2]
+        weight = 8 + pc.binary_length(self.known).to_numpy() + 4 * self.sizes
+        kept = np.sort(kept[np.cumsum(weight[kept]) <= 32 * self.size])
+        now = np.full(len(self.known), -1, np.int32)
+        now[kept] = np.arange(len(kept))
+        self.ids, ends = pick_lists(self.ids, self.starts[kept], self.sizes[kept])
+        self.known, self.starts, self.sizes, self.met = self.known.take(pa.array(kept)), ends[:-1], self.sizes[kept], self.met[kept]
+        places = now[self.places]
+        self.hashes, self.places = self.hashes[places >= 0], places[places >= 0]
+
     def lists(self, texts: list[str], separator: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts one after the other, and where each text's begin; pieces stand between separators."""
         pieces = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=separator)
-        coded = pieces.values.dictionary_encode()
+        out, ends = self.numbers(pieces.values)
+        return out, ends[pieces.offsets.to_numpy()]
+
+    def numbers(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces one after the other, and where each piece's begin, and the end."""
+        coded = pieces.dictionary_encode()
         ids, starts, sizes = self._values(coded.dictionary)
         at = coded.indices.to_numpy()
-        out, ends = pick_lists(ids, starts[at], sizes[at])
-        return out, ends[pieces.offsets.to_numpy()]
+        return pick_lists(ids, starts[at], sizes[at])
 
 
 def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -33,70 +33,140 @@ ROW_GROUP, PAGE_ROWS = 16 << 20, 512
 #: Bytes of text that a task encodes at a time.
 SLICE = 4 << 20
 SCHEMA = "part int, place long, doc_id long, n_tokens long, token_ids array<int>"
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_GLUE = {"\0": "\n", "\1": "", "": " "}
-#: A comma or full stop after a character that is neither letter nor digit, blank nor line feed.
-_CLUSTER = r"(?:^|[^\p{L}\p{Nd} \n])[.,]"
-#: White space other than blank and line feed.
-_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
+#: Pieces that a task remembers, and that the library encodes as one text.
+MEMO, JOINED = 1_000_000, 512
+#: Kinds of bytes. Vague ones may be white space (a character's first bytes, or controls), opaque ones are anything else.
+_VAGUE, _SPACE, _OPAQUE, _LETTER, _DIGIT, _SYMBOL = range(6)
+_KINDS = np.full(256, _SYMBOL, np.uint8)
+_KINDS[0x80:] = _OPAQUE
+_KINDS[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = _VAGUE
+_KINDS[list(b" \t\n\x0b\x0c\r")] = _SPACE
+_KINDS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KINDS[list(b"0123456789")] = _DIGIT
+#: Pieces that the pre-tokenizer surely leaves whole, and the characters that stand for bytes in the vocabulary.
+_WHOLE = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[0-9]+|[!-/:-@\[-`{-~]+)")
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_AS_CHARACTERS = {byte: 0x100 + n for n, byte in enumerate(_HIDDEN)}
+_IN_WHOLE = frozenset(chr(_AS_CHARACTERS.get(byte, byte)) for byte in (*b" \n", *range(0x21, 0x7F), *range(0x80, 0xC0), 0xC3))
+
+
+def _byte_kinds(data: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[data]
+    if data.max(initial=0) < 0x80:
+        return kinds
+    at = np.flatnonzero(data == 0xC3)  # U+00C0 to U+00FF: letters but for two
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    kinds[at] = kinds[at + 1] = _LETTER
+    at = np.flatnonzero((kinds == _VAGUE) & (data >= 0x80))
+    first, second, third = data[at], data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    spaces = (first == 0xC2) & ((second == 0x85) | (second == 0xA0)) | (first == 0xE1) & ((second == 0x9A) | (second == 0xA0))
+    spaces |= (first == 0xE2) & ((second == 0x80) & ((third < 0x8C) | (third > 0xA7)) | (second == 0x81)) | (first == 0xE3) & (second == 0x80)
+    kinds[at[~spaces]] = _OPAQUE
+    return kinds
+
+
+def cut_pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pieces of all texts, one after the other and without nulls, and where each text's begin."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds, kinds, cut = bounds - bounds[0], _byte_kinds(data), np.zeros(len(data) + 1, bool)
+    left, right = kinds[:-1], kinds[1:]
+    cut[1:-1] = (left != right) & (left >= _LETTER) & (right >= _LETTER) & (data[:-1] != ord("'"))
+    space = np.flatnonzero((left == _SPACE) & (right >= _OPAQUE))
+    cut[space] = True
+    cut[space[data[space] != ord(" ")] + 1] = True
+    last = bounds[1:][np.diff(bounds) > 0] - 1
+    cut[last[kinds[last] == _SPACE]] = False  # what follows is another text
+    cut[bounds] = True
+    places = np.flatnonzero(cut)
+    pieces = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data))
+    return pieces, np.searchsorted(places, bounds)
 
 
 class PieceEncoder:
     """Token ids by a byte-level tokenizer of the tokenizers library, which remembers pieces.
 
-    The pre-tokenizer always cuts before a single blank or line feed between two other characters, and before a comma
-    or full stop after a letter or digit; what follows doesn't depend on what stands before. Pieces are remembered
-    without their blank, or with a mark for the line feed or for no blank; the library encodes the others in batches.
+    The pre-tokenizer always cuts before white space that something else follows, after it unless it is a blank, and where
+    letters, digits and other characters meet, but for what an apostrophe begins; what follows doesn't depend on what stands
+    before. Cuts are made where bytes tell these apart. The library encodes pieces that aren't remembered in batches, those that
+    the pre-tokenizer leaves whole by its model alone, and texts that hold added tokens, which go before the pre-tokenizer, as a whole.
     """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = PieceMemo(self._pieces)
+        self.memo = PieceMemo(self._pieces, MEMO)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that start with a blank
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
+        self.line_feed = self.tokenizer.token_to_id("Ċ")
+        model = self.tokenizer.model
+        whole = isinstance(model, BPE) and not (model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix or self.tokenizer.normalizer)
+        crossing = any(("Ġ" in token.lstrip("Ġ") or "Ċ" in token and token.strip("Ċ")) and _IN_WHOLE.issuperset(token) for token in self.tokenizer.get_vocab())
+        self.merger = Tokenizer(model) if whole and not crossing else None  # no merge joins pieces that follow each other
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, keys: list[str], glue: str, whole: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers of pieces encoded as one text: they start with a blank, or line feeds tell them apart."""
+        text = glue.join(keys)
+        if whole:
+            ids = np.array(self.merger.encode_batch_fast([text.encode().decode("latin-1").translate(_AS_CHARACTERS)], add_special_tokens=False)[0].ids, np.int32)
+        else:
+            ids = self._library([text])[0]
+        if glue:
+            marks = ids == self.line_feed
+            sizes, ids = np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1, ids[~marks]
+        else:
+            sizes = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+        return None if len(sizes) != len(keys) or any(a in text for a in self.added) else (ids, sizes)
+
     def _pieces(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces. Those with a blank are encoded one after the other, and told apart by the tokens that start with it."""
-        plain = [i for i, k in enumerate(keys) if k[:1] not in _GLUE and "<" not in k and " " not in k and "\n" not in k]
-        ids = np.concatenate([np.empty(0, np.int32), *(self._library([" " + " ".join([keys[i] for i in plain[at : at + 256]])])[0] for at in range(0, len(plain), 256))])
-        begins = np.flatnonzero(self.opens[ids])
-        if len(begins) != len(plain):
-            plain, ids, begins = [], ids[:0], begins[:0]
-        starts, sizes = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        starts[plain], sizes[plain] = begins, np.diff(begins, append=len(ids))
-        others = np.flatnonzero(starts < 0)
-        found = self._library([_GLUE.get(k[:1], " " + k[:1]) + k[1:] for k in (keys[i] for i in others.tolist())])
-        sizes[others] = list(map(len, found))
-        starts[others] = len(ids) + np.cumsum(sizes[others]) - sizes[others]
-        return pick_lists(np.concatenate([ids, *found]), starts, sizes)[0], sizes
-
-    def marked(self, texts: list[str]) -> list[str]:
-        """Each text's pieces, but for their blank or with a mark instead, between separators."""
-        clusters = pc.match_substring_regex(pa.array(texts, pa.large_string()), _CLUSTER).to_pylist()
-        return [self._marked(t if c else t.replace(",", "\2\1,").replace(".", "\2\1."), t) for t, c in zip(texts, clusters, strict=True)]
-
-    @staticmethod
-    def _marked(marked: str, text: str) -> str:
-        marked = "\2" + marked.replace("\n", "\2\0").replace(" ", "\2") + "\2"
-        if "\2\2" in marked or "\2\0\2" in marked or "\2\1" == marked[:2] or _ODD.search(text):  # white space stands beside a cut
-            head, *rest = _CUT.split(text)
-            return "\2".join(["\1" + head, *(p[1:] if p[0] == " " else "\0" + p[1:] for p in rest)])
-        return "\1" + marked[1:-1]
-
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin."""
-        odd = {i: self._library([t])[0] for i, t in enumerate(texts) if "\0" in t or "\1" in t or "\2" in t}  # holds the marks themselves
-        ids, offsets = self.memo.lists(self.marked(["" if i in odd else t for i, t in enumerate(texts)] if odd else texts), "\2")
+        """Ids of pieces, those of one word many at a time."""
+        joined, others = {(glue, whole): [] for glue in ("", "\n") for whole in (True, False)}, []
+        for i, k in enumerate(keys):
+            whole = self.merger is not None and _WHOLE.fullmatch(k) is not None
+            if whole or k.split() == [k[k[:1] == " " :]]:
+                joined["" if k[0] == " " else "\n", whole].append(i)
+            else:
+                others.append(i)
+        order, found, counts = [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for (glue, whole), some in joined.items():
+            for at in range(0, len(some), JOINED):
+                part = some[at : at + JOINED]
+                if got := self._joined([keys[i] for i in part], glue, whole):
+                    order += part
+                    found.append(got[0])
+                    counts.append(got[1])
+                else:
+                    others += part
+        each = self._library([keys[i] for i in others])
+        ids, sizes = np.concatenate([*found, *each]), np.concatenate([*counts, np.array(list(map(len, each)), np.int64)])
+        place = np.argsort(np.array(order + others, np.int64))
+        return pick_lists(ids, (np.cumsum(sizes) - sizes)[place], sizes[place])[0], sizes[place]
+
+    def encode_all(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin; a null text counts as empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column, odd = pc.fill_null(column.cast(pa.large_string()), ""), {}
+        for content in self.added:
+            odd |= dict.fromkeys(np.flatnonzero(pc.match_substring(column, content).to_numpy(zero_copy_only=False)).tolist())
+        for i in odd:
+            odd[i] = self._library([column[i].as_py()])[0]
+        if odd:
+            whole = np.zeros(len(column), bool)
+            whole[list(odd)] = True
+            column = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), column)
+        pieces, begins = cut_pieces(column)
+        ids, ends = self.memo.numbers(pieces)
+        offsets = ends[begins]
         if odd:
             each = [odd[i] if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(offsets, offsets[1:]))]  # noqa: B905
             ids, offsets = np.concatenate(each), np.cumsum([0, *map(len, each)])
@@ -118,7 +188,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
         for whole in batches:
             for at, n in text_slices(whole.column(2), SLICE):
                 batch = whole.slice(at, n)
-                ids, starts = encoder.encode_all([t or "" for t in batch.column(2).to_pylist()])
+                ids, starts = encoder.encode_all(batch.column(2))
                 lists = id_lists(np.insert(ids, starts[1:], end_id), starts + np.arange(n + 1))
                 lengths = pa.array(np.diff(starts) + 1, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(place, place + n), pa.int64()), batch.column(1), lengths, lists], ["part", "place", "doc_id", "n_tokens", "token_ids"])

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from brindle.llm import bpe, token_files
+from brindle.llm import bpe, common, token_files
 from brindle.llm.common import PieceMemo
 from brindle.llm.queries import bpe_digest
 
@@ -110,5 +110,23 @@ def test_pieces_are_forgotten_and_resolved_again():
         assert ids.tolist() == [*range(at, at + 6), 1, 2, 1] and ends.tolist() == [0, 6, 9] and len(memo.known) <= 10
 
 
+def test_words_before_symbols_reach_the_library_once(byte_library):
+    encoder, asked = token_files.PieceEncoder(open(BYTE, encoding="utf-8").read()), []  # noqa: SIM115
+    resolve = encoder.memo.resolve
+    encoder.memo.resolve = lambda keys: asked.extend(keys) or resolve(keys)
+    texts = [" stonés" + symbols for symbols in ("&&&", "$$$", "=7", "'s", "'s&&&", "")] * 2
+    texts += ["à\xa0 là", " à ×à\n\tà", "<|endoftext|> à", "x  ", " "]  # tokens that join what stands beside a blank
+    ids, at = encoder.encode_all(pa.array([None, *texts]))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[], *(e.ids for e in byte_library.encode_batch(texts, add_special_tokens=False))]  # noqa: B905
+    assert sum("stonés" in k for k in asked) == 1 and len(asked) == len(set(asked))
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(common, "piece_hashes", lambda pieces: np.zeros(len(pieces), np.uint64))
+    memo = PieceMemo(lambda pieces: (np.array([int(p) for p in pieces], np.int32), np.ones(len(pieces), np.int64)), size=10)
+    for at in range(0, 30, 3):
+        assert memo.lists([" ".join(map(str, range(at, at + 6)))], " ")[0].tolist() == [*range(at, at + 6)]
+
+
 def test_no_documents_give_empty_files(empty, tmp_path):
     assert token_files.token_file_digest(empty, BYTE, str(tmp_path / "none")).count() == 0
