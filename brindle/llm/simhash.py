@@ -20,6 +20,9 @@ of their first shingles (prefix filter), have about one size (length filter) and
 filter). A line or passage that many texts share thus joins nobody, and no pair is left out. Nodes are distinct texts, told by
 fingerprint and shingle set, not fingerprints.
 
+What a key's rows have in common (their number, its largest root, a print's least node) is taken by window functions where the
+rows stand by key, not by an aggregate that the rows then join: a stage of exchange less each time, which many partitions of few rows feel.
+
 Defined cases: null, empty and blank texts have no shingle and fingerprint zero, which links like any other. Texts with
 fewer words than a shingle have one shingle, the whole sequence. Repeated rows fall into one group; a null id counts as larger
 than any other, and a group without ids has a null component. ``keep_one`` keeps one row of each group: of the smallest id and,
@@ -36,7 +39,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import LOWER, UPPER, lean, written
@@ -99,10 +102,21 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(distinct.tobytes()), *least, *signature.tolist()]
 
 
+def place(doc_id: Column, text_hash: Column) -> Column:
+    """What puts documents in order: ids, a null one last, then hashes of texts."""
+    return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), text_hash.alias("text_hash"))
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """A number of the id, null or not, and the hash of the text."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text_hash)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketched: bool = False) -> DataFrame:
-    """(doc_id, text_hash, fp, node) of every document and, with ``sketched``, set, minima and sig of its shingle set; all but the id are numbers.
+    """(doc_id, text_hash, fp, print, node) of every document and, with ``sketched``, set, minima and sig of its shingle set; all but the id are numbers.
 
-    A node stands for all equal fingerprints, or for all texts of one fingerprint and shingle set.
+    Documents of one print, an equal fingerprint or an equal fingerprint and shingle set, are one node of the graph: the
+    fingerprint, or the ``row_key`` of the least of them.
     """
 
     @F.pandas_udf("array<bigint>")
@@ -114,9 +128,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all_of = F.col("all")
     prints = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), simhash(F.col(text_col)).alias("all"))
     if not sketched:
-        return prints.select("doc_id", "text_hash", all_of[0].alias("fp"), all_of[0].alias("node"))
+        return prints.select("doc_id", "text_hash", all_of[0].alias("fp"), all_of[0].alias("print"), all_of[0].alias("node"))
     sig = F.slice("all", 3 + MINIMA, SIGNATURE).cast("array<short>")
-    return prints.select("doc_id", "text_hash", all_of[0].alias("fp"), F.xxhash64(all_of[0], all_of[1]).alias("node"), all_of[1].alias("set"), F.slice("all", 3, MINIMA).alias("minima"), sig.alias("sig"))
+    return prints.select("doc_id", "text_hash", all_of[0].alias("fp"), F.xxhash64(all_of[0], all_of[1]).alias("print"), row_key(F.col("doc_id"), F.col("text_hash")).alias("node"), all_of[1].alias("set"), F.slice("all", 3, MINIMA).alias("minima"), sig.alias("sig"))
 
 
 def block_keys(fp: Column) -> Column:
@@ -140,16 +154,17 @@ def variants(fp: Column, choice: Column) -> Column:
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(u, v) between distinct fingerprints (column fp) at most DISTANCE bits apart, enough of them for all components."""
-    keyed = distinct.select("fp", F.inline(block_keys(F.col("fp"))))
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, ["choice", "key"]), "simhash-keys")
-    few = shared.where(F.col("n") <= crowd).select("choice", "key", "fp")
-    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), ["choice", "key"]).where("u > v").select("u", "v")
-    spread = shared.where(F.col("n") > crowd).select("fp", F.explode(variants(F.col("fp"), F.col("choice"))).alias("near"))
-    spread = spread.distinct()
-    stars = spread.join(spread.groupBy("near").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1"), "near").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return pairs.unionByName(stars).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE).distinct()
+    """(u, v) between distinct fingerprints (column fp, and node where links name that) at most DISTANCE bits apart, enough of them for all components."""
+    node = F.col("node" if "node" in distinct.columns else "fp")
+    keyed = distinct.select("fp", node.alias("node"), F.inline(block_keys(F.col("fp"))))
+    shared = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("choice", "key"))).where("n > 1"), "simhash-keys")
+    few = shared.where(F.col("n") <= crowd)
+    left, right = (few.select("choice", "key", F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
+    pairs = left.join(right, ["choice", "key"]).where("a > b").select("u", "a", "v", "b")
+    spread = shared.where(F.col("n") > crowd).select("node", "fp", F.explode(variants(F.col("fp"), F.col("choice"))).alias("near"))
+    least = F.min(F.struct("fp", "node")).over(Window.partitionBy("near"))
+    stars = spread.withColumn("least", least).select(F.col("node").alias("u"), F.col("fp").alias("a"), F.col("least.node").alias("v"), F.col("least.fp").alias("b")).where("a <> b")
+    return pairs.unionByName(stars).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("u", "v").distinct()
 
 
 def jaccard(a: str | None, b: str | None, shingle: int) -> float:
@@ -167,10 +182,12 @@ def _agreeing(a: str, b: str) -> Column:
     return sum(((F.col(a)[i] == F.col(b)[i]).cast("int") for i in range(SIGNATURE)), F.lit(0))
 
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (key, root, ...) of keys that more than one root has, with the key's number n; written."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return written(rows.join(sizes.select("key", "n"), "key"), name)
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (key, root, ...) of keys that more than one root has, with the key's number n and main: the root that most of its rows have."""
+    of_key = Window.partitionBy("key")  # before the roots' counts, which then need no exchange of their own
+    shared = rows.withColumns({"n": F.count("*").over(of_key), "low": F.min("root").over(of_key), "high": F.max("root").over(of_key)}).where("low < high").drop("low", "high")
+    counted = shared.withColumn("of_root", F.count("*").over(Window.partitionBy("key", "root")))
+    return counted.withColumn("main", F.max(F.struct("of_root", "root")).over(of_key)["root"]).drop("of_root")
 
 
 def _met(rows: DataFrame, agree: int) -> DataFrame:
@@ -192,24 +209,16 @@ def _to_hubs(rows: DataFrame, hubs: DataFrame, agree: int) -> DataFrame:
     return met.select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
-def _of_largest(rows: DataFrame) -> DataFrame:
-    """Rows (key, root, ...) with main: the root that most of the key's rows have."""
-    largest = rows.groupBy("key", "root").agg(F.count("*").alias("of_root")).groupBy("key").agg(F.max(F.struct("of_root", "root")).alias("most"))
-    return rows.join(largest.select("key", F.col("most.root").alias("main")), "key")
-
-
 def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of sets (node, root, hashes) with different roots that may be ``similarity`` alike; loses no pair that is.
 
     Of a key's sets, those of its largest root only meet the others, which are few where links have joined most of them.
     """
     shingles = sets.select("node", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
-    frequency = shingles.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = shingles.join(frequency, "h").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    ordered = shingles.withColumn("df", F.count("*").over(Window.partitionBy("h"))).groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     first = F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int"))
     keys = ordered.select("node", "root", "size", F.posexplode(first).alias("at", "s")).where("s.df > 1").select("node", "root", "size", "at", F.col("s.h").alias("key"))
-    keys = _shared(keys, "simhash-prefixes")
-    keys = _of_largest(keys)
+    keys = written(_shared(keys), "simhash-prefixes")
     left = keys.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("c"), F.col("size").alias("m"), F.col("at").alias("i"))
     right = keys.select("key", F.col("node").alias("v"), F.col("root").alias("d"), "size", F.col("at").alias("j"), (F.col("root") == F.col("main")).alias("in_main"))
     need = F.ceil((F.col("m") + F.col("size")) * (similarity / (1 + similarity)) - 1e-9)
@@ -218,20 +227,20 @@ def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """(u, v) between nodes (node, first, minima, sig), one to a shingle set, whose texts are at least ``similarity`` alike.
+    """The ``known`` links (u, v), or their components', and those between nodes (node, minima, sig), one to a shingle set, whose texts are at least ``similarity`` alike.
 
-    Of crowded keys, pairs that these links and the ``known`` ones already join are left out; the components are those of all pairs.
+    A node is the ``row_key`` of its document. Of crowded keys, pairs that others of these links already join are left out; the components are those of all pairs.
     """
     agree = int((similarity - 0.25) * SIGNATURE)
     one = [F.xxhash64(F.lit(i), F.col("minima")[i]) for i in range(MINIMA)]
-    first = _shared(nodes.select("node", F.col("node").alias("root"), "sig", F.explode(F.array(*one)).alias("key")), "simhash-minima")
+    first = nodes.select("node", "sig", F.explode(F.array(*one)).alias("key"))  # a node has a key once
+    first = written(first.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "simhash-minima")
     crowded = first.where(F.col("n") > crowd)
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(node, text) of the wanted nodes."""
-        asked = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("a"), F.col("first.text_hash").alias("b"))
-        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-        return rows.join(asked, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b"))).groupBy("node").agg(F.first("text").alias("text"))
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """The wanted rows (node, ...), one to a node, with the node's text."""
+        rows = docs.select(row_key(F.col(id_col), F.xxhash64(text_col)).alias("node"), F.col(text_col).alias("text"))
+        return rows.join(wanted, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", *wanted.columns) if c != "node"])
 
     @F.pandas_udf("double")
     @lean
@@ -245,9 +254,10 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         candidates = written(pairs.distinct(), "simhash-candidates")
-        texts = written(texts_of(candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()), "simhash-texts")
+        if texts is None:
+            texts = written(with_texts(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "simhash-texts")
         # the hub first, while rows are small
         met = candidates.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return written(met.where(alike("a", "b") >= similarity).select("u", "v"), "simhash-links")
@@ -255,38 +265,46 @@ def similar_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, id_col: s
     hubs = written(_hubs(crowded), "simhash-hubs")
     found = verified(_met(first.where(F.col("n") <= crowd), agree).unionByName(_to_hubs(crowded, hubs.groupBy("key").agg(F.max("member").alias("member")), agree)))
     if crowded.isEmpty():
-        return found
+        return known.unionByName(found)
 
-    def rooted(rows: DataFrame) -> DataFrame:
-        roots = connected_components(known.unionByName(found))
-        return rows.select("key", "node", "sig").join(roots, "node", "left").select("key", "node", "sig", F.coalesce("root", "node").alias("root"))
+    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return _shared(rows.select("key", "node", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
-    apart = _shared(rooted(crowded), "simhash-apart")
-    found = written(found.unionByName(verified(_to_hubs(_of_largest(apart).where("root <> main"), hubs, agree))), "simhash-found")
-    apart = written(_shared(rooted(apart), "simhash-apart").select("node", "root").distinct(), "simhash-apart-nodes")
-    # written, not the texts: exploding a function's column calls it again for the filter on empty arrays, in a second worker of each task
-    sets = written(texts_of(apart.select("node")).select("node", hash_set("text").alias("hashes")), "simhash-apart-sets")
-    return found.unionByName(verified(_prefix_pairs(apart.join(sets, "node"), similarity)))
+    def stars(roots: DataFrame) -> DataFrame:
+        return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+    roots = connected_components(known.unionByName(found))
+    left = written(apart(crowded, roots), "simhash-apart")
+    found = verified(_to_hubs(left.where("root <> main"), hubs, agree))
+    if not found.isEmpty():
+        roots = connected_components(stars(roots).unionByName(found))
+        left = apart(left, roots)
+    # written, not the texts alone: exploding a function's column calls it again for the filter on empty arrays, in a second worker of each task
+    sets = with_texts(left.groupBy("node").agg(F.min("root").alias("root"))).withColumn("hashes", hash_set("text"))
+    sets = written(sets, "simhash-apart-sets")
+    return stars(roots).unionByName(verified(_prefix_pairs(sets, similarity), sets))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The documents' prints, and (node, fp, first, copies, keeper) of every node; ``first`` and ``keeper`` are the least (no_id, doc_id, text_hash) of the node and of its group."""
+    """The documents' prints, and (print, first, copies, root) of every node; ``first`` is its least (no_id, doc_id, text_hash), root its group."""
     sketched = similarity is not None
     prints = written(fingerprints(docs, id_col, text_col, shingle, sketched), "simhash")
     same = [F.min(c).alias(c) for c in ("fp", *(("set", "minima", "sig") if sketched else ()))]
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = written(prints.groupBy("node").agg(*same, F.min(place).alias("first"), F.count("*").alias("copies")), "simhash-nodes")
-    edges = links(nodes.select("fp").distinct())
+    nodes = prints.groupBy("print").agg(*same, F.min(place(F.col("doc_id"), F.col("text_hash"))).alias("first"), F.count("*").alias("copies"))
     if sketched:
-        of_print, of_set = (nodes.groupBy(c).agg(F.min("node").alias("v")) for c in ("fp", "set"))
-        ends = edges.join(of_print.select(F.col("fp").alias("u"), F.col("v").alias("a")), "u").join(of_print.select(F.col("fp").alias("v"), F.col("v").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        stars = [nodes.join(of, c).where("node <> v").select(F.col("node").alias("u"), "v") for c, of in (("fp", of_print), ("set", of_set))]
-        edges = written(ends.unionByName(stars[0]).unionByName(stars[1]), "simhash-edges")
-        edges = edges.unionByName(similar_links(nodes.join(of_set.select(F.col("v").alias("node")), "node", "left_semi"), docs, edges, id_col, text_col, shingle, similarity))
+        nodes = nodes.withColumn("node", row_key(F.col("first.doc_id"), F.col("first.text_hash")))
+        for c in ("fp", "set"):
+            nodes = nodes.withColumn(f"of_{c}", F.min("node").over(Window.partitionBy(c)))
+        nodes = written(nodes, "simhash-nodes")
+        edges = links(nodes.where("node = of_fp").select("fp", "node"))
+        for c in ("of_fp", "of_set"):
+            edges = edges.unionByName(nodes.where(f"node <> {c}").select(F.col("node").alias("u"), F.col(c).alias("v")))
+        edges = similar_links(nodes.where("node = of_set"), docs, written(edges, "simhash-edges"), id_col, text_col, shingle, similarity)
+    else:
+        nodes = written(nodes.withColumn("node", F.col("fp")), "simhash-nodes")
+        edges = links(nodes.select("fp"))
     roots = connected_components(edges)
-    rooted = nodes.join(roots, "node", "left").select("node", "fp", "first", "copies", F.coalesce("root", "node").alias("root"))
-    keepers = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
-    return prints, rooted.join(keepers, "root").select("node", "first", "copies", "keeper")
+    return prints, nodes.join(roots, "node", "left").select("print", "first", "copies", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -295,13 +313,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With ``similarity``, texts that are at least so alike are linked too.
     """
     prints, nodes = grouped(docs, id_col, text_col, shingle, similarity)
-    return prints.select("doc_id", "fp", "node").join(nodes.select("node", F.col("keeper.doc_id").alias("component_id"), "copies"), "node").select("doc_id", "fp", "component_id", "copies")
+    keepers = nodes.groupBy("root").agg(F.min("first").alias("keeper"))
+    found = nodes.join(keepers, "root").select("print", F.col("keeper.doc_id").alias("component_id"), "copies")
+    return prints.select("doc_id", "fp", "print").join(found, "print").select("doc_id", "fp", "component_id", "copies")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """One row of ``docs`` of each near-duplicate group, all columns."""
     _, nodes = grouped(docs, shingle=shingle, similarity=similarity)
-    kept = nodes.where(F.col("first") == F.col("keeper")).select(F.col("keeper.doc_id").alias("a"), F.col("keeper.text_hash").alias("b")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
-    named = rows.join(kept, F.col("id").eqNullSafe(F.col("a")) & (F.col("hash") == F.col("b")), "left_semi")
-    return named.dropDuplicates(["id", "hash"]).select("row.*")
+    kept = nodes.groupBy("root").agg(F.min("first").alias("place")).select("place")
+    rows = docs.select(place(F.col("doc_id"), F.xxhash64("text")).alias("place"), F.struct("*").alias("row"))
+    return rows.join(kept, "place", "left_semi").dropDuplicates(["place"]).select("row.*")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm import simhash
+from brindle.llm import components, simhash
 from brindle.llm.common import lean
 from brindle.llm.components import connected_components
 
@@ -148,6 +148,43 @@ def test_shingle_sets_of_crowded_texts_are_hashed_once(spark, monkeypatch):
     assert {name: n for name, plan in plans.items() if (n := plan.count("ArrowEvalPython [hash_set("))} == {"simhash-apart-sets": 1}
 
 
+def exchanges(spark, monkeypatch, *modules):
+    """Whenever a module writes a table: its name and how many exchanges of rows its plan has."""
+    found = []
+
+    def watched(df, name, write=simhash.written):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        found.append((name, plan.count("Exchange hashpartitioning")))
+        return write(df, name)
+
+    for module in modules:
+        monkeypatch.setattr(module, "written", watched)
+    return found
+
+
+def test_rounds_of_components_have_two_exchanges(spark, monkeypatch):
+    """Partitions of few rows cost what they cost however few the rows are, so that exchanges count."""
+    found = exchanges(spark, monkeypatch, components)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (60, 50), (50, 60), (51, 60), (70, 70)], "u long, v long")
+    roots = connected_components(edges).collect()
+    assert sorted((r.node, r.root) for r in roots) == sorted([(i, 0) for i in range(41)] + [(i, 50) for i in (50, 51, 60)])
+    assert {n for _, n in found} == {2}
+    found.clear()
+    connected_components(spark.createDataFrame([(i, 0) for i in range(1, 9)], "u long, v long"))
+    assert len(found) == 1  # stars are known after one round
+    assert connected_components(edges.where("u = v")).count() == 0
+
+
+def test_groups_of_crowded_texts_take_few_exchanges(spark, monkeypatch):
+    found = exchanges(spark, monkeypatch, simhash, components)
+    docs = crowds()
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, shingle=5, similarity=0.8).collect()}
+    assert got == slow_similar_groups(docs)
+    assert {"simhash-apart-sets", "simhash-prefixes"} <= {name for name, _ in found}
+    assert sum(n for _, n in found) <= 60
+
+
 def test_workers_hand_freed_memory_back():
     """Also where something small that stays lies above what was freed."""
     kept = []
