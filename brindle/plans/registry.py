@@ -1031,16 +1031,22 @@ def n1_stream_ingest(spark, d):
     """The events as a stream of files, ingested once: the last event of each user, kept by version."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     order = [F.desc("ts"), F.desc("event_id")]
-    folder = _ingested(spark, d, schema, "user_id", order, "events*.parquet")
+    folder = _ingested(spark, _table_files(d, "events"), schema, "user_id", order)
     return watch.current(spark, folder, schema, "user_id", order).select("event_id", "user_id", "event_type")
 
 
-def _ingested(spark, source: str, schema: str, key: str, order: list, glob: str = "*", runs=(), **options) -> str:
+def _table_files(sf_dir: str, name: str) -> str:
+    """A stream's source for a table that is one file or a folder of them, whose names don't tell the table. The one-letter class makes it a
+    pattern, which Spark resolves to either; a plain path has to be a folder."""
+    return f"{sf_dir}/[{name[0]}]{name[1:]}.parquet"
+
+
+def _ingested(spark, source: str, schema: str, key: str, order: list, runs=(), **options) -> str:
     """The folder of batches after a run, and one more after each of ``runs``, which add files to the source."""
     folder = shared_path(spark, "stream")
     for step in (lambda: None, *runs):
         step()
-        watch.ingest_stream(spark, source, schema, watch.batch_sink(f"{folder}/rows"), f"{folder}/checkpoint", key, order, glob=glob, **options).awaitTermination()
+        watch.ingest_stream(spark, source, schema, watch.batch_sink(f"{folder}/rows"), f"{folder}/checkpoint", key, order, **options).awaitTermination()
     return f"{folder}/rows"
 
 
@@ -1072,7 +1078,7 @@ def n5_changes_only(spark, d):
 def n7_stream_ignore(spark, d):
     """Pages as a stream, each address once, without those that a rule ignores."""
     schema, order = "page_id long, url string, html string", [F.desc("page_id")]
-    folder = _ingested(spark, d, schema, "url", order, "pages*.parquet", rules=["*5", "blog/", "!*25"])
+    folder = _ingested(spark, _table_files(d, "pages"), schema, "url", order, rules=["*5", "blog/", "!*25"])
     return watch.current(spark, folder, schema, "url", order).select("url", "page_id")
 
 

@@ -35,6 +35,16 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize(("name", "table"), [("n7_stream_ignore", "pages"), ("n1_stream_ingest", "events")])
+def test_streams_read_tables_that_are_folders(spark, duck, tmp_path, name, table):
+    """Tables of several files are folders of parts, whose names don't tell the table."""
+    spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    expected = duck.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(*expected.columns).collect()
+    assert len(got) and sorted(map(tuple, got)) == sorted(expected.fetchall())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_the_whole_search_has_dense_lists(spark):
     """The third list, the fusion and the best of each file by brute force."""
