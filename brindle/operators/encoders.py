@@ -22,11 +22,15 @@ def hashing_encoder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a model: signed token hashes, scaled to unit length."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims), np.float32)
+        out, known = np.zeros((len(texts), dims), np.float32), {}
         for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
-                row[h % dims] += 1 if h >> 63 else -1
+            counts = Counter(text.lower().split())
+            for word, n in counts.items():
+                if word not in known:  # a batch's words are hashed once
+                    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+                    known[word] = (h % dims, 1 if h >> 63 else -1)
+                place, sign = known[word]
+                row[place] += sign * n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 
@@ -34,7 +38,8 @@ def hashing_encoder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def dense(text: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder) -> Column:
-    """Vectors by any encoder; it is made once per task, so models load once."""
+    """Vectors by any encoder; it is made once per task, so models load once. The function counts as nondeterministic, or Spark would call it again in
+    every filter over the vectors."""
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -42,7 +47,7 @@ def dense(text: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndar
         for texts in batches:
             yield pd.Series(list(encode(texts.fillna("").tolist())))
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def _words(docs: DataFrame, key: str, words: Column, buckets: int, keep: list[int] | None) -> DataFrame:
@@ -51,10 +56,15 @@ def _words(docs: DataFrame, key: str, words: Column, buckets: int, keep: list[in
     return rows if keep is None else rows.where(stable_bucket(F.col("term"), buckets).isin(keep)).repartition(key)
 
 
+def keywords() -> Column:
+    """A text's words of more than two characters, repeats included; none without a text."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[ \t\r\n\f\x0b]+", " ")), " ")
+    return F.coalesce(F.filter(words, lambda w: F.length(w) > 2), F.array().cast("array<string>"))
+
+
 def keyword_vector(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, keep: list[int] | None = None) -> DataFrame:
     """(key, term, idx, val): counts of words longer than two characters, of the entries ``keep`` where given; words that collide keep entries of their own."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[ \t\r\n\f\x0b]+", " ")), " "), lambda w: F.length(w) > 2)
-    counts = _words(docs, key, words, buckets, keep).groupBy(key, "term").agg(F.count("*").cast("double").alias("val"))
+    counts = _words(docs, key, keywords(), buckets, keep).groupBy(key, "term").agg(F.count("*").cast("double").alias("val"))
     return counts.select(key, "term", stable_bucket(F.col("term"), buckets).alias("idx"), "val")
 
 

@@ -441,3 +441,39 @@ def test_ignore_patterns(spark):
     for rule, path, expected in cases:
         assert spark.range(1).select(files.ignored(F.lit(path), [rule]).alias("i")).first().i is expected, (rule, path)
     assert spark.range(1).select(files.ignored(F.lit("a.log"), ["*.log", "!!a.log", "!a.log"]).alias("i")).first().i is False
+
+
+def test_lists_of_texts_are_added_up_where_they_stand(spark, monkeypatch):
+    """Keyword and weighted-term lists without an exchange of words equal those of counted vectors, repeated and missing ids included."""
+    import random
+
+    import numpy as np
+
+    from brindle.functions.text import tokens
+
+    rng, words = random.Random(4), [f"word{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, text(rng.choice([5, 40, 90]))) for i in range(400)] + [(3, text(9)), (3, text(20)), (None, text(30)), (None, text(30)), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, text(12)) for i in range(30)], "qid int, text string")
+    listed = lambda df: sorted((r.qid, r["rank"], r.doc_id or -1, r.score) for r in df.collect())
+    kinds = [(encoders.keyword_vector, encoders.keywords(), lambda n: n), (encoders.term_weights, tokens(F.col("text")), np.sqrt)]
+    for vector, own, weigh in kinds:
+        make = lambda keep, vector=vector: vector(docs, buckets=100, keep=keep)
+        queries = vector(asked, key="qid", buckets=100)
+        expected = listed(retrieve.sparse_search(make, queries, 7))
+        for pieces in (1 << 21, 50):
+            monkeypatch.setattr("brindle.operators.products.PRODUCTS", pieces)
+            found = retrieve.sparse_words(docs, own, queries, weigh, make, 100, 7)
+            assert listed(found) == expected and len(expected) == 30 * 7
+        assert listed(retrieve.sparse_words(docs, own, queries, weigh, make, 100, 7, few=5)) == expected
+    plan = retrieve.sparse_words(docs, own, queries, weigh, make, 100, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Explode" not in plan and "Generate" not in plan
+    scores = retrieve.top_k(retrieve.bm25_scores(docs, retrieve.query_terms(asked)).drop("matched"), 7)
+    assert listed(retrieve.bm25(docs, asked, 7)) == listed(scores)
+
+
+def test_an_encoder_is_called_once_a_text(spark):
+    texts = spark.createDataFrame([("a b",), ("",), ("c",)], "text string")
+    vectors = texts.select(encoders.dense(F.col("text")).alias("v")).where("size(v) = 64 AND exists(v, x -> x <> 0)")
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and vectors.count() == 2
